@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Rows of a few numbers that a broadcast may hold.
+BROADCAST_ROWS = 50_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -53,14 +55,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", limit: int = 50_000, salts: int = 64) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", rows: int | None = None, salts: int = 64) -> DataFrame:
     """Join ``small`` (one row a key) to ``big`` on a nullable ``key``.
 
-    ``small`` is counted: up to ``limit`` rows it is broadcast; beyond, both sides are dealt by (key, salt) so that a
-    hot key is spread over ``salts`` tasks.
+    ``small`` is counted (or has ``rows`` rows, if the caller knows): up to BROADCAST_ROWS it is broadcast; beyond,
+    both sides are dealt by (key, salt) so that a hot key is spread over ``salts`` tasks.
     """
     right = small.withColumnRenamed(key, "__key")
-    if small.count() <= limit:
+    if (small.count() if rows is None else rows) <= BROADCAST_ROWS:
         return big.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("__key")), how).drop("__key")
     right = right.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = big.withColumn("__t", (F.rand(7) * salts).cast("int"))

@@ -1,4 +1,4 @@
-"""The queries opN_* over the driver's tables, and their SQL."""
+"""The queries opN_* over the driver's tables; their SQL is in :mod:`readloom.llm.oracles`."""
 
 from __future__ import annotations
 
@@ -7,22 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import quality
+from readloom.llm import chat, mixing, near_dedup, oracles, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select(
+        "doc_id",
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
+        F.col("mix_rate").alias("rate"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality.judge(docs)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = "<|im_end|><|im_start|>assistant ok"
+    more = spark.sql(f"select -1L as conv_id, t as turn, r as role, '{both}' as text from values (0L, 'user'), (1L, 'assistant') as v(t, r)")
+    nodes = chat.conversation_nodes(rows.unionByName(more))
+    out = chat.format_branches(nodes, branches=None)
+    turns = F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat.loss_text(F.col("formatted"), F.col("spans"))
+    out = out.withColumn("turns", turns).withColumn("loss", loss)
+    return out.select(
+        F.expr("try_cast(tree as bigint)").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_quality_rules": op5_quality_rules}
+    return {f.__name__: f for f in (op1_mixing, op5_quality_rules, op8_near_duplicates, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
