@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import quality
+from readloom.llm import line_dedup, quality
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,4 +77,17 @@ from j
 """
 
 
-SQL = {"op5_quality_rules": _quality(), "op8_near_duplicates": NEAR_DUPLICATES, "op10_chat": CHAT}
+LINES = f"""
+with l as (
+  select doc_id, source, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, unnest(string_split(text, chr(10))) as raw from documents
+), t as (select *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as line from l
+), bad as (
+  select line, min(doc_id * 1000000000 + pos) as first from t where length(line) >= {line_dedup.MIN_CHARS}
+  group by line having count(distinct source) >= {line_dedup.MIN_SITES}
+), m as (select t.*, bad.line is not null and doc_id * 1000000000 + pos <> first as gone from t left join bad using (line))
+select d.doc_id, case when d.text is null then null else coalesce(string_agg(raw, chr(10) order by pos) filter (where not gone), '') end as text,
+  count(raw)::bigint as n_lines, coalesce(sum(gone::int), 0)::bigint as n_removed
+from documents d left join m on m.doc_id = d.doc_id group by d.doc_id, d.text
+"""
+
+SQL = {"op2_line_dedup": LINES, "op5_quality_rules": _quality(), "op8_near_duplicates": NEAR_DUPLICATES, "op10_chat": CHAT}
