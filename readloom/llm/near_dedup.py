@@ -141,15 +141,15 @@ def _across(large: DataFrame, reps: DataFrame, comp: DataFrame, least: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x, y = batch.column("left")[i].values, batch.column("right")[i].values
-                sig = lambda v: np.asarray(v.field("sig").values.to_numpy()).reshape(-1, VALUES)
-                sx, sy = sig(x), sig(y)
+                # flatten() minds the offsets of a slice, field() does not
+                ix, cx, sx = batch.column("left")[i].values.flatten()
+                iy, cy, sy = batch.column("right")[i].values.flatten()
+                sx, sy = (v.flatten().to_numpy().reshape(-1, VALUES) for v in (sx, sy))
+                cx, cy = (v.to_numpy(zero_copy_only=False) for v in (cx, cy))
                 same = np.zeros((len(sx), len(sy)), np.int16)
                 for k in range(VALUES):
                     same += sx[:, k, None] == sy[None, :, k]
-                cx, cy = x.field("component").to_numpy(zero_copy_only=False), y.field("component").to_numpy(zero_copy_only=False)
                 p, q = np.nonzero((same >= least * VALUES) & (cx[:, None] != cy[None, :]))
-                ix, iy = x.field("ident"), y.field("ident")
                 yield pa.RecordBatch.from_arrays([ix.take(pa.array(p)), iy.take(pa.array(q))], ["a", "b"])
 
     found = both.mapInArrow(run, f"a {kind}, b {kind}")
