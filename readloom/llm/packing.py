@@ -8,7 +8,7 @@ best first. The document that overflows is cut there and its rest seeds the next
 
 from __future__ import annotations
 
-import unicodedata
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,13 +26,87 @@ SHARD_DOCS = 2048
 K1, B = 1.2, 0.75
 HASH_BITS = 32
 #: Words whose ids a worker keeps.
-KEPT = 400_000
+KEPT = 600_000
 #: Fixed value: how the tokenizer file cuts words into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _byte_symbols() -> list[str]:
+    """The printable symbol of each byte in byte-level vocabularies: itself, or one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in set(plain)]
+    return [chr(x) if x in set(plain) else chr(256 + rest.index(x)) for x in range(256)]
+
+
+class Merges:
+    """Byte-pair merges of a tokenizers file, for many pieces of equal length at once."""
+
+    NONE = np.int64(1 << 40)
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        symbols = _byte_symbols()
+        self.first = np.array([vocab[x] for x in symbols], np.int64)
+        self.last = np.array([vocab[x + end] for x in symbols], np.int64)
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        keys = np.array([vocab[x] << 20 | vocab[y] for x, y in pairs], np.int64)
+        self.merged = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        key = np.where((x < 0) | (y < 0), -1, x << 20 | y)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.order[at], self.NONE)
+
+    def apply(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, 32 bit) of each piece: the pair of least rank, leftmost first, is merged until none is left."""
+        out: list[bytes] = [b""] * len(pieces)
+        by: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            by.setdefault(len(p), []).append(i)
+        for size, at in by.items():
+            raw = np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(-1, size)
+            x = self.first[raw]
+            x[:, -1] = self.last[raw[:, -1]]
+            left = np.full(len(at), size)
+            if size > 1:
+                rank, live, cols = self.ranks(x[:, :-1], x[:, 1:]), np.arange(len(at)), np.arange(size)
+                while len(live):
+                    r = rank[live]
+                    p = r.argmin(1)
+                    m = r[np.arange(len(live)), p]
+                    go = m < self.NONE
+                    live, r, p, m = live[go], r[go], p[go], m[go]
+                    if not len(live):
+                        break
+                    rows = np.arange(len(live))
+                    y = np.take_along_axis(x[live], np.minimum(cols + (cols > p[:, None]), size - 1), 1)
+                    y[rows, p] = self.merged[m]
+                    left[live] -= 1
+                    y[rows, left[live]] = -1
+                    c = cols[:-1]
+                    r = np.take_along_axis(r, np.minimum(c + (c > p[:, None]), size - 2), 1)
+                    before, after = np.maximum(p - 1, 0), np.minimum(p + 1, size - 1)
+                    r[rows, before] = np.where(p > 0, self.ranks(y[rows, before], y[rows, p]), r[rows, before])
+                    here = np.minimum(p, size - 2)
+                    r[rows, here] = np.where(p < left[live] - 1, self.ranks(y[rows, here], y[rows, after]), np.where(p < size - 1, self.NONE, r[rows, here]))
+                    r[c[None, :] >= (left[live] - 1)[:, None]] = self.NONE
+                    x[live], rank[live] = y, r
+            ids = x.astype(np.uint32)
+            for i, row, n in zip(at, ids, left.tolist(), strict=True):
+                out[i] = row[:n].tobytes()
+        return out
+
+
 class Encoder(dict):
-    """Ids of words under a tokenizers file whose words never reach over white space; known words are kept."""
+    """Ids of words under a tokenizers file whose words never reach over white space; known words are kept.
+
+    Latin words are cut into the tokenizer's own pieces, whose merges :class:`Merges` does for many at once; all other
+    words go to the tokenizer itself.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -41,36 +115,38 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
         self.parts: dict[str, bytes] = {}
         self.find = regex.compile(PIECES).findall
 
     def _coded(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(x.ids, np.uint32).tobytes() for x in coded]
 
     def learn(self, words: list[bytes]) -> None:
-        """Latin words are cut into the tokenizer's own pieces, of which far fewer differ; all others are coded whole."""
-        if len(self) > KEPT:
-            self.clear()
-        if len(self.parts) > KEPT:
-            self.parts.clear()
         cut, whole = [], []
         for w in words:
             t = w.decode("utf-8", "replace")
-            if max(t) < "\u0250" and "<|" not in t and unicodedata.is_normalized("NFC", t):
+            # below U+0250 all is in normal form; what is not printable may be white space of another kind
+            if max(t) < "\u0250" and t.isprintable() and "<|" not in t and "\u0130" not in t:
                 cut.append((w, self.find(t.lower())))
             else:
                 whole.append((w, t))
         new = list({p for _, ps in cut for p in ps}.difference(self.parts))
-        self.parts.update(zip(new, self._coded(new), strict=True))
+        short = [p for p in new if len(p) <= 40]
+        self.parts.update(zip(short, self.merges.apply([p.encode() for p in short]), strict=True))
+        long = [p for p in new if len(p) > 40]
+        self.parts.update(zip(long, self._coded(long), strict=True))
         for w, ps in cut:
             self[w] = b"".join(map(self.parts.__getitem__, ps))
         self.update(zip([w for w, _ in whole], self._coded([t for _, t in whole]), strict=True))
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, then ``end_id``."""
+        if len(self) > KEPT:
+            self.clear()
+        if len(self.parts) > KEPT:
+            self.parts.clear()
         split = [t.split() for t in texts]
         new = {w for ws in split for w in ws}.difference(self)
         if new:
@@ -90,7 +166,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             a = 0
             while a < len(texts):
                 b, size = a, 0
-                while b < len(texts) and (size < 1 << 20 or b == a):
+                while b < len(texts) and (size < 1 << 22 or b == a):
                     size += len(texts[b])
                     b += 1
                 ids = encoder.encode(texts[a:b], end_id)
