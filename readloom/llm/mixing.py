@@ -42,11 +42,11 @@ def targets(totals: DataFrame, key: str = "source", share: float = 1.5, weights:
     return d.withColumn("target", F.least(F.col("__cap"), F.coalesce(F.col("__t"), F.lit(float("inf"))) * F.col("__w"))).drop("__i", "__w", "__cap", "__r", "__level", "__t")
 
 
-def _rate(size: Column, most: float) -> Column:
+def _rate(size: Column, most: float, p: str = "") -> Column:
     """The capped tilt; lam is +infinity for a source that must be repeated ``most`` times, -infinity for one with no target."""
-    x = F.col("lam") * size / F.col("mean")
-    top = F.lit(most)
-    return F.when((size <= 0) | F.col("lam").isNull(), F.lit(1.0)).when(F.col("lam") == float("inf"), top).when(F.col("lam") == float("-inf"), F.lit(0.0)).otherwise(F.least(top, F.exp(F.least(x, F.lit(50.0)))))
+    lam, top = F.col(p + "lam"), F.lit(most)
+    x = lam * size / F.col(p + "mean")
+    return F.when((size <= 0) | lam.isNull(), F.lit(1.0)).when(lam == float("inf"), top).when(lam == float("-inf"), F.lit(0.0)).otherwise(F.least(top, F.exp(F.least(x, F.lit(50.0)))))
 
 
 def _uniform(key: Column, salt: int) -> Column:
@@ -85,7 +85,7 @@ def _newton(hist: DataFrame, goal: DataFrame, key: str, most: float, n_sources:
     return state.drop("lo", "hi", "open")
 
 
-def _copies(size: Column, ident: Column, most: float) -> Column:
+def _copies(size: Column, ident: Column, most: float, p: str = "") -> Column:
     """Whole copies of a row from its source's lam and repairs."""
 
     def repaired(row: Column) -> Column:
@@ -98,10 +98,10 @@ def _copies(size: Column, ident: Column, most: float) -> Column:
             return up + F.when(more, 1).when(less, -1).otherwise(0).cast("long")
 
         first = (whole + (row["u"] < rate - whole).cast("long")).cast("long")
-        return F.aggregate("repairs", first, one)
+        return F.aggregate(p + "repairs", first, one)
 
     at = F.floor(_uniform(ident, 2) * BINS).cast("int")
-    return let(F.struct(_rate(size, most).alias("rate"), _uniform(ident, 1).alias("u"), at.alias("at")), repaired)
+    return let(F.struct(_rate(size, most, p).alias("rate"), _uniform(ident, 1).alias("u"), at.alias("at")), repaired)
 
 
 def solve(docs: DataFrame, text: str = "text", key: str = "source", ident: str = "doc_id", share: float = 1.5, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -141,10 +141,10 @@ def solve(docs: DataFrame, text: str = "text", key: str = "source", ident: str =
 
 def apply(docs: DataFrame, state: DataFrame, text: str = "text", key: str = "source", ident: str = "doc_id", most: float = MOST) -> DataFrame:
     """Every row of ``docs`` with mix_size, mix_source_size, mix_target, mix_rate and mix_copies."""
-    renamed = state.select(F.col(key).alias("__source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "lam", "mean", "repairs")
+    renamed = state.select(F.col(key).alias("__source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), *[F.col(c).alias(f"__{c}") for c in ("lam", "mean", "repairs")])
     d = docs.withColumn("__source", F.col(key)).withColumn("mix_size", n_words(F.col(text)))
-    d = lookup(d, renamed, "__source").withColumn("mix_rate", _rate(F.col("mix_size"), most))
-    return d.withColumn("mix_copies", _copies(F.col("mix_size"), F.col(ident), most)).drop("__source", "lam", "mean", "repairs")
+    d = lookup(d, renamed, "__source").withColumn("mix_rate", _rate(F.col("mix_size"), most, "__"))
+    return d.withColumn("mix_copies", _copies(F.col("mix_size"), F.col(ident), most, "__")).drop("__source", "__lam", "__mean", "__repairs")
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "source", ident: str = "doc_id", share: float = 1.5, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:

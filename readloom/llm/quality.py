@@ -154,14 +154,18 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), let(F.struct(total(p).alias("n"), total(q).alias("m")), lambda s: body(s["n"], s["m"])))
 
 
+_OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "classes", "common", "ref_classes", "ref_common", "class_distance", "word_distance", "kept")
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Every row of ``docs`` without its text, with base counts, class_distance, word_distance and kept.
 
     Null texts are empty and fail the base rules. A document of a null or unlisted language is compared by character
     classes only, with the reference of the rows of that same language value. Documents under GUARD_WORDS words, and
-    those whose reference is empty, are not judged by distance. Repeated rows are judged each by itself.
+    those whose reference is empty, are not judged by distance. Repeated rows are judged each by itself. Columns of ``docs`` named like the results
+    are replaced.
     """
-    feats = materialize(features(docs, text, lang))
+    feats = materialize(features(docs.drop(*_OWN), text, lang))
     refs = materialize(references(feats, lang))
     d = lookup(feats, refs, lang)
     d = d.withColumn("class_distance", js_distance(F.col("classes"), F.col("ref_classes")))
