@@ -3,8 +3,9 @@
 A signature of 63 minima is read in 21 orders (trees), each a rotation. Texts that share the first DEPTH values of an
 order lie in one region; a region of up to SMALL texts gives all its pairs, a larger one is split by longer prefixes,
 and in each sub-region every text is paired with the region's smallest id. Pairs are confirmed on full sets, best
-pairs first; linked texts need no further pairs. What then still lies unlinked in a large region is compared, in
-blocks, with all of the region, so no link is lost to a region's size. Exact copies are one text from the start.
+pairs first; linked texts need no further pairs. A large region that still holds several components pairs its members
+with its hub, and what then still lies outside the main component is compared, in blocks and on full sets, with all of
+the region, so no link is lost to a region's size. Exact copies are one text from the start.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ VALUES, DEPTH, TREES = 63, 3, 21
 DEEPER = (5, 8, 12, 20, 40)
 SMALL = 24
 BLOCK = 128
+#: Rounds in which the members of a large region meet its hub before what is left is compared in blocks.
+HUBS = 2
 #: Pairs whose signatures agree this much less than the threshold are not compared: over four standard deviations.
 SLACK = 0.2
 _A = (np.random.default_rng(20240131).integers(1, 1 << 31, VALUES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -122,38 +125,60 @@ def _unlinked(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return d.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _across(large: DataFrame, reps: DataFrame, comp: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a large region that lie in different components and whose signatures agree, found in blocks."""
+def _split(large: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members (key, ident, component, main, all) of the large regions that hold several components; main: the largest."""
     named = comp.select(F.col("node").alias("ident"), "component")
     d = large.join(named, "ident", "left").withColumn("component", F.coalesce("component", "ident"))
-    split = d.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"), F.max_by("component", "n").alias("main")).filter("parts > 1")
-    d = materialize(d.join(split.drop("parts"), "key"))
-    if d.isEmpty():
-        return d.select(F.col("ident").alias("a"), F.col("ident").alias("b"))
-    d = d.join(reps.select("ident", "sig"), "ident").withColumn("block", F.pmod(F.xxhash64("ident"), F.ceil(F.col("all") / BLOCK)))
-    blocks = lambda x, name: x.groupBy("key", "block").agg(F.collect_list(F.struct("ident", "component", "sig")).alias(name))
+    sizes = d.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"), F.max_by("component", "n").alias("main")).filter("parts > 1")
+    return d.join(several.drop("parts"), "key")
+
+
+def _hub_pairs(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of each member (key, ident) with its region's hub: the text nearest to the region's commonest signature."""
+    d = members.join(reps.select("ident", "sig"), "ident")
+    common = d.groupBy("key").agg(F.array(*[F.mode(F.get("sig", F.lit(k))) for k in range(VALUES)]).alias("common"))
+    near = d.join(common, "key").groupBy("key").agg(F.max_by("ident", F.struct(_agree(F.col("sig"), F.col("common")), -F.col("ident"))).alias("hub"))
+    pairs = members.join(near, "key").filter("ident <> hub")
+    return pairs.select(F.least("ident", "hub").alias("a"), F.greatest("ident", "hub").alias("b")).distinct()
+
+
+def _across(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of a large region: blocks of the members outside the main component are compared
+    with blocks of all members on full sets; of a member's links to one component one is given."""
+    d = split.join(sets, "ident").withColumn("block", F.pmod(F.xxhash64("ident"), F.ceil(F.col("all") / BLOCK)))
+    blocks = lambda x, name: x.groupBy("key", "block").agg(F.collect_list(F.struct("ident", "component", "shingles")).alias(name))
     left = blocks(d.filter("component <> main"), "left").drop("block")
     right = blocks(d, "right").withColumnRenamed("block", "other")
-    both = left.join(right, "key").select("left", "right").repartition(F.xxhash64("left", "right"))
-
-    kind = reps.schema["ident"].dataType.simpleString()
+    kind = split.schema["ident"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found_a, found_b = [], []
             for i in range(batch.num_rows):
                 # flatten() minds the offsets of a slice, field() does not
                 ix, cx, sx = batch.column("left")[i].values.flatten()
                 iy, cy, sy = batch.column("right")[i].values.flatten()
-                sx, sy = (v.flatten().to_numpy().reshape(-1, VALUES) for v in (sx, sy))
-                cx, cy = (v.to_numpy(zero_copy_only=False) for v in (cx, cy))
-                same = np.zeros((len(sx), len(sy)), np.int16)
-                for k in range(VALUES):
-                    same += sx[:, k, None] == sy[None, :, k]
-                p, q = np.nonzero((same >= least * VALUES) & (cx[:, None] != cy[None, :]))
-                yield pa.RecordBatch.from_arrays([ix.take(pa.array(p)), iy.take(pa.array(q))], ["a", "b"])
-
-    found = both.mapInArrow(run, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                ix, cx, iy, cy = (v.to_pylist() for v in (ix, cx, iy, cy))
+                sizes = np.diff(sy.offsets.to_numpy())
+                values, owner = sy.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], owner[order]
+                for own, mine, one in zip(ix, cx, sx, strict=True):
+                    x = one.values.to_numpy()
+                    low = np.searchsorted(values, x, "left")
+                    n = np.searchsorted(values, x, "right") - low
+                    at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    both = np.bincount(owner[at], minlength=len(sizes))
+                    first: dict = {}
+                    for j in np.nonzero(100 * both >= percent * (len(x) + sizes - both))[0].tolist():
+                        if cy[j] != mine:
+                            first.setdefault(cy[j], iy[j])
+                    found_a += [own] * len(first)
+                    found_b += list(first.values())
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, batch.schema.field("left").type.value_type.field("ident").type), pa.array(found_b, batch.schema.field("left").type.value_type.field("ident").type)], ["a", "b"])
+
+    return left.join(right, "key").select("left", "right").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -180,9 +205,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     links = materialize(_confirmed(best, sets, percent))
     comp = materialize(components(links))
     links = materialize(links.unionByName(_confirmed(_unlinked(pairs, comp), sets, percent)))
-    if hot:
+    for turn in range(HUBS + 1) if hot else ():
         comp = materialize(components(links))
-        links = materialize(links.unionByName(_confirmed(_across(large, reps, comp, least), sets, percent)))
+        split = materialize(_split(large, comp))
+        if split.isEmpty():
+            break
+        if turn < HUBS:
+            outside = split if turn == 0 else split.filter("component <> main")
+            more = _confirmed(_unlinked(_hub_pairs(outside.select("key", "ident"), reps), comp), sets, percent)
+        else:
+            more = _across(split, sets, percent)
+        links = materialize(links.unionByName(more))
     copies = sig.filter("n_shingles > 0 and ident is not null").select("set_key", "ident").join(reps.select("set_key", F.col("ident").alias("a")), "set_key").filter("a <> ident")
     comp = components(links.unionByName(copies.select("a", F.col("ident").alias("b"))))
     out = sig.select("ident", "n_shingles").join(comp.select(F.col("node").alias("ident"), "component"), "ident", "left")
