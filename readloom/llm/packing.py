@@ -24,9 +24,11 @@ WINDOW = 2048
 #: Documents that one inverted index holds.
 SHARD_DOCS = 2048
 K1, B = 1.2, 0.75
+#: Neighbours that one look at the index returns; a window that needs more looks again.
+NEXT = 32
 HASH_BITS = 32
-#: Words whose ids a worker keeps.
-KEPT = 600_000
+#: Words whose ids a worker keeps, and again as many older ones.
+KEPT = 400_000
 #: Fixed value: how the tokenizer file cuts words into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -116,6 +118,7 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.find = regex.compile(PIECES).findall
 
@@ -144,11 +147,16 @@ class Encoder(dict):
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, then ``end_id``."""
         if len(self) > KEPT:
+            self.older = dict(self)
             self.clear()
         if len(self.parts) > KEPT:
             self.parts.clear()
-        split = [t.split() for t in texts]
-        new = {w for ws in split for w in ws}.difference(self)
+        # lower-casing A-Z first makes fewer words differ; it must not make a special token
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set().union(*split).difference(self)
+        if self.older:
+            self.update({w: self.older[w] for w in new if w in self.older})
+            new.difference_update(self)
         if new:
             self.learn(list(new))
         end = np.array([end_id], np.uint32).tobytes()
@@ -231,6 +239,8 @@ class Index:
         self.terms = []
         for i, x in enumerate(ids):
             at, n = np.unique(x, return_counts=True)
+            held = idf[at] > 0  # no weight, no posting
+            at, n = at[held], n[held]
             self.terms.append(at)
             terms.append(at)
             docs.append(np.full(len(at), i, np.int32))
@@ -243,6 +253,8 @@ class Index:
         self.n = len(ids)
 
     def scores(self, doc: int) -> np.ndarray:
+        if not len(self.terms[doc]):
+            return np.zeros(self.n)
         at = np.searchsorted(self.used_terms, self.terms[doc])
         start, size = self.starts[at], self.ends[at] - self.starts[at]
         total = int(size.sum())
@@ -288,8 +300,10 @@ def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> It
         if (turned and held) or begun or not queue:
             scores = index.scores(doc)
             scores[used] = -1.0
-            top = np.argsort(-scores, kind="stable")[: max(8, window // 64)] if n > 64 else np.argsort(-scores, kind="stable")
-            queue = [int(x) for x in top if scores[x] > 0]
+            top = np.nonzero(scores > 0)[0]
+            if len(top) > 4 * NEXT:
+                top = top[np.argpartition(-scores[top], NEXT)[:NEXT]]
+            queue = top[np.lexsort((top, -scores[top]))].tolist()
     full = [p for p in pieces if p[3] < seq]
     yield from full
     last, cut, at = [p for p in pieces if p[3] == seq], held, 0
@@ -316,7 +330,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     spark = docs.sparkSession
     tokens = materialize(tokenized(docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")), tokenizer_path, end_id))
     df, n, mean = frequencies(tokens)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)) if n else np.zeros(1)
+    idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))) if n else np.zeros(1)  # ids in half of all documents weigh nothing
     kind = tokens.schema["ident"].dataType.simpleString()
     sent = spark.sparkContext.broadcast(idf)
     placed = layout(tokens, idf)
