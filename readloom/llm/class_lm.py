@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import materialize
 
-VOCAB, CLASSES, PASSES = 2000, 48, 6
+VOCAB, CLASSES, PASSES = 1500, 48, 6
 HEAD, HEAD_BYTES = 40_000, 64
 ALPHA = 0.1
 SLICE = 1 << 20
@@ -72,8 +72,8 @@ def bigrams(docs: DataFrame, vocab: dict[bytes, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["pair", "n"])
 
     got = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(width * width, np.int64)
-    out[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    out = np.zeros(width * width)
+    out[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy()
     return out.reshape(width, width)
 
 
@@ -88,7 +88,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
     k = classes + 2
     member = np.zeros((len(pairs), k))
     member[np.arange(len(pairs)), own] = 1
-    counts = pairs.astype(np.float64)
+    counts = pairs.astype(np.float64, copy=False)
     right, left = counts @ member, counts.T @ member  # of each word: its successors' and predecessors' classes
     table = member.T @ right
     loops = counts.diagonal()
