@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.functions.dna import ALPHABET, checked
 from readloom.operators import codecs, index, search
 from readloom.sources import files
 
@@ -69,6 +70,8 @@ class Index:
         return high - low
 
     def range(self, pattern: str) -> tuple[int, int]:
+        if set(pattern) - set(ALPHABET):
+            raise ValueError(f"pattern outside {ALPHABET}: {pattern}")
         p = self.reads.sparkSession.createDataFrame([(pattern,)], "pattern string")
         r = search.find_ranges(self.rows, self.reads, p, max(1, len(pattern))).first()
         return r["l"], r["h"]
@@ -81,7 +84,7 @@ class Index:
         return search.reads_with(self.rows, self.reads, pattern).orderBy("row")
 
     def massquery(self, kmers: DataFrame, reverse: bool = False) -> DataFrame:
-        return search.mass_query(kmers, self.reads, reverse)
+        return search.mass_query(kmers.withColumn("kmer", checked(F.col("kmer"))), self.reads, reverse)
 
     def runs(self) -> DataFrame:
         return codecs.run_lengths(self.rows)
