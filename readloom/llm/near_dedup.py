@@ -1,9 +1,9 @@
 """Near duplicates by a MinHash LSH forest.
 
 A signature of 63 minima is read in 21 orders (trees), each a rotation. Texts that share the first DEPTH values of an
-order lie in one region; a region of up to SMALL texts gives all its pairs, a larger one is split by longer prefixes,
-and in each sub-region every text is paired with the region's smallest id. Pairs are confirmed on full sets, best
-pairs first; linked texts need no further pairs. A large region that still holds several components pairs its members
+order lie in one region; a region of up to SMALL texts gives all its pairs. In a larger one every text is paired with
+the region's smallest id and with its neighbour in the sorted order, which shares the longest prefix with it, as deep
+as the region goes. Pairs are confirmed on full sets, best pairs first; linked texts need no further pairs. A large region that still holds several components pairs its members
 with its hub, and what then still lies outside the main component is compared, in blocks and on full sets, with all of
 the region, so no link is lost to a region's size. Exact copies are one text from the start.
 """
@@ -23,8 +23,8 @@ from readloom.llm.components import components
 from readloom.llm.shingles import WordHashes, shingle_sets
 
 VALUES, DEPTH, TREES = 63, 3, 21
-#: Depths at which a large region is split.
-DEEPER = (5, 8, 12, 20, 40)
+#: Values of an order, after the first DEPTH, that a large region is sorted by.
+DEEPER = 37
 SMALL = 24
 BLOCK = 128
 #: Rounds in which the members of a large region meet its hub before what is left is compared in blocks.
@@ -79,6 +79,29 @@ def _agree(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
+def _sorted_neighbours(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts next to each other in the sorted orders of large regions; ranges, not regions, are tasks."""
+    trees = large.groupBy("ident").agg(F.collect_list(F.struct("tree", "key")).alias("trees"))  # at most TREES
+    twice = F.concat("sig", "sig")
+    rest = F.transform("trees", lambda x: F.struct(x["key"].alias("key"), F.slice(twice, (x["tree"] + 1) * DEPTH + 1, DEEPER).alias("rest")))
+    d = trees.join(reps.select("ident", "sig"), "ident").select("ident", F.explode(rest).alias("x")).select("x.key", "x.rest", "ident")
+    kind = large.schema["ident"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = ident = None
+        for batch in batches:
+            a, b = [], []
+            for k, i in zip(batch.column("key").to_pylist(), batch.column("ident").to_pylist(), strict=True):
+                if k == key:
+                    a.append(min(i, ident))
+                    b.append(max(i, ident))
+                key, ident = k, i
+            kept = batch.schema.field("ident").type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kept), pa.array(b, kept)], ["a", "b"])
+
+    return d.repartitionByRange("key", "rest", "ident").sortWithinPartitions("key", "rest", "ident").select("key", "ident").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def _forest_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b), and the members (key, ident) of regions of more than SMALL texts."""
 
@@ -94,11 +117,7 @@ def _forest_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = small.select("key", F.col("ident").alias("a")).join(small.select("key", F.col("ident").alias("b")), "key").filter("a < b").select("a", "b")
     large = members.filter(F.col("n") > SMALL)
     pairs = pairs.unionByName(large.filter("ident <> lead").select(F.col("lead").alias("a"), F.col("ident").alias("b")))
-    inside = large.select("ident", "tree")
-    for depth in DEEPER:
-        deep = inside.join(reps.select("ident", "sig"), "ident").select("ident", "tree", F.get(level(depth), F.col("tree")).alias("key"))
-        stats = deep.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ident").alias("lead")).filter("n > 1")
-        pairs = pairs.unionByName(deep.join(stats, "key").filter("ident <> lead").select(F.col("lead").alias("a"), F.col("ident").alias("b")))
+    pairs = pairs.unionByName(_sorted_neighbours(large, reps))
     return pairs.distinct(), large.select("key", "ident")
 
 
