@@ -1,10 +1,11 @@
 """Brown class-based bigram language model.
 
-Word counts cover the whole training corpus. The VOCAB most frequent words are put into CLASSES classes by exchange
-clustering on their bigram counts (all training texts; at most (VOCAB + 2)^2 numbers); all other words form the rare
-class, with their own exact counts. A token's probability is P(class | class before) * P(word | class).
-Scoring knows the HEAD most frequent words in every worker (a bounded table); rarer words are counted per text and meet
-the full count table in a join.
+Word counts cover the whole training corpus. The CORE most frequent words are put into CLASSES classes by exchange
+clustering on their bigram counts. Then every other word that the training texts hold at least LEAST times is put, on
+executors, into the class that most raises the class bigram likelihood, by all its neighbours; the vocabulary with
+classes grows with the corpus. Rarer words form the rare class, with their own exact counts, where unknown words fall
+too. A token's probability is P(class | class before) * P(word | class), with transitions counted over all classes.
+Workers know the HEAD most frequent words (a bounded table); rarer words meet their class and count in a join.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import materialize
 
-VOCAB, CLASSES, PASSES = 1500, 48, 6
+CORE, CLASSES, PASSES = 2000, 48, 6
+#: Occurrences from which a word gets a class.
+LEAST = 3
 HEAD, HEAD_BYTES = 40_000, 64
 ALPHA = 0.1
-SLICE = 1 << 20
+WORDS_AT_ONCE = 500
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -49,34 +52,125 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bigrams(docs: DataFrame, vocab: dict[bytes, int]) -> np.ndarray:
-    """Counts of neighbours among vocabulary ids, len(vocab) for rare words and len(vocab) + 1 for the text's ends."""
-    width = len(vocab) + 2
-    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+def _tails(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, t, n, cls) of each text's words outside the head: place, times here, count and class."""
+    col = batch.column("tail")
+    size = np.nan_to_num(col.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+    flat, a = col.flatten(), 0
+    every = [flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("i", "t", "n", "cls")]
+    for n in size.tolist():
+        yield tuple(x[a : a + n] for x in every)
+        a += n
+
+
+def _flat(batch: pa.RecordBatch, head: int) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The ids of a batch's texts one after the other, -1 at each end; ids from ``head`` on are places in the words."""
+    words = pa.concat_arrays([batch.column("words").flatten()]).dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    out, done = [], 0
+    for x, n in zip(batch.column("ids").to_pylist(), batch.column("words").value_lengths().to_pylist(), strict=True):
+        ids = np.frombuffer(x, np.int32).astype(np.int64)
+        tail = ids >= head
+        ids[tail] = head + code[done + ids[tail] - head]
+        out += [ids, np.full(1, -1)]
+        done += n
+    return np.concatenate(out) if out else np.zeros(0, np.int64), words.dictionary
+
+
+def coded(docs: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """(ident, train, ids, words, times): 32-bit ids of a text's words, and its words outside ``head``, whose ids follow."""
+    sent = docs.sparkSession.sparkContext.broadcast(head)
+    kind = docs.schema["ident"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rare, end = sent.value, width - 2, width - 1
-        held = np.zeros(width * width, np.int64)
+        known, n = sent.value, len(sent.value)
         for batch in batches:
-            ids: list[int] = [end]
+            ids, words, times = [], [], []
             for t in batch.column("text").to_pylist():
-                ids.extend(known.get(w, rare) for w in tokens(t))
-                ids.append(end)
-                if len(ids) > SLICE:
-                    x = np.array(ids, np.int64)
-                    held += np.bincount(x[:-1] * width + x[1:], minlength=width * width)
-                    ids = [end]
-            x = np.array(ids, np.int64)
+                ws = tokens(t)
+                x = np.fromiter((known.get(w, -1) for w in ws), np.int32, len(ws))
+                at = np.nonzero(x < 0)[0]
+                own: dict[bytes, int] = {}
+                x[at] = [n + own.setdefault(ws[i], len(own)) for i in at.tolist()]
+                ids.append(x.tobytes())
+                words.append(list(own))
+                times.append(np.bincount(x[at] - n, minlength=len(own)).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("train"), pa.array(ids, pa.binary()), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], ["ident", "train", "ids", "words", "times"])
+
+    return docs.mapInArrow(run, f"ident {kind}, train boolean, ids binary, words array<binary>, times array<long>")
+
+
+def bigrams(codes: DataFrame, core: int) -> np.ndarray:
+    """Counts of neighbours among the ``core`` first ids, ``core`` for other words and core + 1 for the text's ends."""
+    width = core + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(width * width, np.int64)
+        for batch in batches:
+            x = np.concatenate([[width - 1], *[np.append(np.minimum(np.frombuffer(b, np.int32), core), width - 1) for b in batch.column("ids").to_pylist()]]).astype(np.int64)
             held += np.bincount(x[:-1] * width + x[1:], minlength=width * width)
         at = np.nonzero(held)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["pair", "n"])
 
-    got = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy().tobytes()], pa.binary()) for i in (0, 1)], ["pair", "n"])
+
+    summed = codes.select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     out = np.zeros(width * width)
-    out[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy()
+    for r in summed.mapInArrow(packed, "pair binary, n binary").toLocalIterator():  # at most width^2 numbers, a partition at a time
+        out[np.frombuffer(r["pair"], np.int64)] = np.frombuffer(r["n"], np.int64)
     return out.reshape(width, width)
 
 
+def assigned(codes: DataFrame, head: list[bytes], own: np.ndarray, table: np.ndarray) -> DataFrame:
+    """(word, id, n, cls) of the words outside the core that occur LEAST times; id is null outside ``head``.
+
+    ``own`` has the classes of the core, ``table`` the class bigrams in which all other words are one class. A word's
+    neighbours are counted by class, and the word goes where it adds most to the likelihood of the class bigrams.
+    """
+    core, k, n_head = len(own) - 2, len(table), len(head)
+    classes, rare, end = k - 2, k - 2, k - 1
+    sent = codes.sparkSession.sparkContext.broadcast((own, table))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = np.append(sent.value[0][:core], [end])  # -1 is the end
+        for batch in batches:
+            x, words = _flat(batch, n_head)
+            if not len(x):
+                continue
+            c = np.where(x < core, of[np.minimum(x, core)], rare)
+            at = np.nonzero(x >= core)[0]
+            # a text's last id is -1, so that a word always has a successor
+            keys = np.concatenate([x[at] * 2 * k + c[at + 1], x[at] * 2 * k + k + np.where(at > 0, c[at - 1], end)])
+            key, n = np.unique(keys, return_counts=True)
+            word, ctx = key // (2 * k), key % (2 * k)
+            tail = word >= n_head
+            code = pa.array(np.maximum(word - n_head, 0), mask=~tail)
+            yield pa.RecordBatch.from_arrays([words.take(code), pa.array(word, pa.int64(), mask=tail), pa.array(ctx, pa.int64()), pa.array(n, pa.int64())], ["word", "id", "ctx", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = sent.value[1]
+        f = lambda x: x * np.log(np.maximum(x, 1.0))
+        to = np.concatenate([t[:classes].T, t[:, :classes]])  # of a successor's or predecessor's class: its bigrams with each class
+        base, rows, cols = f(to), t[:classes].sum(1), t[:, :classes].sum(0)
+        for whole in batches:
+            for a in range(0, whole.num_rows, WORDS_AT_ONCE):
+                batch = whole.slice(a, WORDS_AT_ONCE)
+                size = batch.column("near").value_lengths().to_numpy()
+                flat = batch.column("near").flatten()
+                ctx, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("ctx", "n"))
+                total = batch.column("n").to_numpy().astype(np.float64)[:, None]
+                gain = np.add.reduceat(f(to[ctx] + n[:, None]) - base[ctx], np.concatenate([[0], np.cumsum(size)[:-1]]))
+                gain -= f(rows + total) - f(rows) + f(cols + total) - f(cols)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("id"), batch.column("n"), pa.array(gain.argmax(1).astype(np.int32))], ["word", "id", "n", "cls"])
+
+    met = codes.select("ids", "words").mapInArrow(near, "word binary, id long, ctx long, n long").groupBy("word", "id", "ctx").agg(F.sum("n").alias("n"))
+    # each occurrence has one successor and one predecessor
+    by = met.groupBy("word", "id").agg((F.sum("n") / 2).cast("long").alias("n"), F.collect_list(F.struct("ctx", "n")).alias("near")).filter(F.col("n") >= LEAST)
+    return by.mapInArrow(choose, "word binary, id long, n long, cls int")
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
     """A class for each row of ``pairs``: words move to the class that most raises the class bigram likelihood.
 
@@ -133,39 +227,76 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
 
 
 class Model:
-    """What scoring needs of the training corpus; its size is bounded by HEAD and CLASSES."""
+    """What scoring needs of the training corpus in every worker; its size is bounded by HEAD and CLASSES."""
 
-    def __init__(self, counts: DataFrame, docs: DataFrame) -> None:
-        short = counts.filter(F.length("word") <= HEAD_BYTES)
-        head = short.orderBy(F.desc("n"), "word").limit(HEAD).collect()  # at most HEAD short words
-        self.n_docs = docs.count()
+    def __init__(self, counts: DataFrame, head: list, codes: DataFrame) -> None:
+        self.n_docs = codes.count()
         sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.total = int(sums["n"] or 0) + self.n_docs
         self.distinct = int(sums["v"]) + (self.n_docs > 0)
         self.unit = self.total + ALPHA * (self.distinct + 1)
-        vocab = {bytes(r["word"]): i for i, r in enumerate(head[:VOCAB])}
-        pairs = bigrams(docs, vocab)
+        core = min(CORE, len(head))
+        pairs = bigrams(codes, core)
         own = exchange(pairs)
-        k = int(own.max()) + 1
+        k = self.k = int(own.max()) + 1
         member = np.zeros((len(pairs), k))
         member[np.arange(len(pairs)), own] = 1
         table = member.T @ pairs @ member
+        del pairs, member
         self.rare, self.end = k - 2, k - 1
+        #: (word, id, n, cls) of all words with a class outside the core
+        self.others = materialize(assigned(codes, [bytes(r["word"]) for r in head], own, table))
+        n = np.array([r["n"] for r in head], np.float64)
+        cls = np.full(len(head), self.rare, np.int64)
+        cls[:core] = own[:core]
+        for r in self.others.filter("id is not null").select("id", "cls").collect():  # at most HEAD
+            cls[r["id"]] = r["cls"]
+        self.in_class = np.bincount(own[:core], n[:core], k)
+        in_others = 0
+        for r in self.others.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+            self.in_class[r["cls"]] += r["n"]
+            in_others += r["v"]
+        self.rare_unit = int(sums["n"] or 0) - self.in_class.sum() + ALPHA * (int(sums["v"]) - core - in_others + 1)
+        self.cls = cls.astype(np.int16)
+        self.padded = np.append(self.cls, np.int16(0))
+        self.emit = self.emission(n, cls)
+        self.base = np.log10((n + ALPHA) / self.unit)
+        self.end_base = float(np.log10((self.n_docs + ALPHA) / self.unit))
+
+    def emission(self, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        return np.where(cls == self.rare, np.log10((n + ALPHA) / max(self.rare_unit, 1e-300)), np.log10(np.maximum(n, 1) / np.maximum(self.in_class[cls], 1)))
+
+    def learn_moves(self, met: DataFrame) -> None:
+        """Counts the class transitions of training texts, all words' classes known."""
+        m, k = met.sparkSession.sparkContext.broadcast(self.sent()), self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(k * k, np.int64)
+            for batch in batches:
+                for x, (i, _, _, cls) in zip(batch.column("ids").to_pylist(), _tails(batch), strict=True):
+                    c = m.value.classes(np.frombuffer(x, np.int32), i, cls)
+                    held += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(held)], ["pair", "n"])
+
+        got = met.select("ids", "tail").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+        table = np.zeros(k * k)
+        table[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy()
+        table = table.reshape(k, k)
         self.move = np.log10((table + ALPHA) / (table.sum(1, keepdims=True) + ALPHA * k))
-        in_class = np.zeros(k)
-        for r, c in zip(head[:VOCAB], own, strict=False):
-            in_class[c] += r["n"]
-        rare_n, rare_v = int(sums["n"] or 0) - in_class.sum(), int(sums["v"]) - len(vocab)
-        self.rare_unit = rare_n + ALPHA * (rare_v + 1)
-        #: word -> (class, log emission, log unigram); rare words' emissions are log(c + ALPHA) - log(rare_unit)
-        self.words: dict[bytes, int] = {}
-        cls, emit, base = [], [], []
-        for i, r in enumerate(head):
-            self.words[bytes(r["word"])] = i
-            cls.append(own[i] if i < len(vocab) else self.rare)
-            emit.append(np.log10(r["n"] / in_class[own[i]]) if i < len(vocab) else np.log10((r["n"] + ALPHA) / self.rare_unit))
-            base.append(np.log10((r["n"] + ALPHA) / self.unit))
-        self.cls, self.emit, self.base = np.array([*cls, self.rare, self.end], np.int16), np.array([*emit, 0.0, 0.0]), np.array([*base, 0.0, np.log10((self.n_docs + ALPHA) / self.unit)])
+
+    def sent(self) -> Model:
+        """The model without its table of other words, which stays a DataFrame."""
+        out = object.__new__(Model)
+        out.__dict__ = {x: y for x, y in self.__dict__.items() if x != "others"}
+        return out
+
+    def classes(self, ids: np.ndarray, i: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """The classes of a text's words between two ends; ``cls`` has those of the words outside the head, at places ``i``."""
+        own = np.empty(len(i) + 1, np.int64)
+        own[i] = cls
+        head = len(self.cls)
+        c = np.where(ids < head, self.padded[np.minimum(ids, head)], own[np.maximum(ids - head, 0)])
+        return np.concatenate([[self.end], c, [self.end]]).astype(np.int64)
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -175,43 +306,34 @@ def score(docs: DataFrame, train: Column, text: str = "text", ident: str = "doc_
     """
     spark = docs.sparkSession
     d = docs.select(F.col(ident).alias("ident"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    learned = d.filter("train")
-    counts = materialize(word_counts(learned))
-    model = Model(counts, learned)
-    sent = spark.sparkContext.broadcast(model)
+    counts = materialize(word_counts(d.filter("train")))
+    head = counts.filter(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).collect()  # at most HEAD short words
+    codes = materialize(coded(d, {bytes(r["word"]): i for i, r in enumerate(head)}).withColumn("row", F.monotonically_increasing_id()))
+    model = Model(counts, head, codes.filter("train"))
     kind = d.schema["ident"].dataType.simpleString()
 
+    rest = codes.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("i", "x")).select("row", "i", F.col("x.words").alias("word"), F.col("x.times").alias("t"))
+    known = counts.join(model.others.filter("id is null").select("word", "cls"), "word", "left")
+    found = rest.join(known, "word", "left").select("row", F.struct("i", "t", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(model.rare)).alias("cls")).alias("x"))
+    met = codes.select("row", "ident", "train", "ids").join(found.groupBy("row").agg(F.collect_list("x").alias("tail")), "row", "left")
+    met = materialize(met.select("ident", "train", "ids", "tail"))
+    model.learn_moves(met.filter("train"))
+    sent = spark.sparkContext.broadcast(model.sent())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        tail, end = len(m.words), len(m.words) + 1
         for batch in batches:
             rows = []
-            for t in batch.column("text").to_pylist():
-                words = tokens(t)
-                ids = np.fromiter((m.words.get(w, tail) for w in words), np.int64, len(words))
-                ids = np.append(ids, end)
-                c = m.cls[ids]
-                before = np.append([m.end], c[:-1])
-                unknown = np.nonzero(ids == tail)[0]
-                rest = Counter(words[i] for i in unknown.tolist())
-                rows.append((len(ids), len(ids) - len(unknown), float(m.base[ids].sum()), float(m.move[before, c].sum() + m.emit[ids].sum()), list(rest), list(rest.values())))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("train"), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], ["ident", "train", "n_tokens", "known", "base", "own", "words", "times"])
-
-    first = d.mapInArrow(run, f"ident {kind}, train boolean, n_tokens long, known long, base double, own double, words array<binary>, times array<long>")
-    first = materialize(first.withColumn("row", F.monotonically_increasing_id()))
-    rest = first.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("t"))
-    met = rest.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    log_c = F.log10(F.col("n") + F.lit(ALPHA))
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("more"), F.sum(F.col("t") * log_c).alias("logs"), F.sum("t").alias("rare"))
-    out = first.drop("words", "times").join(sums, "row", "left").fillna({"more": 0, "logs": 0.0, "rare": 0})
-    return out.select(
-        F.col("ident").alias(ident),
-        (~F.col("train")).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.col("more")).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("logs") - F.col("rare") * F.lit(float(np.log10(model.unit)))).alias("base_score"),
-        (F.col("own") + F.col("logs") - F.col("rare") * F.lit(float(np.log10(max(model.rare_unit, 1e-300))))).alias("score"),
-    )
+            for x, (i, t, n, cls) in zip(batch.column("ids").to_pylist(), _tails(batch), strict=True):
+                ids = np.frombuffer(x, np.int32)
+                c = m.classes(ids, i, cls)
+                of = ids[ids < len(m.cls)]
+                base = m.base[of].sum() + m.end_base + (t * np.log10((n + ALPHA) / m.unit)).sum()
+                own = m.move[c[:-1], c[1:]].sum() + m.emit[of].sum() + (t * m.emission(n, cls)).sum()
+                rows.append((len(ids) + 1, len(of) + 1 + int(t[n > 0].sum()), float(base), float(own)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("train"), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], ["ident", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    out = met.mapInArrow(run, f"ident {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("ident").alias(ident), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
