@@ -87,6 +87,11 @@ def lcp_array(spark, sf):
     return index.lcp(index.build(r), r, CAP)
 
 
+def lcp_array_whole(spark, sf):
+    r = reads(spark, sf)
+    return index.lcp(index.build(r), r)
+
+
 def recover_string(spark, sf):
     r = reads(spark, sf)
     i = index.build(r)
@@ -159,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recover_string": recover_string,
     "dollar_id": lambda s, d: index.provenance(reads(s, d), _idx(s, d).filter("sym = '$'").select("read_rank")),
     "lcp_array": lcp_array,
+    "lcp_array_whole": lcp_array_whole,
     "pileup": lambda s, d: search.pileup(refs(s, d), raw_reads(s, d), K),
     "other_choices": lambda s, d: search.other_choices(refs(s, d), raw_reads(s, d), K),
     "other_choices_both": lambda s, d: search.other_choices(refs(s, d), raw_reads(s, d), K, stranded=False),
@@ -251,6 +257,7 @@ v as (select kmer, 'exact' as kind, kmer as variant from kmers
         "recover_string": f"{_I} select row, read_rank, pos, suffix || substr(q, 1, pos) as rotation from idx",
         "dollar_id": f"{_R} select read_rank, file_id, seq_id from reads",
         "lcp_array": f"{_index_with(CAP)} , nx as (select row, rot, lead(rot) over (order by row) as n from idx) select row, (case when n is null then 0 else coalesce(list_min(list_filter(range(1, {CAP} + 1), lambda i: substr(rot, i::int, 1) <> substr(n, i::int, 1))) - 1, {CAP}) end)::int as lcp from nx",
+        "lcp_array_whole": f"{_index_with(255)} , nx as (select row, rot, lead(rot) over (order by row) as n from idx) select row, (case when n is null then 0 when rot = n then 255 else list_min(list_filter(range(1, 256), lambda i: substr(rot, i::int, 1) <> substr(n, i::int, 1))) - 1 end)::int as lcp from nx",
         "pileup": f"{_R}, {_kc(K)}, {_REFS}, {_wins('refs', K, 'ref_id, ')} select ref_id, pos::int as pos, (coalesce(a.cnt, 0) + coalesce(b.cnt, 0))::bigint as cnt from w left join kc a on a.kmer = w.kmer left join kc b on b.kmer = {_RC('w.kmer')}",
         "other_choices": f"{_R}, {_kc(K)}, {tails}, {_REFS}, {other('refs', 'o')} select ref_id, pos::int as pos, cnt::bigint as cnt, other::bigint as other from o",
         "other_choices_both": f"{_R}, {_kc(K)}, {tails}, {_REFS}, rrefs as (select ref_id, {_RC('seq')} as seq from refs), {other('refs', 'o')}, {other('rrefs', 'z')} select o.ref_id, o.pos::int as pos, (o.cnt + z.cnt)::bigint as cnt, (o.other + z.other)::bigint as other from o join z on z.ref_id = o.ref_id and z.pos = o.len - {K} - o.pos",
