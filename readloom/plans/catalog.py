@@ -133,6 +133,12 @@ def best_prefix(spark, sf):
     return r.select("ref_id", b.alias("b")).select("ref_id", "b.ed", "b.length")
 
 
+def best_prefix_whole(spark, sf):
+    r = refs(spark, sf)
+    b = align.best_prefix(reverse_complement(F.col("seq")), F.col("seq"))
+    return r.select("ref_id", b.alias("b")).select("ref_id", "b.ed", "b.length")
+
+
 def affine_cigar(spark, sf):
     r = refs(spark, sf)
     return r.select("ref_id", align.cigar(F.col("seq"), reverse_complement(F.col("seq"))).alias("cigar"))
@@ -182,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reads_matching_1snp": lambda s, d: search.reads_matching_one_change(refs(s, d), reads(s, d), SNIP),
     "edit_distance": edit_distance,
     "best_prefix": best_prefix,
+    "best_prefix_whole": best_prefix_whole,
     "affine_cigar": affine_cigar,
     "assemble_graph": assemble_graph,
     "kmer_ed2": kmer_ed2,
@@ -275,6 +282,7 @@ v as (select kmer, 'exact' as kind, kmer as variant from kmers
         "reads_matching_1snp": f"{_R}, {_REFS}, {_wins('refs', SNIP, 'ref_id, ')}, h as (select distinct ref_id, kmer from w), r as (select read_rank, substr(seq, 1, {SNIP}) as head from reads where length(seq) >= {SNIP}) select distinct ref_id, read_rank from h join r on hamming(kmer, head) <= 1",
         "edit_distance": f"with {_REFS} select ref_id, levenshtein(seq, {_RC('seq')})::int as ed from refs",
         "best_prefix": f"with {_REFS}, e as (select ref_id, unnest(range(length(seq) + 1))::int as n, seq from refs), d as (select ref_id, n, levenshtein(substr(seq, 1, {SNIP}), substr(seq, 1, n))::int as ed from e) select ref_id, min(ed) as ed, arg_min(n, ed * 100000 - n) as length from d group by ref_id",
+        "best_prefix_whole": f"with {_REFS}, e as (select ref_id, unnest(range(length(seq) + 1))::int as n, seq from refs), d as (select ref_id, n, levenshtein({_RC('seq')}, substr(seq, 1, n))::int as ed from e) select ref_id, min(ed) as ed, arg_min(n, ed * 100000 - n) as length from d group by ref_id",
     }
 
 
