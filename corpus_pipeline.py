@@ -22,9 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keyed.join(out, "__k", "left_anti").drop("__k")
 
 
+#: A line on this many sites is boilerplate; shorter lines carry no content.
+SITES, LINE_CHARS = 3, 4
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines; those of which nothing is left go."""
-    d = line_dedup.dedup_lines(docs)
+    d = line_dedup.dedup_lines(docs, min_sites=SITES, min_chars=LINE_CHARS)
     return d.filter((F.col("n_removed") == 0) | F.rlike(F.col("text"), F.lit(r"[^\x20\x09-\x0D]"))).drop("n_lines", "n_removed")
 
 
