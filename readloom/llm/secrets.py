@@ -10,15 +10,16 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: What a candidate looks like. The first group is the candidate.
+#: What a candidate looks like. The first group is the candidate and ends the match. Runs are possessive and have no upper bound.
 PATTERNS = {
     "access_key": r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9])",
     "private_key": r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)",
-    "prefixed": r"(?<![A-Za-z0-9_])((?:ghp_|gho_|sk-|xox[bp]-|glpat-)[A-Za-z0-9_\-]{16,200})",
-    "assigned": r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key|credential)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_\-.$@!]{8,200})",
-    "long_token": r"(?<![A-Za-z0-9+/_\-])((?=[A-Za-z0-9+/_\-]{0,199}[0-9])[A-Za-z0-9+/_\-]{32,200})(?![A-Za-z0-9+/_\-])",
+    "prefixed": r"(?<![A-Za-z0-9_])((?:ghp_|gho_|sk-|xox[bp]-|glpat-)[A-Za-z0-9_\-]{16,}+)",
+    "assigned": r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key|credential)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_\-.$@!]{8,}+)",
+    "long_token": r"(?<![A-Za-z0-9+/_\-])((?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{32,}+)",
 }
 #: Words whose presence speaks for or against a secret.
 FOR_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
@@ -32,16 +33,29 @@ FEATURES = ("length", "digits", "uppers", "transitions", "distinct", "hexadecima
 
 
 def candidates(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """(ident, kind, secret, start, n, before): each distinct candidate of a text with its first place and its count."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(t, F.lit(p), F.lit(1)).alias("all")) for k, p in PATTERNS.items()])
-    d = docs.select(F.col(ident).alias("ident"), t.alias("text"), found.alias("found"))
+    """(ident, kind, secret, start, n, before): each occurrence of a candidate with its place, and its count in the text."""
+    t, longs = F.coalesce(F.col(text), F.lit("")), "array<bigint>"
+
+    def of(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+        # the text up to the end of each match, from the end of the match before
+        parts = F.when(F.size(found) > 0, F.regexp_extract_all(t, F.lit(rf"\G(?s:.*?)(?:{pattern})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(longs).alias("all"))
+        step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(p))).alias("all"))
+        return F.struct(F.lit(kind).alias("kind"), found.alias("all"), F.aggregate(parts, state, step, lambda a: a["all"]).alias("ends"))
+
+    d = docs.select(F.col(ident).alias("ident"), t.alias("text"), F.array(*[of(k, p) for k, p in PATTERNS.items()]).alias("found"))
     d = d.withColumn("hit", F.explode(F.filter("found", lambda x: F.size(x["all"]) > 0))).drop("found")
-    # the place is taken here, beside the text, so that no text is moved
-    d = d.select("ident", "text", F.col("hit.kind").alias("kind"), F.col("hit.all").alias("all"), F.explode(F.array_distinct("hit.all")).alias("secret"))
-    d = d.withColumn("n", F.size(F.filter("all", lambda x: x == F.col("secret"))).cast("long")).withColumn("start", (F.instr("text", F.col("secret")) - 1).cast("long"))
-    before = F.substring("text", F.greatest(F.lit(1), F.col("start") - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), F.col("start")).cast("int"))
-    return d.select("ident", "kind", "secret", "start", "n", before.alias("before"))
+
+    # the context is taken here, beside the text, so that no text is moved
+    def place(x: Column) -> Column:
+        start = x["ends"] - F.length(x["all"])
+        before = F.substring("text", F.greatest(F.lit(1), start - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), start).cast("int"))
+        n = F.size(F.filter("hit.all", lambda y: y == x["all"])).cast("long")
+        return F.struct(x["all"].alias("secret"), start.alias("start"), n.alias("n"), before.alias("before"))
+
+    d = d.select("ident", F.col("hit.kind").alias("kind"), F.explode(F.transform(F.arrays_zip("hit.all", "hit.ends"), place)).alias("x"))
+    return d.select("ident", "kind", "x.*")
 
 
 def _share(value: Column, kept: str) -> Column:
@@ -113,11 +127,13 @@ def train(labelled: DataFrame, limit: int = MAX_LABELLED) -> RandomForestClassif
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", ident: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """(ident, kind, secret, start, n, probability, is_secret), one row for each distinct candidate of a pattern in a text.
+    """(ident, kind, secret, start, n, probability, is_secret), one row for each occurrence of a candidate of a pattern.
 
-    Null and empty texts have no findings; repeated rows repeat theirs. ``start`` counts code points from 0.
+    Each occurrence has the probability of its own context. A string is a secret in all its places in the texts of an id
+    if it is one in any. Null and empty texts have no findings; repeated rows repeat theirs. ``start`` counts code points from 0.
     """
     rows = with_features(candidates(docs, text, ident))
     judged = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
     p = vector_to_array(F.col("probability"))[1]
-    return judged.select(F.col("ident").alias(ident), "kind", "secret", "start", "n", p.alias("probability"), (p >= threshold).alias("is_secret"))
+    out = judged.select(F.col("ident").alias(ident), "kind", "secret", "start", "n", p.alias("probability"))
+    return out.withColumn("is_secret", F.max("probability").over(W.partitionBy(ident, "secret")) >= threshold)
