@@ -24,8 +24,6 @@ WINDOW = 2048
 #: Documents that one inverted index holds.
 SHARD_DOCS = 2048
 K1, B = 1.2, 0.75
-#: Neighbours that one look at the index returns; a window that needs more looks again.
-NEXT = 32
 HASH_BITS = 32
 #: Words whose ids a worker keeps, and again as many older ones.
 KEPT = 400_000
@@ -208,6 +206,11 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, n, words / max(1, n)
 
 
+def weights(df: np.ndarray, n: int) -> np.ndarray:
+    """The BM25 idf of ids that ``df`` of ``n`` documents hold; above 0 for all."""
+    return np.log(1 + (n - df + 0.5) / (df + 0.5)) if n else np.zeros(1)
+
+
 def _signs(terms: int) -> np.ndarray:
     return np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (terms, HASH_BITS))
 
@@ -239,8 +242,6 @@ class Index:
         self.terms = []
         for i, x in enumerate(ids):
             at, n = np.unique(x, return_counts=True)
-            held = idf[at] > 0  # no weight, no posting
-            at, n = at[held], n[held]
             self.terms.append(at)
             terms.append(at)
             docs.append(np.full(len(at), i, np.int32))
@@ -253,8 +254,6 @@ class Index:
         self.n = len(ids)
 
     def scores(self, doc: int) -> np.ndarray:
-        if not len(self.terms[doc]):
-            return np.zeros(self.n)
         at = np.searchsorted(self.used_terms, self.terms[doc])
         start, size = self.starts[at], self.ends[at] - self.starts[at]
         total = int(size.sum())
@@ -293,7 +292,7 @@ def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> It
                 break
             doc = first
         else:
-            doc = queue.pop(0)
+            doc = queue.pop()
         used[doc] = True
         begun = held == 0
         turned = put(doc)
@@ -301,9 +300,7 @@ def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> It
             scores = index.scores(doc)
             scores[used] = -1.0
             top = np.nonzero(scores > 0)[0]
-            if len(top) > 4 * NEXT:
-                top = top[np.argpartition(-scores[top], NEXT)[:NEXT]]
-            queue = top[np.lexsort((top, -scores[top]))].tolist()
+            queue = top[np.lexsort((top, -scores[top]))][::-1].tolist()  # all neighbours, the best last
     full = [p for p in pieces if p[3] < seq]
     yield from full
     last, cut, at = [p for p in pieces if p[3] == seq], held, 0
@@ -330,7 +327,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     spark = docs.sparkSession
     tokens = materialize(tokenized(docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")), tokenizer_path, end_id))
     df, n, mean = frequencies(tokens)
-    idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))) if n else np.zeros(1)  # ids in half of all documents weigh nothing
+    idf = weights(df, n)
     kind = tokens.schema["ident"].dataType.simpleString()
     sent = spark.sparkContext.broadcast(idf)
     placed = layout(tokens, idf)
