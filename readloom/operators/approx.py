@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators.search import counts_of
+from readloom.operators.search import counts_of, find_ranges
 
 _LETTERS = "ACGNT"
 
@@ -61,6 +61,16 @@ def reads_with_error(queries: DataFrame, reads: DataFrame) -> DataFrame:
     return whole_read_variants(queries).join(reads.select("read_rank", F.col("seq").alias("variant")), "variant").select("query", "read_rank").distinct()
 
 
+def ranges_with_error(queries: DataFrame, index: DataFrame, reads: DataFrame, longest: int) -> DataFrame:
+    """(query, variant, l, h): the rows whose rotation starts with the query or a variant of it, wherever in a read that is.
+
+    ``longest`` is the length of the longest query.
+    """
+    v = whole_read_variants(queries).distinct()
+    found = find_ranges(index, reads, v.select(F.col("variant").alias("pattern")), longest).filter("h > l")
+    return v.join(found.withColumnRenamed("pattern", "variant"), "variant").select("query", "variant", "l", "h")
+
+
 def kmers_within(kmers: DataFrame, reads: DataFrame, edits: int, least: int = 1) -> DataFrame:
     """(kmer, variant, ops, cnt) with up to ``edits`` edits; ops has 0 for a match or substitution, 1 insertion, 2 deletion.
 

@@ -20,7 +20,8 @@ TILE = 1_000_000
 #: Patterns of the range query; some hold ``$`` or wrap around a read's end.
 PATTERNS = ("", "A", "CA", "ACG", "$ACG", "T$A", "TT", "CG", "N$", "GGGGGG", "ACGT$", "NANA")
 WILDCARDS = "A?C*N$"
-SEED_MIN = 5
+#: More nodes than the explored component has.
+NODES = 100_000
 #: Reads that hold this are deleted.
 GONE = "NANA"
 
@@ -146,7 +147,7 @@ def affine_cigar(spark, sf):
 
 def assemble_graph(spark, sf):
     seed = search.kmer_counts(raw_reads(spark, sf), 12).orderBy(F.desc("cnt"), "kmer").first()["kmer"]
-    nodes, _ = graph.explore(spark, raw_reads(spark, sf), seed, max_nodes=8, threshold=SEED_MIN, overload=10**9)
+    nodes, _ = graph.explore(spark, raw_reads(spark, sf), seed, max_nodes=NODES)
     return nodes
 
 
