@@ -14,187 +14,97 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.common import materialize
+from readloom.llm.tokens import encoder
 
 WINDOW = 2048
-#: Documents that one inverted index holds.
+#: Documents that one inverted index holds, about; twice as many, or so many ids, at most (one longer document is a shard of its own).
 SHARD_DOCS = 2048
+SHARD_IDS = 1 << 22
+#: Bytes of ids in a partition, which may hold many shards.
+PARTITION = 256 << 20
 K1, B = 1.2, 0.75
 HASH_BITS = 32
-#: Words whose ids a worker keeps, and again as many older ones.
-KEPT = 400_000
-#: Fixed value: how the tokenizer file cuts words into pieces.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-
-def _byte_symbols() -> list[str]:
-    """The printable symbol of each byte in byte-level vocabularies: itself, or one from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [x for x in range(256) if x not in set(plain)]
-    return [chr(x) if x in set(plain) else chr(256 + rest.index(x)) for x in range(256)]
-
-
-class Merges:
-    """Byte-pair merges of a tokenizers file, for many pieces of equal length at once."""
-
-    NONE = np.int64(1 << 40)
-
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
-        symbols = _byte_symbols()
-        self.first = np.array([vocab[x] for x in symbols], np.int64)
-        self.last = np.array([vocab[x + end] for x in symbols], np.int64)
-        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
-        keys = np.array([vocab[x] << 20 | vocab[y] for x, y in pairs], np.int64)
-        self.merged = np.array([vocab[x + y] for x, y in pairs], np.int64)
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-
-    def ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        key = np.where((x < 0) | (y < 0), -1, x << 20 | y)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.order[at], self.NONE)
-
-    def apply(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids (little-endian, 32 bit) of each piece: the pair of least rank, leftmost first, is merged until none is left."""
-        out: list[bytes] = [b""] * len(pieces)
-        by: dict[int, list[int]] = {}
-        for i, p in enumerate(pieces):
-            by.setdefault(len(p), []).append(i)
-        for size, at in by.items():
-            raw = np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(-1, size)
-            x = self.first[raw]
-            x[:, -1] = self.last[raw[:, -1]]
-            left = np.full(len(at), size)
-            if size > 1:
-                rank, live, cols = self.ranks(x[:, :-1], x[:, 1:]), np.arange(len(at)), np.arange(size)
-                while len(live):
-                    r = rank[live]
-                    p = r.argmin(1)
-                    m = r[np.arange(len(live)), p]
-                    go = m < self.NONE
-                    live, r, p, m = live[go], r[go], p[go], m[go]
-                    if not len(live):
-                        break
-                    rows = np.arange(len(live))
-                    y = np.take_along_axis(x[live], np.minimum(cols + (cols > p[:, None]), size - 1), 1)
-                    y[rows, p] = self.merged[m]
-                    left[live] -= 1
-                    y[rows, left[live]] = -1
-                    c = cols[:-1]
-                    r = np.take_along_axis(r, np.minimum(c + (c > p[:, None]), size - 2), 1)
-                    before, after = np.maximum(p - 1, 0), np.minimum(p + 1, size - 1)
-                    r[rows, before] = np.where(p > 0, self.ranks(y[rows, before], y[rows, p]), r[rows, before])
-                    here = np.minimum(p, size - 2)
-                    r[rows, here] = np.where(p < left[live] - 1, self.ranks(y[rows, here], y[rows, after]), np.where(p < size - 1, self.NONE, r[rows, here]))
-                    r[c[None, :] >= (left[live] - 1)[:, None]] = self.NONE
-                    x[live], rank[live] = y, r
-            ids = x.astype(np.uint32)
-            for i, row, n in zip(at, ids, left.tolist(), strict=True):
-                out[i] = row[:n].tobytes()
-        return out
-
-
-class Encoder(dict):
-    """Ids of words under a tokenizers file whose words never reach over white space; known words are kept.
-
-    Latin words are cut into the tokenizer's own pieces, whose merges :class:`Merges` does for many at once; all other
-    words go to the tokenizer itself.
-    """
+#: A term in one of so many documents of a shard, or in more, is scored by matrix products; the others by postings.
+COMMON = 8
+BLOCK = 256
 
-    def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
-        self.older: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.find = regex.compile(PIECES).findall
-
-    def _coded(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [np.array(x.ids, np.uint32).tobytes() for x in coded]
-
-    def learn(self, words: list[bytes]) -> None:
-        cut, whole = [], []
-        for w in words:
-            t = w.decode("utf-8", "replace")
-            # below U+0250 all is in normal form; what is not printable may be white space of another kind
-            if max(t) < "\u0250" and t.isprintable() and "<|" not in t and "\u0130" not in t:
-                cut.append((w, self.find(t.lower())))
-            else:
-                whole.append((w, t))
-        new = list({p for _, ps in cut for p in ps}.difference(self.parts))
-        short = [p for p in new if len(p) <= 40]
-        self.parts.update(zip(short, self.merges.apply([p.encode() for p in short]), strict=True))
-        long = [p for p in new if len(p) > 40]
-        self.parts.update(zip(long, self._coded(long), strict=True))
-        for w, ps in cut:
-            self[w] = b"".join(map(self.parts.__getitem__, ps))
-        self.update(zip([w for w, _ in whole], self._coded([t for _, t in whole]), strict=True))
-
-    def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, then ``end_id``."""
-        if len(self) > KEPT:
-            self.older = dict(self)
-            self.clear()
-        if len(self.parts) > KEPT:
-            self.parts.clear()
-        # lower-casing A-Z first makes fewer words differ; it must not make a special token
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*split).difference(self)
-        if self.older:
-            self.update({w: self.older[w] for w in new if w in self.older})
-            new.difference_update(self)
-        if new:
-            self.learn(list(new))
-        end = np.array([end_id], np.uint32).tobytes()
-        return [b"".join(map(self.__getitem__, ws)) + end for ws in split]
-
-
-def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(ident, ids binary) of (ident, text)."""
-    kind = docs.schema["ident"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (size < 1 << 22 or b == a):
-                    size += len(texts[b])
-                    b += 1
-                ids = encoder.encode(texts[a:b], end_id)
-                yield pa.RecordBatch.from_arrays([batch.column("ident").slice(a, b - a), pa.array(ids, pa.binary())], ["ident", "ids"])
-                a = b
+def id_type(path: str, end_id: int) -> str:
+    """The narrowest unsigned type for the ids of a tokenizers file."""
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    top = max([end_id, *j["model"]["vocab"].values(), *[x["id"] for x in j["added_tokens"]]])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
+def binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An Arrow column of binaries: ``values`` cut into ``sizes``."""
+    offsets = np.concatenate([[0], np.cumsum(sizes * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
 
-    return docs.select("ident", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"ident {kind}, ids binary")
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of a column of binaries without nulls."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind), np.diff(at) // np.dtype(kind).itemsize
 
 
-def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
+def tokenized(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
+    """(ident, ids binary) of (ident, text)."""
+    own = docs.schema["ident"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
+        for batch in batches:
+            done = 0
+            for ids, sizes in coder.encode([t or b"" for t in batch.column("text").to_pylist()], end_id):
+                yield pa.RecordBatch.from_arrays([batch.column("ident").slice(done, len(sizes)), binaries(ids.astype(kind), sizes)], ["ident", "ids"])
+                done += len(sizes)
+
+    return docs.select("ident", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"ident {own}, ids binary")
+
+
+def terms_of(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, their counts, where each document's begin) of documents of at least one id."""
+    v = values.copy()
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        v[a:b].sort()
+    new = np.empty(len(v), bool)
+    np.not_equal(v[1:], v[:-1], out=new[1:])
+    new[ends - sizes] = True
+    at = np.flatnonzero(new)
+    return v[at], np.diff(at, append=len(v)), np.searchsorted(at, ends - sizes)
+
+
+def parts(values: np.ndarray, sizes: np.ndarray, held: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(values, sizes) of runs of documents of about ``held`` ids."""
+    ends = np.cumsum(sizes)
+    a = start = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, start + held)))
+        yield values[start : ends[b - 1]], sizes[a:b]
+        a, start = b, int(ends[b - 1])
+
+
+def frequencies(tokens: DataFrame, kind: str) -> tuple[np.ndarray, int, float]:
     """Documents that hold each id, number of documents and mean length. The vocabulary bounds the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, words = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                ids = np.frombuffer(x, np.uint32)
-                n, words = n + 1, words + len(ids)
-                seen = np.unique(ids)
-                if seen[-1] >= len(held):
-                    held = np.concatenate([held, np.zeros(int(seen[-1]) + 1 - len(held), np.int64)])
-                held[seen] += 1
+            for values, sizes in parts(*flat(batch.column("ids"), kind)):
+                n, words = n + len(sizes), words + len(values)
+                seen = np.bincount(terms_of(values, sizes)[0], minlength=len(held))
+                seen[: len(held)] += held
+                held = seen
         at = np.nonzero(held)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([held[at], [n, words]]))], ["id", "n"])
 
@@ -215,67 +125,78 @@ def _signs(terms: int) -> np.ndarray:
     return np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (terms, HASH_BITS))
 
 
-def layout(tokens: DataFrame, idf: np.ndarray) -> DataFrame:
+def layout(tokens: DataFrame, idf: np.ndarray, kind: str) -> DataFrame:
     """Adds ``place``, a similarity hash: texts of like tf-idf weights share leading bits."""
     sent = tokens.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
-    kind = tokens.schema["ident"].dataType.simpleString()
+    own = tokens.schema["ident"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = sent.value
         signs = _signs(len(weight))
         for batch in batches:
             out = []
-            for x in batch.column("ids").to_pylist():
-                at, n = np.unique(np.frombuffer(x, np.uint32), return_counts=True)
-                w = weight[at] * np.log1p(n.astype(np.float32))
-                out.append(int.from_bytes(np.packbits((w @ signs[at]) > 0).tobytes(), "big"))
-            yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("ids"), pa.array(out, pa.int64())], ["ident", "ids", "place"])
+            for values, sizes in parts(*flat(batch.column("ids"), kind), held=1 << 18):
+                terms, n, starts = terms_of(values, sizes)
+                w = weight[terms] * np.log1p(n.astype(np.float32))
+                bits = np.packbits(np.add.reduceat(signs[terms] * w[:, None], starts, axis=0) > 0, axis=1)
+                out.append(bits.view(">u4")[:, 0].astype(np.int64))
+            places = np.concatenate(out) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("ids"), pa.array(places)], ["ident", "ids", "place"])
 
-    return tokens.mapInArrow(run, f"ident {kind}, ids binary, place long")
+    return tokens.mapInArrow(run, f"ident {own}, ids binary, place long")
 
 
 class Index:
-    """BM25 over the documents of a shard."""
-
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        terms, docs, weights = [], [], []
-        self.terms = []
-        for i, x in enumerate(ids):
-            at, n = np.unique(x, return_counts=True)
-            self.terms.append(at)
-            terms.append(at)
-            docs.append(np.full(len(at), i, np.int32))
-            weights.append(idf[at] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x) / mean)))
-        t, d, w = np.concatenate(terms), np.concatenate(docs), np.concatenate(weights)
-        order = np.argsort(t, kind="stable")
-        self.docs, self.weights = d[order], w[order]
-        self.used_terms, self.starts = np.unique(t[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(order))
-        self.n = len(ids)
+    """BM25 over the documents of a shard: postings of rare terms, a matrix of the common ones."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        terms, counts, starts = terms_of(values, sizes)
+        self.n = n = len(sizes)
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts, append=len(terms)))
+        w = (idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * sizes[owner] / mean))).astype(np.float32)
+        df = np.bincount(terms)
+        common = df * COMMON >= n
+        column = np.cumsum(common) - 1
+        own = common[terms]
+        self.matrix = np.zeros((n, int(common.sum())), np.float32)
+        self.matrix[owner[own], column[terms[own]]] = w[own]
+        rest = ~own
+        rare, owner, w = terms[rest], owner[rest], w[rest]
+        order = np.argsort(rare, kind="stable")
+        self.docs, self.weights = owner[order], w[order]
+        self.ends = np.cumsum(np.where(common, 0, df))
+        self.starts = self.ends - np.where(common, 0, df)
+        self.rare, self.own = rare, np.searchsorted(owner, np.arange(n + 1))
+        self.blocks: dict[int, np.ndarray] = {}
 
     def scores(self, doc: int) -> np.ndarray:
-        at = np.searchsorted(self.used_terms, self.terms[doc])
-        start, size = self.starts[at], self.ends[at] - self.starts[at]
-        total = int(size.sum())
-        flat = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-        return np.bincount(self.docs[flat], self.weights[flat], self.n)
-
-
-def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> Iterator[tuple[int, int, int, int, int]]:
+        block, at = divmod(doc, BLOCK)
+        if block not in self.blocks:
+            rows = self.matrix[block * BLOCK : (block + 1) * BLOCK]
+            self.blocks[block] = (rows > 0).astype(np.float32) @ self.matrix.T
+        terms = self.rare[self.own[doc] : self.own[doc + 1]]
+        start, size = self.starts[terms], self.ends[terms] - self.starts[terms]
+        upto = np.cumsum(size)
+        where = np.arange(int(size.sum())) + np.repeat(start - upto + size, size)
+        return self.blocks[block][at] + np.bincount(self.docs[where], self.weights[where], self.n)
+
+
+def fill(values: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of the pieces of one shard.
 
     All sequences but the last are full; the last is cut into powers of two, which need no padding.
     """
-    index, n = Index(ids, idf, mean), len(ids)
+    index, n = Index(values, sizes, idf, mean), len(sizes)
     used = np.zeros(n, bool)
     seq = held = first = 0
-    queue: list[int] = []
+    scores: np.ndarray | None = None
     pieces: list[tuple[int, int, int, int, int]] = []
+    long = sizes.tolist()
 
     def put(doc: int) -> bool:
         """Lay out a whole document; whether a new window has begun with its rest."""
         nonlocal seq, held
-        start, size, turned = 0, len(ids[doc]), False
+        start, size, turned = 0, long[doc], False
         while start < size:
             part = min(size - start, window - held)
             pieces.append((doc, start, part, seq, held))
@@ -284,23 +205,24 @@ def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> It
                 seq, held, turned = seq + 1, 0, True
         return turned
 
-    while first < n or queue:
-        if not queue:
+    while True:
+        if scores is None:
             while first < n and used[first]:
                 first += 1
             if first == n:
                 break
             doc = first
         else:
-            doc = queue.pop()
+            doc = int(scores.argmax())
+            scores[doc] = -1.0
         used[doc] = True
         begun = held == 0
         turned = put(doc)
-        if (turned and held) or begun or not queue:
+        if begun or (turned and held) or scores is None or scores.max() <= 0:
             scores = index.scores(doc)
             scores[used] = -1.0
-            top = np.nonzero(scores > 0)[0]
-            queue = top[np.lexsort((top, -scores[top]))][::-1].tolist()  # all neighbours, the best last
+            if scores.max() <= 0:
+                scores = None  # no unused neighbour
     full = [p for p in pieces if p[3] < seq]
     yield from full
     last, cut, at = [p for p in pieces if p[3] == seq], held, 0
@@ -323,48 +245,58 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
     Null texts are empty: their only id is ``end_id``. Each row of ``docs`` is a document of its own, repeated or not;
     a null ident stays null. Sequences are ``window`` ids long but for the last few of a shard, which are powers of two.
+    A text of any length is tokenised in parts and laid over as many windows as it needs. An empty table gives no rows;
+    other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
-    tokens = materialize(tokenized(docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")), tokenizer_path, end_id))
-    df, n, mean = frequencies(tokens)
+    kind = id_type(tokenizer_path, end_id)
+    tokens = materialize(tokenized(docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")), tokenizer_path, end_id, kind))
+    df, n, mean = frequencies(tokens, kind)
     idf = weights(df, n)
-    kind = tokens.schema["ident"].dataType.simpleString()
+    own = tokens.schema["ident"].dataType.simpleString()
     sent = spark.sparkContext.broadcast(idf)
-    placed = layout(tokens, idf)
-    shards = max(1, -(-n // shard_docs))
+    placed = layout(tokens, idf, kind)
+    least = int(n * mean * np.dtype(kind).itemsize) // PARTITION + 1
+    dealt = max(least, min(-(-n // shard_docs), 4 * spark.sparkContext.defaultParallelism), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         weight, base = sent.value, TaskContext.get().partitionId() << 40
-        idents: list = []
-        ids: list[np.ndarray] = []
-        done = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            nonlocal done
-            rows = list(fill(ids, weight, mean, window))
-            doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-            crc = [zlib.crc32(ids[d][s : s + m].tobytes()) for d, s, m, _, _ in rows]
-            size = np.array([len(x) for x in ids], np.int64)
-            own = pa.array(idents, source).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([own, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[doc]), pa.array(seq + base + done), pa.array(offset)], ["ident", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        done = docs_held = ids_held = 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            nonlocal done, docs_held, ids_held
+            values, sizes = np.concatenate([v for _, v, _ in held]), np.concatenate([s for _, _, s in held])
+            doc, start, length, seq, offset = np.array(list(fill(values, sizes, weight, mean, window)), np.int64).T
+            begin = (np.cumsum(sizes) - sizes)[doc] + start
+            crc = [zlib.crc32(values[a:b].astype("<u4").tobytes()) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+            whose = pa.concat_arrays([i for i, _, _ in held]).take(pa.array(doc))
+            columns = [whose, *(pa.array(np.ascontiguousarray(x)) for x in (start, length)), pa.array(crc, pa.int64()), *(pa.array(x) for x in (sizes[doc], seq + base + done, np.ascontiguousarray(offset)))]
             done += int(seq.max()) + 1
-            idents.clear()
-            ids.clear()
+            held.clear()
+            docs_held = ids_held = 0
+            return pa.RecordBatch.from_arrays(columns, ["ident", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            source = batch.column("ident").type
-            idents_, blobs = batch.column("ident").to_pylist(), batch.column("ids").to_pylist()
-            for i, x in zip(idents_, blobs, strict=True):
-                idents.append(i)
-                ids.append(np.frombuffer(x, np.uint32))
-                if len(ids) >= 2 * shard_docs:
-                    yield from out()
-        if ids:
-            yield from out()
-
-    pieces = placed.repartitionByRange(shards, "place", F.xxhash64("ident", "ids")).sortWithinPartitions("place").mapInArrow(
-        run, f"ident {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+            values, sizes = flat(batch.column("ids"), kind)
+            ends, a = np.cumsum(sizes), 0
+            while a < len(sizes):
+                begin = int(ends[a] - sizes[a])
+                b = min(int(np.searchsorted(ends, begin + SHARD_IDS - ids_held, "right")), a + 2 * shard_docs - docs_held)
+                if b <= a and not held:
+                    b = a + 1  # longer than a shard
+                if b > a:
+                    held.append((batch.column("ident").slice(a, b - a), values[begin : int(ends[b - 1])], sizes[a:b]))
+                    docs_held, ids_held = docs_held + b - a, ids_held + int(ends[b - 1]) - begin
+                if b < len(sizes):
+                    yield out()
+                a = b
+        if held:
+            yield out()
+
+    pieces = placed.repartitionByRange(dealt, "place", F.xxhash64("ident", "ids")).sortWithinPartitions("place").mapInArrow(
+        run, f"ident {own}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
     return pieces.withColumnRenamed("ident", ident)

@@ -209,9 +209,6 @@ def test_exchange_raises_the_likelihood():
 
 
 def test_packing(docs, rows):
-    import zlib
-
-    import numpy as np
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -219,6 +216,17 @@ def test_packing(docs, rows):
     t = Tokenizer.from_file(path)
     ids = {r[0]: [*t.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in rows}
     got = packing.pack(docs, path, window=256).collect()
+    check_pieces(got, ids, 256, {76: 2})
+    # many shards: few documents, or few ids, each
+    check_pieces(packing.pack(docs, path, window=256, shard_docs=3).collect(), ids, 256, {76: 2})
+
+
+def check_pieces(got, ids, window, copies):
+    """Every id of every document in one piece, sequences without gaps, padding only at the ends of shards."""
+    import zlib
+
+    import numpy as np
+
     pieces, seqs = defaultdict(list), defaultdict(list)
     for r in got:
         part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
@@ -227,23 +235,63 @@ def test_packing(docs, rows):
         seqs[r["sequence_id"]].append((r["offset"], r["length"]))
     assert set(pieces) == set(ids)
     for i, p in pieces.items():
-        assert sum(n for _, n in p) == len(ids[i]) * (2 if i == 76 else 1)
+        held = Counter(x for a, n in p for x in range(a, a + n))
+        assert held == {x: copies.get(i, 1) for x in range(len(ids[i]))}
     for s in seqs.values():
         at = 0
         for offset, n in sorted(s):
             assert offset == at
             at += n
-        assert at == 256 or at & (at - 1) == 0 and at < 256
+        assert at == window or at & (at - 1) == 0 and at < window
+
+
+def test_shards_by_ids(spark, monkeypatch):
+    """Shards are cut by ids as well as by documents; a longer document is one of its own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "SHARD_IDS", 300)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, "en", rng.choice([1, 40, 90, 700]))) for i in range(40)]
+    t = Tokenizer.from_file(path)
+    ids = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in rows}
+    check_pieces(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path, window=64).collect(), ids, 64, {})
 
 
 def test_encoder_matches_the_library():
     import numpy as np
     import public_tokenizers
 
-    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["It's we'll DON'T a b x\u0085y Σίσυφος 日本語 4.5 <|endoftext|> <|x|> ﬁ é é İstanbul ß \x00 \x1c z '''s", "aaaaaaaaaaaa " * 3 + "a" * 99, "", "ciónque ered*** ***x%%% A_B-c__d"]
-    for x in texts:
-        assert np.frombuffer(e.encode([x.encode()], 1)[0], np.uint32).tolist() == [*e.tokenizer.encode(x, add_special_tokens=False).ids, 1]
+    from readloom.llm.tokens import SLICE, encoder
+
+    e = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    texts = ["It's we'll DON'T a b x\u0085y Σίσυφος 日本語 4.5 <|endoftext|> <|x|> ﬁ é é İstanbul ß \x00 \x1c z '''s", "aaaaaaaaaaaa " * 3 + "a" * 99, "", "ciónque ered*** ***x%%% A_B-c__d"]
+    texts += ["A" * 23 + " " + "B" * 24 + " " + "c" * 25 + " é" * 13, "ÀÞ×÷ß <|EndOfText|>", "  ", "😀👍🏽 ¿qué?"]
+    texts += ["".join(rng.choice("abcdeXYZ 019.,'<|>éÉßñ¿日\u0301 \n\t-") for _ in range(rng.randrange(60))) for _ in range(500)]
+    texts.append(" ".join(rng.choice(texts) for _ in range(60000)))  # cut into parts
+    assert len(texts[-1]) > 1.4 * SLICE
+    ids, sizes = (np.concatenate(x) for x in zip(*e.encode([t.encode() for t in texts], 1), strict=True))
+    ends = np.cumsum(sizes)
+    for t, a, b in zip(texts, (ends - sizes).tolist(), ends.tolist(), strict=True):
+        assert ids[a:b].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_encoder_forgets(monkeypatch):
+    """Emptying the tables changes no ids."""
+    import numpy as np
+    import public_tokenizers
+
+    from readloom.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}w{chr(97 + j)}" for j in range(26)).encode() for i in range(600)]
+    want = np.concatenate([x for x, _ in tokens.Encoder(path).encode(texts, 1)])
+    monkeypatch.setattr(tokens, "SLICE", 1 << 12)
+    monkeypatch.setattr(tokens, "BITS", 12)
+    small = tokens.Encoder(path)
+    assert (np.concatenate([x for x, _ in small.encode(texts, 1)]) == want).all() and small.pieces.taken < 1 << 12
 
 
 def test_empty_tables(docs, spark):
