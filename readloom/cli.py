@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from readloom import __version__
 from readloom.operators import codecs, index
 from readloom.plans.engine import Index
+from readloom.plans.store import clean
 from readloom.sources import files
 
 
@@ -20,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     for name, what in (("cffq", "build an index from FASTQ"), ("cffa", "build an index from FASTA"), ("pp", "prepare reads only")):
         c = sub.add_parser(name, help=what)
         c.add_argument("-u", "--uniform", action="store_true", help="all reads have one length")
+        c.add_argument("-c", "--compressed", action="store_true", help="write the runs of the index as well")
         c.add_argument("out")
         c.add_argument("inputs", nargs="+")
     c = sub.add_parser("cfpp", help="build an index from prepared reads")
@@ -46,11 +48,28 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
+    own = spark is None
     spark = spark or SparkSession.builder.appName("readloom").getOrCreate()
+    try:
+        run(a, spark)
+    finally:
+        if own:
+            clean(spark)
+    return 0
+
+
+def run(a: argparse.Namespace, spark: SparkSession) -> None:
     if a.command in ("cffq", "cffa"):
-        (Index.from_fastq if a.command == "cffq" else Index.from_fasta)(spark, a.inputs, a.uniform).save(a.out)
+        i = (Index.from_fastq if a.command == "cffq" else Index.from_fasta)(spark, a.inputs, a.uniform).save(a.out)
+        if a.compressed:
+            i.runs().write.parquet(f"{a.out}/runs")
     elif a.command == "pp":
-        index.prepare_reads(files.read_fastq(spark, a.inputs), a.uniform).write.parquet(f"{a.out}/reads")
+        fasta = all(x.removesuffix(".gz").endswith((".fa", ".fasta", ".fna")) for x in a.inputs)
+        read = files.read_fasta if fasta else files.read_fastq
+        prepared = index.prepare_reads(read(spark, a.inputs), a.uniform)
+        prepared.write.parquet(f"{a.out}/reads")
+        if a.compressed:
+            codecs.run_lengths(index.build(prepared)).write.parquet(f"{a.out}/runs")
     elif a.command == "cfpp":
         Index(spark.read.parquet(f"{a.prepared}/reads")).save(a.out)
     elif a.command == "merge":
@@ -69,7 +88,6 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         codecs.decode(spark.read.parquet(a.input)).write.parquet(a.out)
     else:
         codecs.run_lengths(codecs.convert_text(files.read_raw_index(spark, a.input))).write.parquet(a.out)
-    return 0
 
 
 if __name__ == "__main__":

@@ -14,19 +14,17 @@ _BLOCK = 16
 
 
 def _starts(d: DataFrame, at: str, value: str) -> DataFrame:
-    """Rows whose value differs from that of the row before; windows span a block, whose first row is settled by a join."""
-    d = d.select(at, value, F.shiftright(at, _BLOCK).alias("__b"))
+    """Rows whose value differs from that of the row before. Windows span a block; a block's last row is also handed to the next."""
+    d = d.select(at, value, F.shiftright(at, _BLOCK).alias("__b"), F.lit(True).alias("__own"))
+    last = d.filter(F.col(at) % (1 << _BLOCK) == (1 << _BLOCK) - 1).withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False))
     before = F.lag(value).over(W.partitionBy("__b").orderBy(at))
-    d = d.withColumn("__p", before)
-    first = d.filter(F.col(at) % (1 << _BLOCK) == 0).select((F.col(at) - 1).alias("__j")).filter("__j >= 0")
-    last = d.join(F.broadcast(first), F.col(at) == F.col("__j")).select((F.col(at) + 1).alias("__k"), F.col(value).alias("__q"))  # a row a block
-    d = d.join(F.broadcast(last), F.col(at) == F.col("__k"), "left").withColumn("__p", F.coalesce("__p", "__q"))
+    d = d.unionByName(last).withColumn("__p", before).filter("__own")
     return d.filter(F.col("__p").isNull() | (F.col("__p") != F.col(value))).select(at, value)
 
 
 def run_lengths(index: DataFrame, row: str = "row", sym: str = "sym") -> DataFrame:
     """(run_id, row_start, sym, run_len) of a column of symbols numbered from 0."""
-    starts = ranked(_starts(index, row, sym), F.shiftright(row, 20), [F.col(row).asc()], "run_id")
+    starts = ranked(_starts(index, row, sym), [F.col(row).asc()], "run_id")
     after = starts.select((F.col("run_id") - 1).alias("run_id"), F.col(row).alias("__next"))
     total = index.agg(F.count(F.lit(1)).alias("__n"))
     d = starts.join(after, "run_id", "left").crossJoin(F.broadcast(total))  # one row
@@ -69,7 +67,7 @@ def convert_text(lines: DataFrame) -> DataFrame:
     good = F.rlike("value", F.lit(r"^[$ACGNT]*$"))
     v = F.when(F.assert_true(good, F.lit("symbol outside $ACGNT")).isNull(), F.col("value"))
     d = lines.select("line_no", F.posexplode(F.split(v, "")).alias("i", "sym")).filter("sym <> ''")
-    return ranked(d, F.shiftright("line_no", 12), [F.col("line_no").asc(), F.col("i").asc()], "row").select("row", "sym")
+    return ranked(d, [F.col("line_no").asc(), F.col("i").asc()], "row").select("row", "sym")
 
 
 def lzw_decode(data: bytes, size: int, symbols: int = 6) -> np.ndarray:

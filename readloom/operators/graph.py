@@ -1,142 +1,230 @@
-"""Seeded exploration of the implicit de Bruijn graph.
-
-The (k + 1)-mer counts of both strands are one DataFrame; each round joins the k-mers at the ends of all open paths to
-it. The driver holds the nodes and edges, whose number ``max_nodes`` bounds.
+"""Seeded exploration of the implicit de Bruijn graph of a read collection.
+
+Everything is a table. A k-mer's ways in and out are the (k + 1)-mers of both strands that end or begin with it; a way is
+firm from ``threshold`` occurrences on. A k-mer is left by its firm ways, or, if it has none, by its commonest weak one.
+Stretches without a choice are contracted by pointer doubling, so that the search from the seed takes one round for each
+branching, not for each symbol; rounds keep the ``max_nodes`` nearest starts. What is reached is cut into nodes by the
+rules below, again by pointer doubling:
+
+* a node begins at the seed, at an end seed, behind a k-mer with several ways out, and where several ways in are firm or
+  walked;
+* TERMINAL: no way out. SPLIT: several firm ways out. OVERLOAD: its first k-mer is too frequent; it is not left.
+* MERGE_<node>: its only way out leads to the beginning of a node; with ``, THRESHOLD`` (and a dashed edge) if it is weak.
+* ``$ Max``: the only way out is the end of reads, which then is the last symbol. ``$ Ext``: a firm way out of a split
+  is the end of reads. Both only with ``dollars``.
+* END_SEED_i: an end seed. UNEXPLORED_NODE, UNEXPLORED_DIST: beyond ``max_nodes`` nodes, or ``max_distance`` from the seed.
+
+Nodes are numbered by distance from the seed, then by k-mer; nothing depends on an order of exploration.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import reverse_complement
+from readloom.functions.dna import reverse_complement, windows
 from readloom.operators.search import kmer_counts
+from readloom.plans.store import stored
 
-_PLUS = str.maketrans("ACGT", "TGCA")
+#: Doublings of a pointer: paths of up to 2^40 k-mers.
+DOUBLINGS = 40
 
 
-def reverse_text(seq: str) -> str:
-    return seq.translate(_PLUS)[::-1]
+def both_strands(counts: DataFrame) -> DataFrame:
+    """(kmer, cnt) with a k-mer's count and its reverse complement's added."""
+    rc = counts.select(reverse_complement(F.col("kmer")).alias("kmer"), "cnt")
+    return counts.unionByName(rc).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 
 
-@dataclass
-class Node:
-    node_id: int
-    seq: str
-    distance: int
-    kmer: str
-    before: str = ""
-    state: str = ""
-    counts: list[int] = field(default_factory=list)
-    inverted: set[int] = field(default_factory=set)
+def stranded_sum(reads: DataFrame, k: int) -> DataFrame:
+    return both_strands(kmer_counts(reads, k))
 
 
-def stranded_sum(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer, cnt) with a k-mer's count and its reverse complement's added."""
-    c = kmer_counts(reads, k)
-    rc = c.select(reverse_complement(F.col("kmer")).alias("kmer"), "cnt")
-    return c.unionByName(rc).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+def longer_counts(reads: DataFrame, k: int, dollars: bool) -> DataFrame:
+    """(kmer, cnt) of (k + 1)-mers, both strands; with ``dollars`` also those that begin or end with a read's end."""
+    if dollars:
+        reads = reads.withColumn("seq", F.concat(F.lit("$"), "seq", F.lit("$")))
+    d = both_strands(kmer_counts(reads, k + 1))
+    return d.filter(~(F.col("kmer").startswith("$") & F.col("kmer").endswith("$"))) if dollars else d
+
+
+def ways(longer: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(u, v, sym, cnt, firm, only): the ways walked. ``only``: the single way out of u; v is entered by u's first symbol."""
+    d = longer.filter(~F.col("kmer").startswith("$"))
+    d = d.select(F.substring("kmer", 1, k).alias("u"), F.substring("kmer", 2, k).alias("v"), F.substring("kmer", k + 1, 1).alias("sym"), "cnt", (F.col("cnt") >= threshold).alias("firm"))
+    of = d.groupBy("u").agg(F.count_if("firm").alias("n"), F.min(F.struct(-F.col("cnt"), F.col("sym"))).alias("top"))
+    d = d.join(of, "u").filter(F.col("firm") | ((F.col("n") == 0) & (F.col("sym") == F.col("top.sym"))))
+    return d.select("u", "v", "sym", "cnt", "firm", (F.col("n") <= 1).alias("only"))
+
+
+def firm_ways_in(longer: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(kmer, n_firm): the firm ways into each k-mer that has any."""
+    return longer.filter(F.col("cnt") >= threshold).groupBy(F.substring("kmer", 2, k).alias("kmer")).agg(F.count(F.lit(1)).alias("n_firm"))
 
 
-def explore(spark: SparkSession, reads: DataFrame, seed: str, max_nodes: int, threshold: int = 10, overload: int = 1000, max_distance: int | None = None, end_seeds: tuple = (), forward: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of what is reached from ``seed``.
+def _jumps(step: DataFrame) -> tuple[list[DataFrame], DataFrame, bool]:
+    """Tables (u, to) of 1, 2, 4, ... steps of a partial function, (u, last, n): its end and the steps there, and whether it has circles."""
+    # n counts the steps still taken; a pointer whose target has no step stays
+    at = step.select("u", F.col("v").alias("to"))
+    reach = stored(at.withColumn("n", F.lit(1).cast("long")))
+    levels = [reach.select("u", "to")]
+    last, before = reach, -1
+    for _ in range(DOUBLINGS):
+        # what has taken all its 2^i steps goes on; the others are at their end
+        tail = last.select(F.col("u").alias("to"), F.col("to").alias("next"), F.col("n").alias("more"))
+        last = stored(last.join(tail, "to", "left").select("u", F.coalesce("next", "to").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        level = last.filter(F.col("n") == 1 << len(levels)).select("u", "to")
+        # of paths that end, some end in each round; where none does, only circles are left
+        if (held := level.count()) in (0, before):
+            break
+        levels.append(level)
+        before = held
+    return levels, last.select("u", F.col("to").alias("last"), "n"), held > 0
 
-    A path ends with TERMINAL (no continuation), OVERLOAD (its first k-mer is too frequent), SPLIT (several
-    continuations of at least ``threshold``), MERGE_<id> (the next k-mer is known or has several ways in), with
-    ``, THRESHOLD`` if the continuation is under the threshold, END_SEED_i, or UNEXPLORED_NODE / UNEXPLORED_DIST when a
-    bound is met. All open paths advance by one symbol a round, nearest to the seed first in ids. ``forward=False``
-    explores the reverse complement.
+
+def _nearest(starts: DataFrame) -> DataFrame:
+    return starts.groupBy("kmer").agg(F.min("distance").alias("distance"))
+
+
+def explore(reads: DataFrame, seed: str | DataFrame, k: int, max_nodes: int, threshold: int = 10, overload: int = 1000, max_distance: int | None = None, end_seeds: tuple = (), count_k: int | None = None, dollars: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of what is reached from ``seed``, a k-mer or a table with one in column kmer.
+
+    nodes: node_id, seq, distance, state, pileup (the count of each of its k-mers, by their last ``count_k`` symbols),
+    inverted (nodes that hold a reverse complement). edges: source, target, cnt, style. The older search backward from a
+    seed is the search from its reverse complement.
     """
-    seed = seed if forward else reverse_text(seed)
-    k = len(seed)
-    longer, own = stranded_sum(reads, k + 1).cache(), stranded_sum(reads, k).cache()
-    nodes, edges = [Node(0, seed, 0, seed)], []
-    known, open_ = {seed: 0}, [0]
-    try:
-        while open_:
-            kmers = [nodes[i].kmer for i in open_]
-            ask = spark.createDataFrame([(x,) for x in sorted(set(kmers))], "at string")
-            ways = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(s).alias("side")) for a in "ACGNT" for s in ("out", "in")]))
-            asked = ask.select("at", ways.alias("w")).select("at", "w.a", "w.side", F.when(F.col("w.side") == "out", F.concat("at", "w.a")).otherwise(F.concat("w.a", "at")).alias("kmer"))
-            got = {(r["at"], r["side"], r["a"]): r["cnt"] for r in longer.join(F.broadcast(asked), "kmer").select("at", "side", "a", "cnt").collect()}
-            seen = {r["kmer"]: r["cnt"] for r in own.join(F.broadcast(ask), F.col("kmer") == F.col("at")).select("kmer", "cnt").collect()}
-            later = []
-            for i in sorted(open_, key=lambda x: (nodes[x].distance, x)):
-                node = nodes[i]
-                at = node.kmer
-                out = {a: got.get((at, "out", a), 0) for a in "ACGNT"}
-                into = [a for a in "ACGNT" if got.get((at, "in", a), 0) >= threshold or a == node.before]
-                if len(into) > 1 and at != node.seq:
-                    node.seq = node.seq[:-1]
-                    new = Node(len(nodes), at, node.distance + len(node.counts), at)
-                    nodes.append(new)
-                    known[at] = new.node_id
-                    edges.append((len(edges), i, new.node_id, got.get((at, "in", node.before), 0), "solid"))
-                    node.state = f"MERGE_{new.node_id}"
-                    later.append(new.node_id)
-                    continue
-                if not any(out.values()):
-                    node.state = "TERMINAL"
-                    continue
-                known[at] = i
-                if (other := known.get(reverse_text(at))) is not None:
-                    node.inverted.add(other)
-                    nodes[other].inverted.add(i)
-                node.counts.append(seen.get(at, 0))
-                best = max("ACGNT", key=lambda a: (out[a], -ord(a)))
-                several = [a for a in "ACGNT" if out[a] >= threshold]
-                if node.counts[0] > overload:
-                    node.state = "OVERLOAD"
-                elif at in end_seeds:
-                    node.state = f"END_SEED_{end_seeds.index(at)}"
-                elif max_distance is not None and node.distance + len(node.counts) > max_distance:
-                    node.state = "UNEXPLORED_DIST"
-                elif len(several) > 1:
-                    node.state = "SPLIT"
-                    for a in several:
-                        nxt = at[1:] + a
-                        if (j := known.get(nxt)) is None:
-                            j = len(nodes)
-                            nodes.append(Node(j, nxt, node.distance + len(node.counts), nxt))
-                            known[nxt] = j
-                            later.append(j)
-                        else:
-                            nodes[j].distance = min(nodes[j].distance, node.distance + len(node.counts))
-                        edges.append((len(edges), i, j, out[a], "solid"))
-                else:
-                    nxt = at[1:] + best
-                    if (j := known.get(nxt)) is not None:
-                        firm = out[best] >= threshold
-                        edges.append((len(edges), i, j, out[best], "solid" if firm else "dashed"))
-                        node.state = f"MERGE_{j}" + ("" if firm else ", THRESHOLD")
-                    else:
-                        node.before, node.kmer = at[0], nxt
-                        node.seq += best
-                        later.append(i)
-            done = sum(1 for x in nodes if x.counts)
-            for j in later:
-                if done >= max_nodes and not nodes[j].counts:
-                    nodes[j].state = "UNEXPLORED_NODE"
-            open_ = [j for j in later if not nodes[j].state]
-    finally:
-        longer.unpersist()
-        own.unpersist()
-    rows = [(x.node_id, x.seq, x.distance, x.state, x.counts, sorted(x.inverted)) for x in nodes]
-    return (
-        spark.createDataFrame(rows, "node_id int, seq string, distance int, state string, pileup array<bigint>, inverted array<int>"),
-        spark.createDataFrame(edges, "edge_id int, source int, target int, cnt long, style string"),
+    spark = reads.sparkSession
+    seeds = stored(seed.select("kmer").distinct()) if isinstance(seed, DataFrame) else spark.createDataFrame([(seed,)], "kmer string")
+    ends = spark.createDataFrame([(x, i) for i, x in enumerate(end_seeds)], "kmer string, end int")
+    own = stored(stranded_sum(reads, k))
+    counted = own if count_k in (None, k) else stored(stranded_sum(reads, count_k))
+    longer = stored(longer_counts(reads, k, dollars))
+    e = stored(ways(longer, k, threshold).join(F.broadcast(ends.select(F.col("kmer").alias("u"))), "u", "left_anti"))
+    firm_in = stored(firm_ways_in(longer, k, threshold))
+    heavy = stored(own.filter(F.col("cnt") > overload).select("kmer"))
+
+    # a way without a choice: the only one out, into a k-mer that no other firm way enters
+    entered = e.join(firm_in.withColumnRenamed("kmer", "v"), "v", "left").withColumn("others", F.coalesce("n_firm", F.lit(0)) - F.col("firm").cast("int"))
+    plain = F.col("only") & (F.col("others") == 0) & ~F.col("v").isin(list(end_seeds))
+    entered = stored(entered.withColumn("plain", plain).join(seeds.select(F.col("kmer").alias("v"), F.lit(True).alias("is_seed")), "v", "left"))
+    entered = entered.withColumn("plain", F.col("plain") & F.col("is_seed").isNull()).select("u", "v", "sym", "cnt", "firm", "only", "plain")
+    step = stored(entered.filter("plain").select("u", "v"))
+    levels, last, circles = _jumps(step)
+    last = stored(last)
+
+    far = F.lit(max_distance if max_distance is not None else 1 << 62)
+    known = stored(seeds.withColumn("distance", F.lit(0).cast("long")))
+    front = known
+    while True:
+        begin = front.filter(F.col("distance") < far).join(heavy, "kmer", "left_anti")
+        stretch = begin.join(last.withColumnRenamed("u", "kmer"), "kmer", "left").select(F.coalesce("last", "kmer").alias("u"), (F.col("distance") + F.coalesce("n", F.lit(0)) + 1).alias("distance"))
+        met = stretch.join(entered.filter(~F.col("plain")).select("u", F.col("v").alias("kmer")), "u").select("kmer", "distance")
+        nearer = _nearest(met).join(known.withColumnRenamed("distance", "old"), "kmer", "left").filter(F.col("old").isNull() | (F.col("distance") < F.col("old"))).drop("old")
+        merged = _nearest(known.unionByName(nearer)).orderBy("distance", "kmer").limit(4 * max_nodes + len(end_seeds) + 1)
+        merged = stored(merged)
+        front = stored(nearer.join(merged, ["kmer", "distance"], "left_semi"))
+        known = merged
+        if front.isEmpty():
+            break
+
+    # all that is reached: each start with the stretch behind it
+    met = stored(known.filter(F.col("distance") < far).join(heavy, "kmer", "left_anti").select(F.col("kmer").alias("u")))
+    held = -1
+    while True:
+        for level in levels:
+            met = stored(met.unionByName(met.join(level, "u").select(F.col("to").alias("u"))).distinct())
+        if not circles or held == (held := met.count()):
+            break  # circles have no end, so they are gone round until nothing new is met
+    walked = stored(entered.join(met, "u", "left_semi"))
+
+    # several ways in, firm or walked
+    into = walked.groupBy(F.col("v").alias("kmer")).agg(F.count(F.lit(1)).alias("n_in"), F.count_if(~F.col("firm")).alias("weak"), F.max((~F.col("only")).cast("int")).alias("split"))
+    into = into.join(firm_in, "kmer", "left").withColumn("n_ways", F.coalesce("n_firm", F.lit(0)) + F.col("weak"))
+    heads = into.filter((F.col("n_ways") > 1) | (F.col("split") == 1)).select("kmer")
+    heads = stored(heads.unionByName(seeds).unionByName(ends.select("kmer").join(into, "kmer", "left_semi")).distinct())
+    inner = stored(walked.join(heads.select(F.col("kmer").alias("v")), "v", "left_anti").select(F.col("v").alias("u"), F.col("u").alias("v")))
+    _, back, _ = _jumps(inner)
+    places = heads.select("kmer", F.col("kmer").alias("head"), F.lit(0).cast("long").alias("pos")).unionByName(back.select(F.col("u").alias("kmer"), F.col("last").alias("head"), F.col("n").alias("pos")))
+    places = stored(places)
+
+    # nodes, their neighbours and distances; a node that is stopped is not left
+    stop = stored(heads.join(heavy, "kmer", "left_semi"))
+    tails = places.groupBy("head").agg(F.max("pos").alias("top"), F.max_by("kmer", "pos").alias("tail"))
+    tails = stored(tails)
+    links = walked.join(tails.select(F.col("tail").alias("u"), "head", "top"), "u").join(heads.select(F.col("kmer").alias("v")), "v", "left_semi")
+    links = links.join(stop.withColumnRenamed("kmer", "head"), "head", "left_anti")
+    links = stored(links.select("head", F.col("v").alias("to"), (F.col("top") + 1).alias("n"), "cnt", "firm", "only", "sym"))
+    dist = stored(seeds.withColumn("distance", F.lit(0).cast("long")))
+    front = dist
+    while True:
+        met = front.filter(F.col("distance") < far).join(links.select(F.col("head").alias("kmer"), "to", "n"), "kmer").select(F.col("to").alias("kmer"), (F.col("distance") + F.col("n")).alias("distance"))
+        nearer = _nearest(met).join(dist.withColumnRenamed("distance", "old"), "kmer", "left").filter(F.col("old").isNull() | (F.col("distance") < F.col("old"))).drop("old")
+        front = stored(nearer)
+        if front.isEmpty():
+            break
+        dist = stored(_nearest(dist.unionByName(front)))
+    numbered = dist.withColumn("node_id", (F.row_number().over(W.orderBy("distance", "kmer")) - 1).cast("int"))  # a bounded table
+    numbered = stored(numbered.join(F.broadcast(ends), "kmer", "left").withColumn("open", (F.col("node_id") < max_nodes) & (F.col("distance") < far) & F.col("end").isNull()))
+    source = numbered.filter("open").select(F.col("kmer").alias("head"), F.col("node_id").alias("source"))
+    target = numbered.select(F.col("kmer").alias("to"), F.col("node_id").alias("target"))
+    edges = stored(links.join(source, "head").join(target, "to").select("source", "target", "cnt", F.when(F.col("firm"), "solid").otherwise("dashed").alias("style"), "only", "firm"))
+    shown = edges.select(F.col("target").alias("node_id")).unionByName(numbered.filter("distance = 0").select("node_id")).distinct()
+    d = numbered.join(shown, "node_id", "left_semi").join(stop.withColumn("stopped", F.lit(True)), "kmer", "left")
+    d = d.join(edges.filter("only").select(F.col("source").alias("node_id"), "target", "firm"), "node_id", "left")
+    d = d.join(tails.select(F.col("head").alias("kmer"), "tail"), "kmer")
+    n_out = walked.groupBy(F.col("u").alias("tail")).agg(F.count(F.lit(1)).alias("n_out"))
+    d = stored(d.join(n_out, "tail", "left"))
+    whole = F.col("open") & F.col("stopped").isNull()
+    state = (
+        F.when(F.col("end").isNotNull(), F.concat(F.lit("END_SEED_"), F.col("end")))
+        .when(F.col("node_id") >= max_nodes, "UNEXPLORED_NODE")
+        .when(F.col("distance") >= far, "UNEXPLORED_DIST")
+        .when(F.col("kmer").endswith("$"), "$ Ext")
+        .when(F.col("stopped"), "OVERLOAD")
+        .when(F.col("tail").endswith("$"), "$ Max")
+        .when(F.col("n_out") > 1, "SPLIT")
+        .when(F.col("target").isNotNull(), F.concat(F.lit("MERGE_"), F.col("target"), F.when(F.col("firm"), "").otherwise(", THRESHOLD")))
+        .otherwise("TERMINAL")
     )
+    named = stored(d.select("node_id", F.col("kmer").alias("head"), "distance", state.alias("state"), whole.alias("whole")))
+    inside = named.join(places, "head").filter(F.col("whole") | (F.col("pos") == 0)).select("node_id", "pos", "kmer")
+    cut = lambda c: F.substr(c, F.greatest(F.length(c) - (count_k or k) + 1, F.lit(1)))
+    inside = stored(inside.withColumn("asked", cut(F.col("kmer"))).join(counted.withColumnRenamed("kmer", "asked"), "asked", "left").select("node_id", "pos", "kmer", F.coalesce("cnt", F.lit(0)).alias("cnt")))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "kmer", "cnt")))
+    rows = inside.groupBy("node_id").agg(listed.alias("x"))
+    seq = F.concat(F.get("x.kmer", F.lit(0)), F.array_join(F.transform(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))), lambda y: F.substring(y["kmer"], k, 1)), ""))
+    pileup = F.transform(F.filter("x", lambda y: ~y["kmer"].endswith("$")), lambda y: y["cnt"])
+    rows = rows.select("node_id", seq.alias("seq"), pileup.alias("pileup"))
+    rc = inside.select("node_id", reverse_complement(F.col("kmer")).alias("kmer")).join(inside.select(F.col("node_id").alias("other"), "kmer"), "kmer")
+    inverted = rc.groupBy("node_id").agg(F.array_sort(F.collect_set("other")).alias("inverted"))
+    nodes = named.select("node_id", "distance", "state").join(rows, "node_id").join(inverted, "node_id", "left")
+    nodes = nodes.select("node_id", "seq", "distance", "state", "pileup", F.coalesce("inverted", F.array().cast("array<int>")).alias("inverted"))
+    return nodes, edges.select("source", "target", "cnt", "style")
+
+
+def _node_hits(nodes: DataFrame, reads: DataFrame, k: int, *columns: Column) -> DataFrame:
+    """(node_id, direction, columns): reads that hold a k-mer of a node as it is (0) or reverse complemented (1)."""
+    n = nodes.select("node_id", F.explode(windows(F.col("seq"), k)).alias("kmer"), F.lit(0).alias("direction")).distinct()
+    n = n.unionByName(n.select("node_id", reverse_complement(F.col("kmer")).alias("kmer"), F.lit(1).alias("direction")))
+    r = reads.select(*columns, F.explode(F.array_distinct(windows(F.col("seq"), k))).alias("kmer"))
+    return r.join(n, "kmer").drop("kmer").distinct()
 
 
 def node_reads(nodes: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     """(node_id, source_id, n_reads): reads of each source that hold a k-mer of a node, either strand."""
-    from readloom.functions.dna import windows
-
-    n = nodes.select("node_id", F.explode(windows(F.col("seq"), k)).alias("kmer")).distinct()
-    n = n.unionByName(n.withColumn("kmer", reverse_complement(F.col("kmer")))).distinct()
     source = F.col("source_id") if "source_id" in reads.columns else F.lit(0).alias("source_id")
-    r = reads.select("read_rank", source, F.explode(F.array_distinct(windows(F.col("seq"), k))).alias("kmer"))
-    met = r.join(n, "kmer").select("node_id", "source_id", "read_rank").distinct()
+    met = _node_hits(nodes, reads, k, F.col("read_rank"), source).select("node_id", "source_id", "read_rank").distinct()
     return met.groupBy("node_id", "source_id").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+def node_pairs(nodes: DataFrame, reads: DataFrame, k: int) -> DataFrame:
+    """(node_id, other, n_pairs) of nodes met by the two mates of a pair, on opposite strands.
+
+    ``reads`` has file_id, seq_id, mate_file_id and mate_seq_id; reads without a mate take no part.
+    """
+    paired = reads.filter("mate_file_id is not null and mate_seq_id is not null")
+    hits = _node_hits(nodes, paired, k, *[F.col(c) for c in ("file_id", "seq_id", "mate_file_id", "mate_seq_id")])
+    mates = hits.select(F.col("node_id").alias("other"), (1 - F.col("direction")).alias("direction"), F.col("file_id").alias("mate_file_id"), F.col("seq_id").alias("mate_seq_id"))
+    met = hits.join(mates, ["mate_file_id", "mate_seq_id", "direction"])
+    return met.groupBy("node_id", "other").agg(F.count(F.lit(1)).alias("n_pairs"))

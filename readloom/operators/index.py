@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from readloom.functions.dna import SYMBOLS, common_prefix, is_valid
 from readloom.plans.ranking import ranked
+from readloom.plans.store import stored
 
 #: Rows of a bin of the sampled index.
 BIN_BITS = 11
-#: Leading symbols that make a bucket of the global order: at most 6^8 buckets.
-PREFIX = 8
+#: Bins that make a block of the two-level running sums.
+BLOCK_BITS = 12
 
 
 def prepare_reads(df: DataFrame, uniform: bool = False) -> DataFrame:
@@ -30,11 +31,11 @@ def prepare_reads(df: DataFrame, uniform: bool = False) -> DataFrame:
     good = is_valid(F.col("seq")) & ~F.contains("seq", F.lit("$"))
     d = d.withColumn("seq", F.when(F.assert_true(good, F.lit("read with a symbol outside ACGNT")).isNull(), F.col("seq")))
     if uniform:
-        span = W.partitionBy()
-        d = d.withColumn("seq", F.when(F.assert_true(F.min(F.length("seq")).over(span) == F.max(F.length("seq")).over(span), F.lit("reads differ in length")).isNull(), F.col("seq")))
-    q = F.concat("seq", F.lit("$"))
-    order = [q.asc(), F.col("file_id").asc(), F.col("seq_id").asc()]
-    return ranked(d, F.substring(q, 1, PREFIX), order, "read_rank").select("read_rank", "file_id", "seq_id", "seq", *keep)
+        span = d.agg((F.min(F.length("seq")) == F.max(F.length("seq"))).alias("__same"))
+        d = d.crossJoin(F.broadcast(span))  # one row
+        d = d.withColumn("seq", F.when(F.assert_true("__same", F.lit("reads differ in length")).isNull(), F.col("seq"))).drop("__same")
+    order = [F.concat("seq", F.lit("$")).asc(), F.col("file_id").asc(), F.col("seq_id").asc()]
+    return ranked(d, order, "read_rank").select("read_rank", "file_id", "seq_id", "seq", *keep)
 
 
 def build(reads: DataFrame) -> DataFrame:
@@ -47,15 +48,26 @@ def build(reads: DataFrame) -> DataFrame:
         F.substr("q", F.col("pos") + 1).alias("suffix"),
         F.when(F.col("pos") == 0, F.lit("$")).otherwise(F.substr("q", F.col("pos"), F.lit(1))).alias("sym"),
     )
-    return ranked(d, F.substring("suffix", 1, PREFIX), [F.col("suffix").asc(), F.col("read_rank").asc()], "row").select("row", "read_rank", "pos", "suffix", "sym")
+    return ranked(d, [F.col("suffix").asc(), F.col("read_rank").asc()], "row").select("row", "read_rank", "pos", "suffix", "sym")
 
 
 def rotation(index: DataFrame, reads: DataFrame, length: int) -> DataFrame:
-    """``index`` with rot: the first ``length`` symbols of each row's cyclic rotation."""
+    """``index`` with rot: the first ``length`` symbols of each row's cyclic rotation.
+
+    Only rows whose suffix is shorter than that need their read.
+    """
+    short = F.length("suffix") < length
     q = reads.select("read_rank", F.concat("seq", F.lit("$")).alias("__q"))
     whole = F.concat("suffix", F.substr("__q", F.lit(1), F.col("pos")))
     turns = (F.lit(length) / F.length("__q")).cast("int") + 1
-    return index.join(q, "read_rank").withColumn("rot", F.substring(F.repeat(whole, turns), 1, length)).drop("__q")
+    turned = index.filter(short).join(q, "read_rank").withColumn("rot", F.substring(F.repeat(whole, turns), 1, length)).select(*index.columns, "rot")
+    return index.filter(~short).withColumn("rot", F.substring("suffix", 1, length)).unionByName(turned)
+
+
+def starting(index: DataFrame, prefix: str) -> DataFrame:
+    """Rows whose rotation may start with ``prefix``: by the suffix, which prunes stored rows, or over the read's end."""
+    over = [prefix[: i + 1] for i, c in enumerate(prefix[:-1]) if c == "$"]
+    return index.filter(F.col("suffix").startswith(prefix) | F.col("suffix").isin(over) if over else F.col("suffix").startswith(prefix))
 
 
 def symbol_counts(index: DataFrame) -> DataFrame:
@@ -74,15 +86,19 @@ def c_array(counts: DataFrame) -> DataFrame:
 def fm_bins(index: DataFrame, bin_bits: int = BIN_BITS) -> DataFrame:
     """The sampled index: for every bin of 2^bin_bits rows (bin_id), base_<symbol> = C + occurrences before the bin.
 
-    ``$`` is written as ``end``. Bin sums are a small table: the running sums over it are ordered by bin.
+    ``$`` is written as ``end``. Running sums are kept inside blocks of 2^BLOCK_BITS bins, and over the sums of blocks.
     """
     names = {s: "end" if s == "$" else s.lower() for s in SYMBOLS}
     bins = index.groupBy(F.shiftright("row", bin_bits).alias("bin_id")).agg(*[F.count_if(F.col("sym") == s).alias(n) for s, n in names.items()])
-    before = W.orderBy("bin_id").rowsBetween(W.unboundedPreceding, -1)
     start = c_array(symbol_counts(index))
     c = start.agg(*[F.max(F.when(F.col("sym") == s, F.col("start_row"))).alias(f"start_{n}") for s, n in names.items()])
-    d = bins.crossJoin(F.broadcast(c))  # one row
-    return d.select("bin_id", *[(F.col(f"start_{n}") + F.coalesce(F.sum(n).over(before), F.lit(0))).cast("long").alias(f"base_{n}") for n in names.values()])
+    d = stored(bins.withColumn("block", F.shiftright("bin_id", BLOCK_BITS)))
+    blocks = d.groupBy("block").agg(*[F.sum(n).alias(n) for n in names.values()])
+    upto = lambda n, over: F.coalesce(F.sum(n).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("block", *[upto(n, W.orderBy("block")).alias(f"block_{n}") for n in names.values()])  # a row for 2^23 rows
+    inside = d.select("block", "bin_id", *[upto(n, W.partitionBy("block").orderBy("bin_id")).alias(n) for n in names.values()])
+    out = inside.join(blocks, "block").crossJoin(F.broadcast(c))  # one row
+    return out.select("bin_id", *[(F.col(f"start_{n}") + F.col(f"block_{n}") + F.col(n)).cast("long").alias(f"base_{n}") for n in names.values()])
 
 
 def lf_mapping(index: DataFrame) -> DataFrame:
@@ -159,8 +175,18 @@ def provenance(reads: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def remove_reads(reads: DataFrame, ranks: DataFrame) -> DataFrame:
-    """The prepared reads without the ranks given; building their index equals deleting the rows from the old one."""
-    return prepare_reads(reads.join(ranks.select("read_rank"), "read_rank", "left_anti").drop("read_rank"))
+    """The prepared reads without the ranks given, numbered anew in their old order."""
+    left = reads.join(ranks.select("read_rank"), "read_rank", "left_anti").withColumnRenamed("read_rank", "__old")
+    return ranked(left, [F.col("__old").asc()], "read_rank").select("read_rank", *[c for c in reads.columns if c != "read_rank"])
+
+
+def remove_rows(index: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The index without the rows of the reads given: what is left keeps its order, so only numbers change."""
+    left = index.join(ranks.select("read_rank").distinct(), "read_rank", "left_anti").withColumnRenamed("row", "__old")
+    left = ranked(left, [F.col("__old").asc()], "row")
+    # the rows of whole reads, in their order, give the new numbers of reads
+    reads = ranked(left.filter("pos = 0").select(F.col("read_rank").alias("__rank")), [F.col("__rank").asc()], "__new")
+    return left.join(reads, F.col("read_rank") == F.col("__rank")).withColumn("read_rank", F.col("__new")).select("row", "read_rank", "pos", "suffix", "sym")
 
 
 def merge_reads(*collections: DataFrame) -> DataFrame:

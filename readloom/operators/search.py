@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import reverse_complement, wildcard_regex, windows
-from readloom.operators.index import PREFIX, rotation
+from readloom.operators.index import rotation, starting
 from readloom.plans.ranking import ranked
 
 
@@ -47,24 +49,45 @@ def mass_query(kmers: DataFrame, reads: DataFrame, reverse: bool = True, ks: lis
     return d
 
 
+#: Patterns that one aggregation counts; more are merged with the rows.
+FEW = 64
+
+
 def find_ranges(index: DataFrame, reads: DataFrame, patterns: DataFrame, longest: int) -> DataFrame:
     """(pattern, l, h) for all distinct patterns, over the cyclic rotations: l rows are smaller, h - l start with it.
 
-    Patterns may hold ``$``. Rows and pattern markers meet in prefix buckets, one window a bucket.
+    Patterns may hold ``$``. Few patterns are counted in one pass over the suffixes; many are ranked among the rows.
     """
-    rot = rotation(index, reads, longest + 1).select(F.col("rot").alias("key"), "row", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("pattern"))
     p = patterns.select("pattern").distinct()
-    low = p.select(F.col("pattern").alias("key"), F.lit(None).cast("long").alias("row"), F.lit(0).alias("kind"), "pattern")
-    high = p.select(F.concat("pattern", F.lit("~")).alias("key"), F.lit(None).cast("long").alias("row"), F.lit(2).alias("kind"), "pattern")
-    bucket = F.substring("key", 1, PREFIX)
-    d = rot.unionByName(low).unionByName(high).withColumn("b", bucket)
-    sizes = d.groupBy("b").agg(F.count("row").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("b").alias("c"), before.alias("o"))
-    seen = F.count("row").over(W.partitionBy("b").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
-    marks = d.withColumn("seen", seen).filter("kind <> 1").join(F.broadcast(offsets), F.col("b") == F.col("c"))
-    at = (F.col("o") + F.col("seen")).cast("long")
-    return marks.groupBy("pattern").agg(F.max(F.when(F.col("kind") == 0, at)).alias("l"), F.max(F.when(F.col("kind") == 2, at)).alias("h"))
+    some = [r["pattern"] for r in p.limit(FEW + 1).collect()]
+    return _counted_ranges(index, reads, some, longest) if len(some) <= FEW else _merged_ranges(index, reads, p, longest)
+
+
+def _counted_ranges(index: DataFrame, reads: DataFrame, patterns: list[str], longest: int) -> DataFrame:
+    """A suffix settles its row's place among the patterns, unless a pattern goes on behind its ``$``."""
+    over = {p: [p[: i + 1] for i, c in enumerate(p[:-1]) if c == "$"] for p in patterns}
+    every = sorted({x for v in over.values() for x in v})
+
+    def counted(d: DataFrame, key: str) -> DataFrame:
+        by = [F.struct(F.lit(p).alias("pattern"), F.count_if(F.col(key) < p).alias("l"), F.count_if(F.col(key).startswith(p)).alias("n")) for p in patterns]
+        return d.agg(F.array(*by).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+    rest = index.filter(~F.col("suffix").isin(every)) if every else index
+    both = counted(rest, "suffix")
+    if every:
+        both = both.unionByName(counted(rotation(index.filter(F.col("suffix").isin(every)), reads, longest + 1), "rot"))
+    return both.groupBy("pattern").agg(F.sum("l").alias("l"), F.sum("n").alias("n")).select("pattern", "l", (F.col("l") + F.col("n")).alias("h"))
+
+
+def _merged_ranges(index: DataFrame, reads: DataFrame, patterns: DataFrame, longest: int) -> DataFrame:
+    """The rank of a pattern's ends among rows and ends, less their rank among the ends."""
+    rot = rotation(index, reads, longest + 1).select(F.col("rot").alias("key"), F.lit(1).alias("kind"), F.col("row"), F.lit(None).cast("string").alias("pattern"))
+    ends = patterns.select(F.explode(F.array(F.struct(F.col("pattern").alias("key"), F.lit(0).alias("kind")), F.struct(F.concat("pattern", F.lit("~")).alias("key"), F.lit(2).alias("kind")))).alias("x"), F.lit(None).cast("long").alias("row"), "pattern")
+    ends = ends.select("x.key", "x.kind", "row", "pattern")
+    order = [F.col(c).asc() for c in ("key", "kind", "row", "pattern")]
+    placed = ranked(rot.unionByName(ends), order, "i").filter("kind <> 1")
+    d = ranked(placed, order, "j").select("pattern", "kind", (F.col("i") - F.col("j")).alias("at"))
+    return d.groupBy("pattern").agg(F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("l"), F.max(F.when(F.col("kind") == 2, F.col("at"))).alias("h"))
 
 
 def islands(rows: DataFrame) -> DataFrame:
@@ -72,7 +95,7 @@ def islands(rows: DataFrame) -> DataFrame:
     d = rows.select("row").distinct()
     first = d.join(d.select((F.col("row") + 1).alias("row")), "row", "left_anti")
     last = d.join(d.select((F.col("row") - 1).alias("row")), "row", "left_anti")
-    number = lambda x, name: ranked(x, F.shiftright("row", 20), [F.col("row").asc()], "i").select("i", F.col("row").alias(name))
+    number = lambda x, name: ranked(x, [F.col("row").asc()], "i").select("i", F.col("row").alias(name))
     return number(first, "l").join(number(last, "e"), "i").select("l", (F.col("e") + 1).alias("h"))
 
 
@@ -81,13 +104,14 @@ def wildcard_ranges(index: DataFrame, reads: DataFrame, pattern: str, longest: i
 
     ``longest`` bounds the letters that a match may need: the longest read with its ``$``.
     """
-    rot = rotation(index, reads, longest)
+    sure = re.match(r"[^?*]*", pattern)[0]
+    rot = rotation(starting(index, sure), reads, longest)
     return islands(rot.filter(F.rlike("rot", F.lit(wildcard_regex(pattern)))).select("row"))
 
 
 def reads_with(index: DataFrame, reads: DataFrame, pattern: str) -> DataFrame:
     """(row, read_rank, read): one row a hit, in row order; a read with several hits is listed as often."""
-    rot = rotation(index, reads, max(1, len(pattern)))
+    rot = rotation(starting(index, pattern), reads, max(1, len(pattern)))
     hits = rot.filter(F.startswith("rot", F.lit(pattern))).select("row", "read_rank")
     return hits.join(reads.select("read_rank", F.concat("seq", F.lit("$")).alias("read")), "read_rank").select("row", "read_rank", "read")
 

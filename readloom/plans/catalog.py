@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from readloom.functions import align
 from readloom.functions.dna import clean, reverse_complement, windows
 from readloom.operators import approx, codecs, graph, index, search
+from readloom.plans.store import stored
 
-READ, K, CAP, SNIP = 40, 6, 24, 12
+READ, K, SNIP = 40, 6, 12
 TILE = 1_000_000
 #: Patterns of the range query; some hold ``$`` or wrap around a read's end.
 PATTERNS = ("", "A", "CA", "ACG", "$ACG", "T$A", "TT", "CG", "N$", "GGGGGG", "ACGT$", "NANA")
 WILDCARDS = "A?C*N$"
-#: More nodes than the explored component has.
-NODES = 100_000
+#: Graph k-mers; the seed is the most frequent one with all four bases. More nodes than the explored component has.
+GRAPH_K, NODES = 9, 100_000
 #: Reads that hold this are deleted.
 GONE = "NANA"
 
@@ -43,7 +44,7 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
 
 def reads_b(spark: SparkSession, sf: str) -> DataFrame:
     c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
-    return index.prepare_reads(_cut(c, F.col("conv_id") * 1000 + F.col("turn"), F.col("text")))
+    return index.prepare_reads(_cut(c, F.col("conv_id") * 1_000_000 + F.col("turn"), F.col("text")))
 
 
 def refs(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,8 +75,9 @@ def find_range(spark, sf):
 
 def remove_strings(spark, sf):
     r = reads(spark, sf)
-    left = index.remove_reads(r, r.filter(F.contains("seq", F.lit(GONE))))
-    return index.build(left).join(left.select("read_rank", "seq_id"), "read_rank").select("row", "seq_id", "pos", "sym")
+    gone = r.filter(F.contains("seq", F.lit(GONE)))
+    left = index.remove_reads(r, gone)
+    return index.remove_rows(index.build(r), gone).join(left.select("read_rank", "seq_id"), "read_rank").select("row", "seq_id", "pos", "sym")
 
 
 def merge_indexes(spark, sf):
@@ -84,11 +86,6 @@ def merge_indexes(spark, sf):
 
 
 def lcp_array(spark, sf):
-    r = reads(spark, sf)
-    return index.lcp(index.build(r), r, CAP)
-
-
-def lcp_array_whole(spark, sf):
     r = reads(spark, sf)
     return index.lcp(index.build(r), r)
 
@@ -129,12 +126,6 @@ def edit_distance(spark, sf):
 
 
 def best_prefix(spark, sf):
-    r = refs(spark, sf)
-    b = align.best_prefix(F.substring("seq", 1, SNIP), F.col("seq"))
-    return r.select("ref_id", b.alias("b")).select("ref_id", "b.ed", "b.length")
-
-
-def best_prefix_whole(spark, sf):
     r = refs(spark, sf)
     b = align.best_prefix(reverse_complement(F.col("seq")), F.col("seq"))
     return r.select("ref_id", b.alias("b")).select("ref_id", "b.ed", "b.length")
@@ -145,10 +136,22 @@ def affine_cigar(spark, sf):
     return r.select("ref_id", align.cigar(F.col("seq"), reverse_complement(F.col("seq"))).alias("cigar"))
 
 
+def _graph(spark, sf):
+    r = stored(raw_reads(spark, sf))
+    every = F.lit(True)
+    for a in "ACGT":
+        every &= F.col("kmer").contains(a)
+    seed = search.kmer_counts(r, GRAPH_K).filter(every).orderBy(F.desc("cnt"), "kmer").limit(1)
+    return graph.explore(r, seed, GRAPH_K, max_nodes=NODES)
+
+
 def assemble_graph(spark, sf):
-    seed = search.kmer_counts(raw_reads(spark, sf), 12).orderBy(F.desc("cnt"), "kmer").first()["kmer"]
-    nodes, _ = graph.explore(spark, raw_reads(spark, sf), seed, max_nodes=NODES)
-    return nodes
+    listed = [F.array_join(c, ",").alias(c) for c in ("pileup", "inverted")]
+    return _graph(spark, sf)[0].select("node_id", "seq", "distance", "state", *listed)
+
+
+def graph_edges(spark, sf):
+    return _graph(spark, sf)[1]
 
 
 def kmer_ed2(spark, sf):
@@ -159,7 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "massquery_rc": massquery_rc,
     "reads_prepare": reads,
     "kmer_count": kmer_count,
-    "msbwt_build": lambda s, d: _idx(s, d).select("row", "read_rank", "pos", "sym"),
+    "index_build": lambda s, d: _idx(s, d).select("row", "read_rank", "pos", "sym"),
     "symbol_counts": lambda s, d: index.symbol_counts(_idx(s, d)),
     "c_array": lambda s, d: index.c_array(index.symbol_counts(_idx(s, d))),
     "fm_bins": lambda s, d: index.fm_bins(_idx(s, d)),
@@ -171,7 +174,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recover_string": recover_string,
     "dollar_id": lambda s, d: index.provenance(reads(s, d), _idx(s, d).filter("sym = '$'").select("read_rank")),
     "lcp_array": lcp_array,
-    "lcp_array_whole": lcp_array_whole,
     "pileup": lambda s, d: search.pileup(refs(s, d), raw_reads(s, d), K),
     "other_choices": lambda s, d: search.other_choices(refs(s, d), raw_reads(s, d), K),
     "other_choices_both": lambda s, d: search.other_choices(refs(s, d), raw_reads(s, d), K, stranded=False),
@@ -189,9 +191,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reads_matching_1snp": lambda s, d: search.reads_matching_one_change(refs(s, d), reads(s, d), SNIP),
     "edit_distance": edit_distance,
     "best_prefix": best_prefix,
-    "best_prefix_whole": best_prefix_whole,
     "affine_cigar": affine_cigar,
     "assemble_graph": assemble_graph,
+    "graph_edges": graph_edges,
     "kmer_ed2": kmer_ed2,
 }
 
@@ -205,7 +207,7 @@ def _reads(name: str, ident: str, table: str) -> str:
 
 
 _R = "with " + _reads("reads", "doc_id", "documents")
-_B = _reads("reads_b", "conv_id * 1000 + turn", "conversations")
+_B = _reads("reads_b", "conv_id * 1000000 + turn", "conversations")
 
 
 def _index(src: str = "reads", name: str = "idx", m: int = READ + 2) -> str:
@@ -253,7 +255,7 @@ v as (select kmer, 'exact' as kind, kmer as variant from kmers
         "massquery_rc": f"{_R}, {_kc(K)}, {_KMERS} select k.kmer, coalesce(a.cnt, 0)::bigint as counts, coalesce(b.cnt, 0)::bigint as rev_comp_counts from kmers k left join kc a on a.kmer = k.kmer left join kc b on b.kmer = {_RC('k.kmer')}",
         "reads_prepare": f"{_R} select * from reads",
         "kmer_count": f"{_R}, {_kc(K)} select * from kc",
-        "msbwt_build": f"{_I} select row, read_rank, pos, sym from idx",
+        "index_build": f"{_I} select row, read_rank, pos, sym from idx",
         "symbol_counts": f"{_I}, {_COUNTS} select * from counts",
         "c_array": f"{_I}, {_COUNTS} select * from c",
         "fm_bins": f"{_I}, {_COUNTS} select row // 2048 as bin_id, {bins} from idx group by row // 2048",
@@ -264,8 +266,7 @@ v as (select kmer, 'exact' as kind, kmer as variant from kmers
         "regex_islands": f"{_I}, m as (select row, row - row_number() over (order by row) as g from idx where regexp_matches(substr(rot, 1, {READ + 1}), {wild})) select min(row) as l, max(row) + 1 as h from m group by g",
         "recover_string": f"{_I} select row, read_rank, pos, suffix || substr(q, 1, pos) as rotation from idx",
         "dollar_id": f"{_R} select read_rank, file_id, seq_id from reads",
-        "lcp_array": f"{_index_with(CAP)} , nx as (select row, rot, lead(rot) over (order by row) as n from idx) select row, (case when n is null then 0 else coalesce(list_min(list_filter(range(1, {CAP} + 1), lambda i: substr(rot, i::int, 1) <> substr(n, i::int, 1))) - 1, {CAP}) end)::int as lcp from nx",
-        "lcp_array_whole": f"{_index_with(255)} , nx as (select row, rot, lead(rot) over (order by row) as n from idx) select row, (case when n is null then 0 when rot = n then 255 else list_min(list_filter(range(1, 256), lambda i: substr(rot, i::int, 1) <> substr(n, i::int, 1))) - 1 end)::int as lcp from nx",
+        "lcp_array": f"{_index_with(255)} , nx as (select row, rot, lead(rot) over (order by row) as n from idx) select row, (case when n is null then 0 when rot = n then 255 else list_min(list_filter(range(1, 256), lambda i: substr(rot, i::int, 1) <> substr(n, i::int, 1))) - 1 end)::int as lcp from nx",
         "pileup": f"{_R}, {_kc(K)}, {_REFS}, {_wins('refs', K, 'ref_id, ')} select ref_id, pos::int as pos, (coalesce(a.cnt, 0) + coalesce(b.cnt, 0))::bigint as cnt from w left join kc a on a.kmer = w.kmer left join kc b on b.kmer = {_RC('w.kmer')}",
         "other_choices": f"{_R}, {_kc(K)}, {tails}, {_REFS}, {other('refs', 'o')} select ref_id, pos::int as pos, cnt::bigint as cnt, other::bigint as other from o",
         "other_choices_both": f"{_R}, {_kc(K)}, {tails}, {_REFS}, rrefs as (select ref_id, {_RC('seq')} as seq from refs), {other('refs', 'o')}, {other('rrefs', 'z')} select o.ref_id, o.pos::int as pos, (o.cnt + z.cnt)::bigint as cnt, (o.other + z.other)::bigint as other from o join z on z.ref_id = o.ref_id and z.pos = o.len - {K} - o.pos",
@@ -281,12 +282,47 @@ v as (select kmer, 'exact' as kind, kmer as variant from kmers
         "str_ed1": f"{_R}, {_B}, kmers as (select distinct seq as kmer from reads_b where seq <> ''), pl as (select kmer, unnest(range(1, length(kmer) + 1))::int as i from kmers), al as (select pl.*, a from pl, (select {_ALTS} as a)), v as (select kmer as query, kmer as variant from kmers union select kmer, substr(kmer, 1, i - 1) || a || substr(kmer, i + 1) from al union select kmer, substr(substr(kmer, 1, i) || a || substr(kmer, i + 1), 2) from al union select kmer, 'A' || substr(kmer, 1, i - 1) || substr(kmer, i + 1) from pl) select distinct query, read_rank from v join reads on reads.seq = v.variant",
         "reads_matching_seq": f"{_R}, {_REFS}, {_wins('refs', SNIP, 'ref_id, ')} select distinct ref_id, read_rank from w join reads on length(seq) >= {SNIP} and substr(seq, 1, {SNIP}) = kmer",
         "reads_matching_1snp": f"{_R}, {_REFS}, {_wins('refs', SNIP, 'ref_id, ')}, h as (select distinct ref_id, kmer from w), r as (select read_rank, substr(seq, 1, {SNIP}) as head from reads where length(seq) >= {SNIP}) select distinct ref_id, read_rank from h join r on hamming(kmer, head) <= 1",
+        "assemble_graph": _graph_sql("select s.node_id, r.seq, s.distance, s.state, array_to_string(r.pileup, ',') as pileup, coalesce(array_to_string(i.inverted, ','), '') as inverted from stated s join rows_ r using (node_id) left join inv i using (node_id)"),
+        "graph_edges": _graph_sql("select source, target, cnt, style from edges"),
         "edit_distance": f"with {_REFS} select ref_id, levenshtein(seq, {_RC('seq')})::int as ed from refs",
-        "best_prefix": f"with {_REFS}, e as (select ref_id, unnest(range(length(seq) + 1))::int as n, seq from refs), d as (select ref_id, n, levenshtein(substr(seq, 1, {SNIP}), substr(seq, 1, n))::int as ed from e) select ref_id, min(ed) as ed, arg_min(n, ed * 100000 - n) as length from d group by ref_id",
-        "best_prefix_whole": f"with {_REFS}, e as (select ref_id, unnest(range(length(seq) + 1))::int as n, seq from refs), d as (select ref_id, n, levenshtein({_RC('seq')}, substr(seq, 1, n))::int as ed from e) select ref_id, min(ed) as ed, arg_min(n, ed * 100000 - n) as length from d group by ref_id",
+        "best_prefix": f"with {_REFS}, e as (select ref_id, unnest(range(length(seq) + 1))::int as n, seq from refs), d as (select ref_id, n, levenshtein({_RC('seq')}, substr(seq, 1, n))::int as ed from e) select ref_id, min(ed) as ed, arg_min(n, ed * 100000 - n) as length from d group by ref_id",
     }
 
 
+def _graph_sql(final: str, k: int = GRAPH_K, threshold: int = 10, overload: int = 1000) -> str:
+    """The rules of :mod:`readloom.operators.graph`, k-mer by k-mer; the component has fewer than NODES nodes."""
+    return f"""{_R.replace('with ', 'with recursive ', 1)},
+{_wins('reads_t', k + 1, name='lw')}, lc as (select kmer, count(*) as cnt from lw group by 1),
+longer as materialized (select kmer, sum(cnt)::bigint as cnt from (select kmer, cnt from lc union all select {_RC('kmer')}, cnt from lc) group by 1),
+{_wins('reads_t', k, name='ow')}, oc as (select kmer, count(*) as cnt from ow group by 1),
+own as materialized (select kmer, sum(cnt)::bigint as cnt from (select kmer, cnt from oc union all select {_RC('kmer')}, cnt from oc) group by 1),
+seed as materialized (select kmer from oc where contains(kmer, 'A') and contains(kmer, 'C') and contains(kmer, 'G') and contains(kmer, 'T') order by cnt desc, kmer limit 1),
+o as (select substr(kmer, 1, {k}) as u, substr(kmer, 2) as v, cnt, cnt >= {threshold} as firm,
+  row_number() over (partition by substr(kmer, 1, {k}) order by cnt desc, kmer) as place, count(*) filter (where cnt >= {threshold}) over (partition by substr(kmer, 1, {k})) as n from longer),
+fi as materialized (select substr(kmer, 2) as v, count(*) as n from longer where cnt >= {threshold} group by 1),
+e as materialized (select o.u, o.v, o.cnt, o.firm, o.n <= 1 as one_way, o.n <= 1 and coalesce(fi.n, 0) - o.firm::int = 0 and o.v <> (select kmer from seed) as plain
+  from o left join fi on fi.v = o.v where o.firm or (o.n = 0 and o.place = 1)),
+heavy as materialized (select kmer from own where cnt > {overload}),
+reach as (select kmer, true as start from seed union select e.v, not e.plain from reach r join e on e.u = r.kmer where not (r.start and r.kmer in (select kmer from heavy))),
+left_ as (select distinct kmer from reach where not (start and kmer in (select kmer from heavy))),
+walked as materialized (select e.* from e join left_ on left_.kmer = e.u),
+heads as materialized (select kmer from seed union select w.v from walked w left join fi on fi.v = w.v group by w.v having max(coalesce(fi.n, 0)) + count(*) filter (where not firm) > 1 or bool_or(not one_way)),
+places as (select kmer, kmer as head, 0::bigint as pos from heads union all select w.v, p.head, p.pos + 1 from places p join walked w on w.u = p.kmer where w.v not in (select kmer from heads)),
+tails as materialized (select head, max(pos) as top, arg_max(kmer, pos) as tail from places group by 1),
+links as materialized (select t.head, w.v as to_, t.top + 1 as n, w.cnt, w.firm, w.one_way from walked w join tails t on t.tail = w.u where w.v in (select kmer from heads) and t.head not in (select kmer from heavy)),
+dist(kmer, distance) using key (kmer) as (select kmer, 0::bigint from seed union
+  select l.to_, min(d.distance + l.n) from dist d join links l on l.head = d.kmer left join recurring.dist r on r.kmer = l.to_ where r.kmer is null or d.distance + l.n < r.distance group by l.to_),
+numbered as materialized (select kmer, distance, (row_number() over (order by distance, kmer) - 1)::int as node_id from dist),
+edges as materialized (select s.node_id as source, t.node_id as target, l.cnt, case when firm then 'solid' else 'dashed' end as style, one_way, firm from links l join numbered s on s.kmer = l.head join numbered t on t.kmer = l.to_),
+named as (select nb.*, nb.kmer in (select kmer from heavy) as stopped, e.target, e.firm, (select count(*) from walked w where w.u = t.tail) as n_out
+  from numbered nb join tails t on t.head = nb.kmer left join edges e on e.source = nb.node_id and e.one_way),
+stated as (select *, case when stopped then 'OVERLOAD' when n_out > 1 then 'SPLIT' when target is not null then 'MERGE_' || target || case when firm then '' else ', THRESHOLD' end else 'TERMINAL' end as state from named),
+inside as materialized (select s.node_id, p.pos, p.kmer, coalesce(own.cnt, 0) as cnt from stated s join places p on p.head = s.kmer left join own on own.kmer = p.kmer where not s.stopped or p.pos = 0),
+inv as (select x.node_id, list_sort(list(distinct y.node_id)) as inverted from inside x join inside y on y.kmer = {_RC('x.kmer')} group by 1),
+rows_ as (select node_id, arg_min(kmer, pos) || coalesce(string_agg(substr(kmer, {k}), '' order by pos) filter (where pos > 0), '') as seq, list(cnt order by pos) as pileup from inside group by 1)
+{final}"""
+
+
 def _index_with(m: int) -> str:
     return f"{_R}, {_index(m=m)}"
 

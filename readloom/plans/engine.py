@@ -54,7 +54,7 @@ class Index:
         top = self.reads.agg(F.max("read_rank")).first()[0]
         if ranks.filter((F.col("read_rank") < 0) | (F.col("read_rank") > F.lit(-1 if top is None else top))).limit(1).count():
             raise ValueError("read_rank out of range")
-        return Index(index.remove_reads(self.reads, ranks))
+        return Index(index.remove_reads(self.reads, ranks), index.remove_rows(self.rows, ranks))
 
     def size(self) -> int:
         return self.rows.count()
@@ -66,8 +66,10 @@ class Index:
         return index.BIN_BITS
 
     def count(self, pattern: str) -> int:
-        low, high = self.range(pattern)
-        return high - low
+        if set(pattern) - set(ALPHABET):
+            raise ValueError(f"pattern outside {ALPHABET}: {pattern}")
+        rot = index.rotation(index.starting(self.rows, pattern), self.reads, max(1, len(pattern)))
+        return rot.filter(F.col("rot").startswith(pattern)).count()
 
     def range(self, pattern: str) -> tuple[int, int]:
         if set(pattern) - set(ALPHABET):

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readloom.plans.store import stored
 
-def ranked(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """Adds ``name``: the 0-based rank by ``order``.
+#: Bits of a row's place in its partition, as Spark's increasing ids have them.
+_PLACE = 33
 
-    ``bucket`` must be an order-preserving coarsening of ``order`` (such as a prefix of its first key) with a bounded
-    number of values: rows are ranked inside each bucket in parallel and shifted by the size of the buckets before.
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the 0-based rank by ``order``, which must be total but for rows that are alike.
+
+    Rows are sorted in ranges of ``order``, which split any hot prefix, and stored with their place; a range's first
+    rank is the size of the ranges before. There is one offset a partition.
     """
-    d = df.withColumn("__b", bucket)
-    sizes = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inside = F.row_number().over(W.partitionBy("__b").orderBy(*order))
-    d = d.withColumn("__i", inside).join(F.broadcast(offsets), F.col("__b") == F.col("__c"))
-    return d.withColumn(name, (F.col("__o") + F.col("__i") - 1).cast("long")).drop("__b", "__c", "__o", "__i")
+    d = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", _PLACE).cast("int")
+    sizes = d.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # a row a partition of the sort
+    offsets, before = [], 0
+    for r in sizes:
+        offsets.append((r["p"], before - (r["p"] << _PLACE)))
+        before += r["n"]
+    known = df.sparkSession.createDataFrame(offsets, "__p int, __o long")
+    return d.join(F.broadcast(known), part == F.col("__p")).withColumn(name, F.col("__m") + F.col("__o")).drop("__m", "__p", "__o")

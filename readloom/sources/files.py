@@ -139,7 +139,7 @@ def reads_of_alignments(alignments: DataFrame) -> DataFrame:
     seq = F.when(F.col("flag").bitwiseAND(F.lit(16)) != 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     d = alignments.select("file_id", "qname", F.when(F.col("flag").bitwiseAND(F.lit(64)) != 0, 0).otherwise(1).alias("segment"), seq.alias("seq"))
     d = d.groupBy("file_id", "qname", "segment").agg(F.min("seq").alias("seq"))
-    names = ranked(d.select("file_id", "qname").distinct(), F.struct("file_id", F.substring("qname", 1, 4)), [F.col("file_id").asc(), F.col("qname").asc()], "seq_id")
+    names = ranked(d.select("file_id", "qname").distinct(), [F.col("file_id").asc(), F.col("qname").asc()], "seq_id")
     d = d.join(names, ["file_id", "qname"]).select("qname", (F.col("file_id") * 2 + F.col("segment")).cast("int").alias("file_id"), "seq_id", "seq")
     mate = d.select("qname", "seq_id", F.col("file_id").alias("mate_file_id"), F.col("seq_id").alias("mate_seq_id"))
     paired = d.join(mate, ["qname", "seq_id"], "left").filter("mate_file_id <> file_id")

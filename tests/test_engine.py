@@ -200,14 +200,6 @@ def test_lzw():
         assert codecs.lzw_decode(pack(codes), len(data)).tolist() == data
 
 
-def test_graph(spark):
-    reads = spark.createDataFrame([("AACCGTTA",)] * 12 + [("AACCGGAT",)] * 12, "seq string").withColumn("read_rank", F.monotonically_increasing_id())
-    nodes, edges = graph.explore(spark, reads, "AACC", max_nodes=10, threshold=10)
-    got = {r["node_id"]: r for r in nodes.collect()}
-    assert got[0]["seq"] == "AACCG" and got[0]["state"] == "SPLIT" and edges.filter("source = 0").count() == 2
-    assert graph.node_reads(nodes, reads, 4).filter("node_id = 0").first()["n_reads"] == 24
-
-
 def test_files(spark, tmp_path):
     fq = tmp_path / "a.fastq.gz"
     fq.write_bytes(gzip.compress(b"@r1 x\nACGT\n+\nIIII\n@r2\nCCA\r\n+\nIII\n"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from readloom.operators import approx, graph, index
+from readloom.operators import approx, index
 from readloom.plans import catalog
 
 
@@ -23,10 +23,3 @@ def test_ranges_with_error(spark):
     ask = spark.createDataFrame([(q, "G") for q in queries], "query string, bonus string")
     got = {tuple(r) for r in approx.ranges_with_error(ask, index.build(reads), reads, 4).collect()}
     assert got == want and any(v not in q for q, v, _, _ in want for q in queries)
-
-
-def test_graph_query_keeps_the_default_thresholds(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(graph, "explore", lambda *a, **b: (seen.update(b), (spark.range(1).select(F.col("id")), None))[1])
-    catalog.assemble_graph(spark, "/root/testdata/sf0.001")
-    assert seen["max_nodes"] > 1000 and not {"threshold", "overload"} & set(seen)
