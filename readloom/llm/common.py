@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.plans.store import scratch_dir
+from readloom.plans.store import stored as materialize
+
+__all__ = ["materialize", "scratch_dir"]
+
 #: A word: a run of characters other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -16,24 +18,6 @@ BROADCAST_ROWS = 50_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="readloom-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it many times inside ``body``."""
     return F.transform(F.array(value), body)[0]
@@ -68,3 +52,27 @@ def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", rows:
     left = big.withColumn("__t", (F.rand(7) * salts).cast("int"))
     on = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__t") == F.col("__s"))
     return left.join(right, on, how).drop("__key", "__s", "__t")
+
+
+#: Rows of one key that a task may get before the key is split, and the most keys that are split.
+HOT_ROWS, HOT_KEYS = 4096, 10_000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
+    """(__h, __parts) of the keys with so many rows that they are split; ``counts`` has one row a key.
+
+    A key is hot from HOT_ROWS rows on, and from total / HOT_KEYS: there are at most HOT_KEYS, so the result may be
+    broadcast.
+    """
+    total = (counts.agg(F.sum(n)).first()[0] or 0) if total is None else total
+    unit = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = counts.filter((F.col(n) > unit) & F.col(key).isNotNull())
+    return hot.groupBy(F.xxhash64(key).alias("__h")).agg(F.ceil(F.sum(n) / unit).cast("int").alias("__parts"))
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """Join ``small`` to ``big`` on ``key``; rows of hot keys are dealt over several tasks by the hash of ``by``."""
+    h, parts = F.xxhash64(key), F.coalesce("__parts", F.lit(1))
+    left = big.withColumn("__h", h).join(F.broadcast(hot), "__h", "left").withColumn("__s", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__h", "__parts")
+    right = small.withColumn("__h", h).join(F.broadcast(hot), "__h", "left").withColumn("__s", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__h", "__parts")
+    return left.join(right, [key, "__s"], how).drop("__s")

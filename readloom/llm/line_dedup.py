@@ -7,35 +7,44 @@ occurrence (smallest id) of a boilerplate line stays, so text that only exists i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
+from readloom.llm.common import hot_keys, materialize, salted_join
 
-MIN_SITES = 10
-MIN_CHARS = 20
+MIN_SITES = 3
+MIN_CHARS = 4
 LG_K = 11
 #: Estimates within this share of the threshold are counted exactly: ten standard errors of the sketch and more.
 BAND = 0.3
 
 
+def _key(*columns: Column) -> Column:
+    """128 bits that stand for the values: two hashes of unrelated seeds."""
+    return F.struct(F.xxhash64(*columns).alias("x"), F.xxhash64(F.lit("line"), *columns).alias("y"))
+
+
 def _occurrences(docs: DataFrame, text: str, site: str, ident: str, min_chars: int) -> DataFrame:
     """(row, ident, pos, line, site) of every line of at least ``min_chars`` characters, blanks around it aside."""
-    d = docs.select(F.xxhash64(F.col(ident), F.col(text)).alias("row"), F.col(ident).alias("ident"), F.xxhash64(F.col(site)).alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
+    d = docs.select(_key(F.col(ident), F.col(text)).alias("row"), F.col(ident).alias("ident"), F.xxhash64(F.col(site)).alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
     d = d.withColumn("raw", F.btrim("raw", F.lit(" \t\x0b\x0c\r"))).filter(F.length("raw") >= min_chars)
-    return d.select("row", "ident", "pos", F.xxhash64("raw").alias("line"), "site")
+    return d.select("row", "ident", "pos", _key(F.col("raw")).alias("line"), "site")
 
 
-def boilerplate(occurrences: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, first) of the lines on at least ``min_sites`` sites; first: (ident, row, pos) of the occurrence that stays."""
-    frequent = occurrences.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites)
-    held = materialize(occurrences.join(frequent.select("line"), "line", "left_semi"))
+def boilerplate(occurrences: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
+    """(line, first) of the lines on at least ``min_sites`` sites, and the hot lines.
+
+    first: (ident, row, pos) of the occurrence that stays.
+    """
+    frequent = materialize(occurrences.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites))
+    hot = hot_keys(frequent, "line")
+    held = materialize(salted_join(occurrences, frequent.select("line"), "line", hot, F.struct("row", "pos"), "left_semi"))
     place = F.struct("ident", "row", "pos")
     sketched = materialize(held.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(place).alias("first")))
     sure = sketched.filter(F.col("sites") > min_sites * (1 + BAND))
     near = sketched.filter(F.col("sites").between(min_sites * (1 - BAND), min_sites * (1 + BAND)))
-    exact = held.join(near.select("line"), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("exact")).filter(F.col("exact") >= min_sites)
-    return materialize(sure.select("line", "first").unionByName(near.join(exact, "line").select("line", "first")))
+    exact = salted_join(held, near.select("line"), "line", hot, F.struct("row", "pos"), "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("exact")).filter(F.col("exact") >= min_sites)
+    return materialize(sure.select("line", "first").unionByName(near.join(exact, "line").select("line", "first"))), hot
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", ident: str = "doc_id", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -43,14 +52,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", ident
 
     Lines are parts between line feeds; those with fewer than ``min_chars`` characters (blanks around them aside) never
     go. Null texts stay null with no lines; null sites are one site. Repeated rows (same id and text) count as often
-    as they occur, and the row that keeps a line keeps it in each repetition. Columns n_lines and n_removed are replaced.
+    as they occur, and the row that keeps a line keeps it in each repetition. Columns n_lines and n_removed are replaced;
+    other columns stay. An empty table gives no rows. Texts of any length are read whole. 128-bit hashes stand for lines.
     """
     docs = docs.drop("n_lines", "n_removed")
     occurrences = materialize(_occurrences(docs, text, site, ident, min_chars))
-    bad = boilerplate(occurrences, min_sites)
-    gone = occurrences.join(bad, "line").filter(~((F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))))
+    bad, hot = boilerplate(occurrences, min_sites)
+    gone = salted_join(occurrences, bad, "line", hot, F.struct("row", "pos")).filter(~((F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))))
     drops = gone.select("row", "pos").distinct().groupBy("row").agg(F.collect_list("pos").alias("__drop")).withColumnRenamed("row", "__r")
-    d = docs.withColumn("__row", F.xxhash64(F.col(ident), F.col(text))).join(drops, F.col("__row") == F.col("__r"), "left")
+    d = docs.withColumn("__row", _key(F.col(ident), F.col(text))).join(drops, F.col("__row") == F.col("__r"), "left")
     lines = F.split(F.col(text), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
     d = d.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
