@@ -112,7 +112,11 @@ def valid_vectors(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
     """(ident, v) of the vectors that take part: not null, not empty, all components finite, not all zero."""
     d = vectors.select(F.col(ident).alias("ident"), F.col(vector).cast("array<double>").alias("v")).filter("ident is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return d.filter((F.size("v") > 0) & ~F.coalesce(bad, F.lit(False)) & F.exists("v", lambda x: x != 0))
+    d = d.filter((F.size("v") > 0) & ~F.coalesce(bad, F.lit(False)) & F.exists("v", lambda x: x != 0))
+    # a power of two changes no cosine; it keeps the squares of very large and very small vectors in range
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    scale = F.when(top > 1e100, F.lit(2.0**-600)).when(top < 1e-100, F.lit(2.0**600))
+    return d.withColumn("v", F.when(scale.isNull(), F.col("v")).otherwise(F.transform("v", lambda x: x * scale)))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, ident: str = "vec_id", vector: str = "embedding", sure: float = SURE) -> DataFrame:
@@ -120,7 +124,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, ident: str = "vec_id", vec
 
     Nearness is the cosine in double precision, ties go to the smaller id; a query is no candidate of its own (rows of
     the same id count as the query itself). All rows are indexed. Vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do vectors of another length than the query's.
+    non-finite components take no part, nor do vectors of another length than the query's. Finite vectors of any size do.
+    An empty table gives no rows; other columns are left out.
     """
     spark = vectors.sparkSession
     rows = valid_vectors(vectors, ident, vector)
