@@ -33,7 +33,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", part == 2)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
     langs, table = langid.learn(docs.filter(~F.col("held_out")))
     return langid.predict(docs, langs, table, keep=("doc_id", "held_out"))
 
