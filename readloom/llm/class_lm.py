@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
+from readloom.llm.common import hot_keys, materialize, salted_join
 
 CORE, CLASSES, PASSES = 2000, 48, 6
 #: Occurrences from which a word gets a class.
 LEAST = 3
-HEAD, HEAD_BYTES = 40_000, 64
+HEAD, HEAD_BYTES = 200_000, 64
+#: Longer words are rare; should one be frequent all the same, its rows are split.
 ALPHA = 0.1
 WORDS_AT_ONCE = 500
 
@@ -147,7 +148,7 @@ def assigned(codes: DataFrame, head: list[bytes], own: np.ndarray, table: np.nda
             word, ctx = key // (2 * k), key % (2 * k)
             tail = word >= n_head
             code = pa.array(np.maximum(word - n_head, 0), mask=~tail)
-            yield pa.RecordBatch.from_arrays([words.take(code), pa.array(word, pa.int64(), mask=tail), pa.array(ctx, pa.int64()), pa.array(n, pa.int64())], ["word", "id", "ctx", "n"])
+            yield pa.RecordBatch.from_arrays([words.take(code), pa.array(word.astype(np.int32), mask=tail), pa.array(ctx.astype(np.int16)), pa.array(n, pa.int64())], ["word", "id", "ctx", "n"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value[1]
@@ -165,10 +166,11 @@ def assigned(codes: DataFrame, head: list[bytes], own: np.ndarray, table: np.nda
                 gain -= f(rows + total) - f(rows) + f(cols + total) - f(cols)
                 yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("id"), batch.column("n"), pa.array(gain.argmax(1).astype(np.int32))], ["word", "id", "n", "cls"])
 
-    met = codes.select("ids", "words").mapInArrow(near, "word binary, id long, ctx long, n long").groupBy("word", "id", "ctx").agg(F.sum("n").alias("n"))
+    # frequent words meet on the map side, and each of their contexts in a task of its own, before the words do
+    met = codes.select("ids", "words").mapInArrow(near, "word binary, id int, ctx short, n long").groupBy("word", "id", "ctx").agg(F.sum("n").alias("n"))
     # each occurrence has one successor and one predecessor
     by = met.groupBy("word", "id").agg((F.sum("n") / 2).cast("long").alias("n"), F.collect_list(F.struct("ctx", "n")).alias("near")).filter(F.col("n") >= LEAST)
-    return by.mapInArrow(choose, "word binary, id long, n long, cls int")
+    return by.mapInArrow(choose, "word binary, id int, n long, cls int")
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
@@ -268,17 +270,17 @@ class Model:
 
     def learn_moves(self, met: DataFrame) -> None:
         """Counts the class transitions of training texts, all words' classes known."""
-        m, k = met.sparkSession.sparkContext.broadcast(self.sent()), self.k
+        k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = np.zeros(k * k, np.int64)
             for batch in batches:
-                for x, (i, _, _, cls) in zip(batch.column("ids").to_pylist(), _tails(batch), strict=True):
-                    c = m.value.classes(np.frombuffer(x, np.int32), i, cls)
+                for x in batch.column("classes").to_pylist():
+                    c = np.frombuffer(x, np.uint8).astype(np.int64)
                     held += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(held)], ["pair", "n"])
 
-        got = met.select("ids", "tail").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+        got = met.select("classes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
         table = np.zeros(k * k)
         table[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy()
         table = table.reshape(k, k)
@@ -302,7 +304,8 @@ class Model:
 def score(docs: DataFrame, train: Column, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(ident, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; learns where ``train``.
 
-    Null texts are empty: their only token is the end. Rows of one id are scored each by itself.
+    Null texts are empty: their only token is the end. Rows of one id are scored each by itself. Without training rows every
+    word is unknown; an empty table gives no rows. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(ident).alias("ident"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
@@ -314,26 +317,41 @@ def score(docs: DataFrame, train: Column, text: str = "text", ident: str = "doc_
 
     rest = codes.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("i", "x")).select("row", "i", F.col("x.words").alias("word"), F.col("x.times").alias("t"))
     known = counts.join(model.others.filter("id is null").select("word", "cls"), "word", "left")
-    found = rest.join(known, "word", "left").select("row", F.struct("i", "t", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(model.rare)).alias("cls")).alias("x"))
+    hot = hot_keys(counts.filter(F.length("word") > HEAD_BYTES), "word")
+    found = salted_join(rest, known, "word", hot, F.col("row"), "left").select("row", F.struct("i", "t", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(model.rare)).alias("cls")).alias("x"))
     met = codes.select("row", "ident", "train", "ids").join(found.groupBy("row").agg(F.collect_list("x").alias("tail")), "row", "left")
-    met = materialize(met.select("ident", "train", "ids", "tail"))
-    model.learn_moves(met.filter("train"))
     sent = spark.sparkContext.broadcast(model.sent())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The classes of a text's words between two ends, a byte each, and what its words add whatever the transitions."""
         m = sent.value
         for batch in batches:
-            rows = []
+            classes, rows = [], []
             for x, (i, t, n, cls) in zip(batch.column("ids").to_pylist(), _tails(batch), strict=True):
                 ids = np.frombuffer(x, np.int32)
-                c = m.classes(ids, i, cls)
+                classes.append(m.classes(ids, i, cls).astype(np.uint8).tobytes())
                 of = ids[ids < len(m.cls)]
                 base = m.base[of].sum() + m.end_base + (t * np.log10((n + ALPHA) / m.unit)).sum()
-                own = m.move[c[:-1], c[1:]].sum() + m.emit[of].sum() + (t * m.emission(n, cls)).sum()
+                own = m.emit[of].sum() + (t * m.emission(n, cls)).sum()
                 rows.append((len(ids) + 1, len(of) + 1 + int(t[n > 0].sum()), float(base), float(own)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("train"), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], ["ident", "train", "n_tokens", "n_known", "base_score", "score"])
+            columns = [pa.array(classes, pa.binary()), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]]
+            yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("train"), *columns], ["ident", "train", "classes", "n_tokens", "n_known", "base_score", "emitted"])
+
+    met = materialize(met.select("ident", "train", "ids", "tail").mapInArrow(emitted, f"ident {kind}, train boolean, classes binary, n_tokens long, n_known long, base_score double, emitted double"))
+    model.learn_moves(met.filter("train"))
+    moves = spark.sparkContext.broadcast(model.move)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        move = moves.value
+        for batch in batches:
+            way = []
+            for x in batch.column("classes").to_pylist():
+                c = np.frombuffer(x, np.uint8)
+                way.append(float(move[c[:-1], c[1:]].sum()))
+            own = pa.array(np.array(way) + batch.column("emitted").to_numpy(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("ident", "train", "n_tokens", "n_known", "base_score")], own], ["ident", "train", "n_tokens", "n_known", "base_score", "score"])
 
     out = met.mapInArrow(run, f"ident {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("ident").alias(ident), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
