@@ -42,10 +42,11 @@ def windows(seq: Column, k) -> Column:
 
 
 def common_prefix(a: Column, b: Column, cap: int) -> Column:
-    """Length of the common prefix, at most ``cap``: the first place where the two differ is found by doubling-free scan."""
+    """Length of the common prefix, at most ``cap``, found by comparing parts of 2^i letters, the longest first."""
     n = F.least(F.length(a), F.length(b), F.lit(cap))
-    miss = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))))
-    return F.when(n == 0, F.lit(0)).otherwise(F.coalesce(miss - 1, n)).cast("int")
+    parts = F.array(*[F.lit(1 << i) for i in reversed(range(max(cap, 1).bit_length()))])
+    same = lambda at, part: (at + part <= n) & (F.substr(a, at + 1, part) == F.substr(b, at + 1, part))
+    return F.aggregate(parts, F.lit(0), lambda at, part: at + F.when(same(at, part), part).otherwise(0)).cast("int")
 
 
 def wildcard_regex(pattern: str) -> str:
