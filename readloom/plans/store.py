@@ -17,11 +17,28 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _forget_at_exit(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_MARKED: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _forget_at_exit(spark: SparkSession) -> None:
+    """Have the folder deleted when the driver ends."""
+    if (at := scratch_dir(spark)) not in _MARKED:
+        fs, path = _folder(spark)
+        fs.deleteOnExit(path)
+        _MARKED.add(at)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete what this application has stored; results not yet read are lost."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(conf).delete(path, True)
+    fs, path = _folder(spark)
+    fs.delete(path, True)
+    _MARKED.discard(scratch_dir(spark))
