@@ -1,16 +1,18 @@
 """Near duplicates by a MinHash LSH forest.
 
 A signature of 63 minima is read in 21 orders (trees), each a rotation. Texts that share the first DEPTH values of an
-order lie in one region; a region of up to SMALL texts gives all its pairs. In a larger one every text is paired with
-the region's smallest id and with its neighbour in the sorted order, which shares the longest prefix with it, as deep
-as the region goes. Pairs are confirmed on full sets, best pairs first; linked texts need no further pairs. A large region that still holds several components pairs its members
-with its hub, and what then still lies outside the main component is compared, in blocks and on full sets, with all of
-the region, so no link is lost to a region's size. Exact copies are one text from the start.
+order lie in one region; a region of up to SMALL texts gives all its pairs. In a larger one the texts are sorted by the
+rest of their order, and each looks at its neighbours on both sides, from the longest common prefix to shorter ones,
+until one agrees enough: the depth adapts to how crowded the region is. Pairs are confirmed on full sets, best pairs
+first; linked texts need no further pairs. What a large region still holds in several components meets the region's
+hub, and what is left then outside its main component is compared, in blocks and on full sets, with all of the region,
+so no link is lost to a region's size. Exact copies are one set from the start, and sets, not documents, are the nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,121 +20,159 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialize
-from readloom.llm.components import components
-from readloom.llm.shingles import WordHashes, shingle_sets
+from readloom.llm.common import hot_keys, materialize, salted_join
+from readloom.llm.components import components, joined
+from readloom.llm.shingles import shingle_runs
 
 VALUES, DEPTH, TREES = 63, 3, 21
-#: Values of an order, after the first DEPTH, that a large region is sorted by.
-DEEPER = 37
 SMALL = 24
-BLOCK = 128
-#: Rounds in which the members of a large region meet its hub before what is left is compared in blocks.
+#: Rows of a sorted order that a text looks back and ahead.
+REACH = 8
+#: Pairs are not compared if so few signature values agree that a pair at the threshold would do so with at most this probability.
+MISS = 1e-9
+#: Rounds in which the texts of a large region meet its hub, before the rest is compared in blocks.
 HUBS = 2
-#: Pairs whose signatures agree this much less than the threshold are not compared: over four standard deviations.
-SLACK = 0.2
+#: Texts of a block of that comparison.
+BLOCK = 128
 _A = (np.random.default_rng(20240131).integers(1, 1 << 31, VALUES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = np.random.default_rng(77).integers(0, 1 << 32, VALUES, dtype=np.uint32)
 
 
-def _signature(found: np.ndarray) -> np.ndarray:
-    x = (found >> np.uint64(32)).astype(np.uint32)
-    out = np.empty(VALUES, np.uint32)
-    for k in range(VALUES):
-        out[k] = ((x ^ _B[k]) * _A[k]).min()
+def least_agreement(percent: int) -> int:
+    """The number of agreeing values that a pair of this similarity falls short of with a probability of at most MISS."""
+    s, miss, t = percent / 100, 0.0, 0
+    while t < VALUES and (miss := miss + comb(VALUES, t) * s**t * (1 - s) ** (VALUES - t)) <= MISS:
+        t += 1
+    return t
+
+
+def _minima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The signatures, a row each, of the sets that begin at ``starts``."""
+    x = (values >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(starts), VALUES), np.uint32)
+    for k in range(VALUES if len(starts) else 0):
+        out[:, k] = np.minimum.reduceat((x ^ _B[k]) * _A[k], starts)
     return out.view(np.int32)
 
 
+def _digests(values: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """A 128-bit key of each set; None for empty ones."""
+    ends = np.cumsum(sizes)
+    return [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(ident, n_shingles, set_key, sig) of (ident, text)."""
+    """(ident, n_shingles, set_key, sig) of (ident, text); key and signature are null for texts without words."""
     kind = docs.schema["ident"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sizes, keys, sigs = [], [], []
-            for s in shingle_sets(batch.column("text").to_pylist(), width, hashes):
-                sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(_signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("ident"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["ident", "n_shingles", "set_key", "sig"])
+            done = 0
+            for values, sizes in shingle_runs(batch.column("text").to_pylist(), width):
+                held = sizes > 0
+                sig = _minima(values, (np.cumsum(sizes) - sizes)[held])
+                sigs = _lists(sig.ravel(), np.full(len(sig), VALUES), pa.int32()).take(pa.array(np.cumsum(held) - 1, pa.int64(), mask=~held))
+                yield pa.RecordBatch.from_arrays([batch.column("ident").slice(done, len(sizes)), pa.array(sizes, pa.int64()), pa.array(_digests(values, sizes), pa.binary()), sigs], ["ident", "n_shingles", "set_key", "sig"])
+                done += len(sizes)
 
     return docs.select("ident", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"ident {kind}, n_shingles long, set_key binary, sig array<int>")
 
 
 def shingle_table(docs: DataFrame, width: int) -> DataFrame:
-    """(ident, shingles) of (ident, text)."""
-    kind = docs.schema["ident"].dataType.simpleString()
+    """(set_key, shingles) of (text), texts without words left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 256):
-                sets = [s.view(np.int64) for s in shingle_sets(texts[at : at + 256], width, hashes)]
-                yield pa.RecordBatch.from_arrays([batch.column("ident").slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["ident", "shingles"])
+            for values, sizes in shingle_runs(batch.column("text").to_pylist(), width):
+                keys = pa.array(_digests(values, sizes), pa.binary())
+                out = pa.RecordBatch.from_arrays([keys, _lists(values.view(np.int64), sizes, pa.int64())], ["set_key", "shingles"])
+                yield out.filter(keys.is_valid())
 
-    return docs.select("ident", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"ident {kind}, shingles array<bigint>")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "set_key binary, shingles array<bigint>")
 
 
 def _agree(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
-def _sorted_neighbours(large: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts next to each other in the sorted orders of large regions; ranges, not regions, are tasks."""
-    trees = large.groupBy("ident").agg(F.collect_list(F.struct("tree", "key")).alias("trees"))  # at most TREES
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _sorted_neighbours(large: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b, agree) of neighbours in the sorted orders of large regions; ranges, not regions, are tasks."""
+    trees = large.groupBy("node").agg(F.collect_list(F.struct("tree", "key")).alias("trees"))  # at most TREES
     twice = F.concat("sig", "sig")
-    rest = F.transform("trees", lambda x: F.struct(x["key"].alias("key"), F.slice(twice, (x["tree"] + 1) * DEPTH + 1, DEEPER).alias("rest")))
-    d = trees.join(reps.select("ident", "sig"), "ident").select("ident", F.explode(rest).alias("x")).select("x.key", "x.rest", "ident")
-    kind = large.schema["ident"].dataType.simpleString()
+    rest = F.transform("trees", lambda x: F.struct(x["key"].alias("key"), F.slice(twice, (x["tree"] + 1) * DEPTH + 1, VALUES - DEPTH).alias("rest")))
+    d = trees.join(reps, "node").select("node", F.explode(rest).alias("x")).select("x.key", "x.rest", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ident = None
+        key, rows, nodes = np.zeros(0, np.int64), np.zeros((0, VALUES - DEPTH), np.int32), pa.array([], pa.binary())
         for batch in batches:
-            a, b = [], []
-            for k, i in zip(batch.column("key").to_pylist(), batch.column("ident").to_pylist(), strict=True):
-                if k == key:
-                    a.append(min(i, ident))
-                    b.append(max(i, ident))
-                key, ident = k, i
-            kept = batch.schema.field("ident").type
-            yield pa.RecordBatch.from_arrays([pa.array(a, kept), pa.array(b, kept)], ["a", "b"])
-
-    return d.repartitionByRange("key", "rest", "ident").sortWithinPartitions("key", "rest", "ident").select("key", "ident").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _forest_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b), and the members (key, ident) of regions of more than SMALL texts."""
-
-    def level(depth: int) -> Column:
-        """One key a tree: the tree and the first ``depth`` values of its order."""
-        twice = F.concat("sig", "sig")
-        return F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice(twice, t * DEPTH + 1, depth)))
-
-    keys = reps.select("ident", F.posexplode(level(DEPTH)).alias("tree", "key"))
-    regions = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ident").alias("lead")).filter("n > 1")
-    members = materialize(keys.join(regions, "key"))
-    small = members.filter(F.col("n") <= SMALL).select("key", "ident")
-    pairs = small.select("key", F.col("ident").alias("a")).join(small.select("key", F.col("ident").alias("b")), "key").filter("a < b").select("a", "b")
-    large = members.filter(F.col("n") > SMALL)
-    pairs = pairs.unionByName(large.filter("ident <> lead").select(F.col("lead").alias("a"), F.col("ident").alias("b")))
-    pairs = pairs.unionByName(_sorted_neighbours(large, reps))
-    return pairs.distinct(), large.select("key", "ident")
-
-
-def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    one = reps.select(F.col("ident").alias("a"), F.col("sig").alias("sa"))
-    two = reps.select(F.col("ident").alias("b"), F.col("sig").alias("sb"))
+            # the last rows of the batch before are looked at once more
+            old = len(key)
+            key = np.concatenate([key, batch.column("key").to_numpy()])
+            rows = np.concatenate([rows, batch.column("rest").flatten().to_numpy().reshape(-1, VALUES - DEPTH)])
+            nodes = pa.concat_arrays([nodes, batch.column("node")])
+            n = len(key)
+            agree = np.full((REACH, n), -1, np.int16)
+            for w in range(1, min(REACH, n - 1) + 1):
+                both = (rows[w:] == rows[:-w]).sum(1) + DEPTH
+                agree[w - 1, w:] = np.where(key[w:] == key[:-w], both, -1)
+            good = agree >= least
+            back = np.flatnonzero(good.any(0))
+            w = good[:, back].argmax(0)
+            fresh = back >= old
+            one, two, n_agree = [back[fresh]], [(back - w - 1)[fresh]], [agree[w, back][fresh]]
+            ahead = np.zeros((REACH, n), bool)
+            for w in range(1, min(REACH, n - 1) + 1):
+                ahead[w - 1, :-w] = good[w - 1, w:]
+            at = np.flatnonzero(ahead.any(0))
+            w = ahead[:, at].argmax(0)
+            one.append(at)
+            two.append(at + w + 1)
+            n_agree.append(agree[w, at + w + 1])
+            a, b = (pa.array(np.concatenate(x)) for x in (one, two))
+            yield pa.RecordBatch.from_arrays([nodes.take(a), nodes.take(b), pa.array(np.concatenate(n_agree).astype(np.int32))], ["a", "b", "agree"])
+            key, rows, nodes = key[-REACH:], rows[-REACH:], nodes[-REACH:]
+
+    pairs = d.repartitionByRange("key", "rest", "node").sortWithinPartitions("key", "rest", "node").mapInArrow(run, "a binary, b binary, agree int")
+    return pairs.select(*_pair(F.col("a"), F.col("b")), "agree")
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """(key, node, tree, n) of the regions of several texts; the key stands for a tree and DEPTH values of its order."""
+    twice = F.concat("sig", "sig")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice(twice, t * DEPTH + 1, DEPTH)))
+    keys = reps.select("node", F.posexplode(keys).alias("tree", "key"))
+    regions = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    return materialize(salted_join(keys, regions, "key", hot_keys(regions, "key"), F.col("node")))
+
+
+def _small_pairs(members: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b, agree) of all texts in the same small region."""
+    small = members.filter(F.col("n") <= SMALL).select("key", "node")
+    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    one = reps.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
+    two = reps.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
     d = pairs.join(one, "a").join(two, "b").select("a", "b", _agree(F.col("sa"), F.col("sb")).alias("agree"))
-    return d.filter(F.col("agree") >= least * VALUES)
+    return d.filter(F.col("agree") >= least)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("ident").alias("a"), F.col("shingles").alias("s"))
-    two = sets.select(F.col("ident").alias("b"), F.col("shingles").alias("t"))
+    """The pairs (a, b) that reach the similarity on full sets; a text in many pairs is dealt over several tasks."""
+    pairs = materialize(pairs.select("a", "b"))
+    for side, other, name in (("a", "b", "s"), ("b", "a", "t")):
+        hot = hot_keys(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), side)
+        found = pairs if side == "a" else found
+        found = salted_join(found, sets.select(F.col("node").alias(side), F.col("shingles").alias(name)), side, hot, F.col(other))
     both = F.size(F.array_intersect("s", "t"))
-    d = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("sum"))
+    d = found.select("a", "b", both.alias("both"), (F.size("s") + F.size("t")).alias("sum"))
     return d.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
 
 
@@ -145,31 +185,34 @@ def _unlinked(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _split(large: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members (key, ident, component, main, all) of the large regions that hold several components; main: the largest."""
-    named = comp.select(F.col("node").alias("ident"), "component")
-    d = large.join(named, "ident", "left").withColumn("component", F.coalesce("component", "ident"))
+    """(key, node, component, main, all) of the texts of large regions that hold several components; main: the largest."""
+    d = materialize(large.select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
     sizes = d.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"), F.max_by("component", "n").alias("main")).filter("parts > 1")
-    return d.join(several.drop("parts"), "key")
+    several = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("parts > 1").drop("parts")
+    several = materialize(several)
+    return materialize(salted_join(d, several, "key", hot_keys(several, "key", "all"), F.col("node")))
+
 
+def _hub_pairs(split: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a region's texts with its hub, where their components differ; the hub is the text nearest to its commonest signature.
 
-def _hub_pairs(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of each member (key, ident) with its region's hub: the text nearest to the region's commonest signature."""
-    d = members.join(reps.select("ident", "sig"), "ident")
+    After the first round ``split`` has the texts outside the main component only, and their own hub.
+    """
+    d = materialize(split.join(reps, "node"))
     common = d.groupBy("key").agg(F.array(*[F.mode(F.get("sig", F.lit(k))) for k in range(VALUES)]).alias("common"))
-    near = d.join(common, "key").groupBy("key").agg(F.max_by("ident", F.struct(_agree(F.col("sig"), F.col("common")), -F.col("ident"))).alias("hub"))
-    pairs = members.join(near, "key").filter("ident <> hub")
-    return pairs.select(F.least("ident", "hub").alias("a"), F.greatest("ident", "hub").alias("b")).distinct()
+    hot = hot_keys(d.groupBy("key").agg(F.first("all").alias("n")), "key")
+    near = salted_join(d, common, "key", hot, F.col("node")).groupBy("key").agg(F.max_by(F.struct("node", "component"), F.struct(_agree(F.col("sig"), F.col("common")), "node")).alias("hub"))
+    out = salted_join(split, near, "key", hot, F.col("node")).filter(F.col("hub.component") != F.col("component"))
+    return out.select(*_pair(F.col("node"), F.col("hub.node"))).distinct()
 
 
 def _across(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components of a large region: blocks of the members outside the main component are compared
-    with blocks of all members on full sets; of a member's links to one component one is given."""
-    d = split.join(sets, "ident").withColumn("block", F.pmod(F.xxhash64("ident"), F.ceil(F.col("all") / BLOCK)))
-    blocks = lambda x, name: x.groupBy("key", "block").agg(F.collect_list(F.struct("ident", "component", "shingles")).alias(name))
+    """Links (a, b) between components of a large region: blocks of the texts outside the main component are compared
+    with blocks of all its texts on full sets; of a text's links to one component one is given."""
+    d = split.join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK)))
+    blocks = lambda x, name: x.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "shingles")).alias(name))
     left = blocks(d.filter("component <> main"), "left").drop("block")
     right = blocks(d, "right").withColumnRenamed("block", "other")
-    kind = split.schema["ident"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,50 +238,75 @@ def _across(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                             first.setdefault(cy[j], iy[j])
                     found_a += [own] * len(first)
                     found_b += list(first.values())
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, batch.schema.field("left").type.value_type.field("ident").type), pa.array(found_b, batch.schema.field("left").type.value_type.field("ident").type)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], ["a", "b"])
 
-    return left.join(right, "key").select("left", "right").mapInArrow(run, f"a {kind}, b {kind}")
+    return left.join(right, "key").select("left", "right").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(ident, n_shingles, component_id, kept) for every row of ``docs``.
 
     Texts with 100 * intersection >= percent * union of their sets of ``width``-word shingles are linked; component_id
-    is the smallest id reachable. Null and blank texts have no shingles and no links. Rows of one id are one document.
-    A row whose id is null takes no part: its component is null and it is kept.
+    is the smallest id reachable. Null and blank texts have no shingles and no links. Rows of one id are one document,
+    which has the links of all its texts. A row whose id is null takes no part: its component is null and it is kept.
+    Texts of any length are read whole. An empty table gives no rows; other columns are left out, whatever their names.
     """
     held = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
     sig = materialize(signatures(held, width))
-    reps = materialize(sig.filter("n_shingles > 0 and ident is not null").groupBy("set_key").agg(F.min("ident").alias("ident"), F.first("sig").alias("sig")))
-    least = percent / 100 - SLACK
-    pairs, large = _forest_pairs(reps)
-    pairs = materialize(_estimated(pairs, reps, least))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("ident"))
+    full = sig.filter("set_key is not null and ident is not null")
+    groups = full.groupBy("set_key").agg(F.min("ident").alias("ident"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
+    groups = materialize(groups.withColumnRenamed("set_key", "node"))
+    reps = groups.select("node", "sig")
+    least = least_agreement(percent)
+    members = _members(reps)
+    large = members.filter(F.col("n") > SMALL)
     hot = not large.isEmpty()
-    wanted = (wanted.unionByName(large.select("ident")) if hot else wanted).distinct()
-    # rows of one id may hold different texts; the representative's set is the one confirmed
-    mine = reps.select("ident", "set_key").join(wanted, "ident", "left_semi")
-    sets = shingle_table(held.join(mine.select("ident").distinct(), "ident", "left_semi"), width)
-    sets = materialize(sets.filter(F.size("shingles") > 0).dropDuplicates(["ident"]))
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    links = materialize(_confirmed(best, sets, percent))
-    comp = materialize(components(links))
-    links = materialize(links.unionByName(_confirmed(_unlinked(pairs, comp), sets, percent)))
-    for turn in range(HUBS + 1) if hot else ():
-        comp = materialize(components(links))
-        split = materialize(_split(large, comp))
-        if split.isEmpty():
-            break
-        if turn < HUBS:
-            outside = split if turn == 0 else split.filter("component <> main")
-            more = _confirmed(_unlinked(_hub_pairs(outside.select("key", "ident"), reps), comp), sets, percent)
-        else:
-            more = _across(split, sets, percent)
-        links = materialize(links.unionByName(more))
-    copies = sig.filter("n_shingles > 0 and ident is not null").select("set_key", "ident").join(reps.select("set_key", F.col("ident").alias("a")), "set_key").filter("a <> ident")
-    comp = components(links.unionByName(copies.select("a", F.col("ident").alias("b"))))
-    out = sig.select("ident", "n_shingles").join(comp.select(F.col("node").alias("ident"), "component"), "ident", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "ident"))
+    pairs = _small_pairs(members, reps, least)
+    if hot:
+        pairs = pairs.unionByName(_sorted_neighbours(large, reps, least)).distinct()
+    pairs = materialize(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = (wanted.unionByName(large.select("node")) if hot else wanted).distinct()
+    # one document of each set wanted; another text under its id has another key
+    mine = groups.join(wanted, "node", "left_semi").select("ident").distinct()
+    sets = shingle_table(held.join(mine, "ident", "left_semi"), width).withColumnRenamed("set_key", "node")
+    sets = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a"))
+    comp = components(_confirmed(best, sets, percent))
+    if hot:
+        # the hubs link most of what the sorted orders left apart, so that fewer pairs are confirmed
+        for turn in range(HUBS):
+            split = _split(large, comp)
+            outside = split.filter("component <> main") if turn else split
+            more = materialize(_confirmed(_hub_pairs(outside, reps), sets, percent))
+            if more.isEmpty():
+                break
+            comp = joined(comp, more)
+    comp = joined(comp, _confirmed(_unlinked(pairs, comp), sets, percent))
+    if hot and not (split := _split(large, comp)).isEmpty():
+        comp = joined(comp, _across(split, sets, percent))
+    # an id with several texts links them
+    repeated = materialize(sig.filter("ident is not null").groupBy("ident").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    again = not repeated.isEmpty()
+    if again:
+        spread = hot_keys(repeated, "ident")
+        theirs = materialize(salted_join(sig.select("ident", "set_key"), repeated.select("ident"), "ident", spread, F.col("set_key")).distinct())
+        first = theirs.groupBy("ident").agg(F.min("set_key").alias("a"))
+        comp = joined(comp, theirs.join(first, "ident").filter("a <> set_key").select("a", F.col("set_key").alias("b")))
+    named = groups.select("node", "ident", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named)
+    smallest = comp.select("component").distinct().join(named, "component").groupBy("component").agg(F.min("ident").alias("component_id"))
+    named = named.join(smallest, "component", "left").select("node", "n", F.coalesce("component_id", "ident").alias("component_id"))
+    named = materialize(named)
+    out = salted_join(full.select("ident", "n_shingles", F.col("set_key").alias("node")), named.select("node", "component_id"), "node", hot_keys(named, "node"), F.col("ident"))
+    out = out.select("ident", "n_shingles", "component_id")
+    bare = sig.filter("set_key is null or ident is null").select("ident", "n_shingles", F.col("ident").alias("component_id"))
+    out = out.unionByName(bare)
+    if again:
+        out = materialize(out)
+        theirs = salted_join(out, repeated.select("ident"), "ident", spread, F.col("n_shingles"))
+        least_id = theirs.groupBy("ident").agg(F.min("component_id").alias("__least"))
+        out = salted_join(out, least_id, "ident", spread, F.col("n_shingles"), "left").withColumn("component_id", F.coalesce("__least", "component_id"))
     return out.select(F.col("ident").alias(ident), "n_shingles", "component_id", F.coalesce(F.col("ident") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
