@@ -76,3 +76,28 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, by:
     left = big.withColumn("__h", h).join(F.broadcast(hot), "__h", "left").withColumn("__s", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__h", "__parts")
     right = small.withColumn("__h", h).join(F.broadcast(hot), "__h", "left").withColumn("__s", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__h", "__parts")
     return left.join(right, [key, "__s"], how).drop("__s")
+
+
+#: Bits of a bitmap for each key, and log2 of its bits at most (16 MB); a fuller one holds more keys than it was given.
+KEY_BITS, MAX_LOG_BITS = 16, 27
+#: log2 of the bits in a row of a bitmap, 512 words of 64.
+ROW_LOG_BITS = 15
+
+
+def bitmap(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(__row, __words) and the number of bits: a bit for each 64-bit ``x`` of ``keys``, at most 16 MB, in rows of 4 kB."""
+    bits = 1 << min(MAX_LOG_BITS, max(ROW_LOG_BITS, (KEY_BITS * keys.count()).bit_length()))
+    words = keys.select(F.shiftright(F.pmod("x", F.lit(bits)), 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(x, {bits}) & 63 as int))").alias("set"))
+    words = words.unionByName(keys.sparkSession.range(bits >> 6).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("set")))
+    words = words.groupBy("word").agg(F.bit_or("set").alias("set"))
+    rows = words.groupBy(F.shiftright("word", ROW_LOG_BITS - 6).alias("__row")).agg(F.array_sort(F.collect_list(F.struct("word", "set"))).alias("w"))
+    return rows.select("__row", F.col("w.set").alias("__words")), bits
+
+
+def flagged(d: DataFrame, x: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``d`` with ``name``: whether the 64-bit ``x`` has its bit in the bitmap of ``keys``: always true for a key, rarely for others."""
+    rows, bits = bitmap(keys)
+    d = d.withColumn("__at", F.pmod(x, F.lit(bits)))
+    d = d.join(F.broadcast(rows), F.shiftright("__at", ROW_LOG_BITS) == F.col("__row"), "left")  # at most 4096 rows of 4 kB
+    word = F.get("__words", F.shiftright("__at", 6).bitwiseAND((1 << ROW_LOG_BITS - 6) - 1).cast("int"))
+    return d.withColumn(name, F.getbit(word, F.col("__at").bitwiseAND(63).cast("int")) == 1).drop("__at", "__row", "__words")

@@ -90,4 +90,62 @@ select d.doc_id, case when d.text is null then null else coalesce(string_agg(raw
 from documents d left join m on m.doc_id = d.doc_id group by d.doc_id, d.text
 """
 
-SQL = {"op2_line_dedup": LINES, "op5_quality_rules": _quality(), "op8_near_duplicates": NEAR_DUPLICATES, "op10_chat": CHAT}
+EXACT = r"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as h from documents)
+select doc_id, min(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size, doc_id = min(doc_id) over (partition by h) as kept, h as text_sha256 from d
+"""
+
+#: The table of CRC-32 by its rule , and the CRC-32 of the bytes of a text by it.
+_CRC_TABLE = "crc_t as materialized (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)"
+
+
+def _crc(text: str) -> str:
+    byte = f"(instr('0123456789ABCDEF', substr(hex({text}), 2 * j - 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex({text}), 2 * j, 1)) - 1"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen({text}) + 1), lambda j: ({byte})::bigint)), lambda c, b: xor(c >> 8, crc_t.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+IMPORTANCE = rf"""
+with {_CRC_TABLE},
+w as (select 0 as part, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+  union all select 1, item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), f as (
+  select part, doc_id, unnest(ws) as f from w
+  union all select part, doc_id, ws[i] || ' ' || ws[i + 1] from w, lateral (select unnest(range(1, len(ws))) as i)
+  union all select part, doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] from w, lateral (select unnest(range(1, len(ws) - 1)) as i)
+), own as materialized (select part, doc_id, f, count(*)::bigint as n from f group by all
+), words as (select f, sum(n) filter (where part = 0) as s, sum(n) filter (where part = 1) as t from own group by f
+), hashed as materialized (select f, s, words.t, {_crc("f")} % 10000 as bucket from words, crc_t
+), sums as (select bucket, coalesce(sum(s), 0)::double as s, coalesce(sum(t), 0)::double as t from hashed group by bucket
+), g as (select bucket, floor(1000 * ln((t + 1) * ((select sum(s) from sums) + 10000) / ((s + 1) * ((select sum(t) from sums) + 10000))))::bigint as gain from sums
+), weights as (select doc_id, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from own join hashed using (f) join g using (bucket) where part = 0 group by doc_id
+), d as (
+  select doc_id, len(ws) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    list_reduce(list_prepend(0::bigint, list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', substr(sha256('42:' || doc_id), i, 1)) - 1)::bigint)), lambda x, y: x * 16 + y) as h
+  from w left join weights using (doc_id) where part = 0
+), s as (select *, (weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))))::bigint as score from d
+), r as (select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id) end as place from s)
+select doc_id, n_features, weight, score, case when place <= 5 * (select count(*) from d where n_words >= 20) // 100 then place end as rank from r
+"""
+
+SPELLING = rf"""
+with recursive {_CRC_TABLE},
+x as (select doc_id, {_LOWER.replace("coalesce(text, '')", "x")} as run from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as x from documents) where length(x) >= 7
+), h as (select run, {_crc("(doc_id || ':' || run)")} as h from x, crc_t
+), v as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from h
+), w as materialized (select word, count(*)::bigint as n from v where length(word) >= 7 group by word having count(*) >= 2
+), del as materialized (select distinct word, i, substr(word, 1, i - 1) || substr(word, i + 1) as less from (select word, unnest(range(1, length(word) + 1))::int as i from w)
+), p as (
+  select a.word as a, b.word as b from del a join del b on a.less = b.less and a.i = b.i and a.word <> b.word
+  union select d.word, w.word from del d join w on w.word = d.less union select w.word, d.word from del d join w on w.word = d.less
+), near as materialized (select p.a as word, p.b as near, w.n as m from p join w on w.word = p.b
+), best as (select word, count(*)::bigint as n_near, max(m) as top from near group by word
+), b as (select best.*, (select min(near) from near where near.word = best.word and m = top) as near from best
+), f as materialized (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when top >= 10 * w.n then near end as form, case when top >= 10 * w.n then top end as form_n from w left join b using (word)
+), up as (select word, word as node, 0 as steps from f union all select up.word, f.form, steps + 1 from up join f on f.word = up.node where f.form is not null)
+select word, form, (select arg_max(node, steps) from up where up.word = f.word) as root, n, n_near, form_n from f
+"""
+
+SQL = {"op11_exact_dedup": EXACT, "op12_importance": IMPORTANCE, "op13_spelling": SPELLING, "op2_line_dedup": LINES, "op5_quality_rules": _quality(), "op8_near_duplicates": NEAR_DUPLICATES, "op10_chat": CHAT}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import ann, chat, class_lm, langid, line_dedup, mixing, near_dedup, oracles, packing, quality, secrets
+from readloom.llm import ann, chat, class_lm, exact_dedup, importance, langid, line_dedup, mixing, near_dedup, oracles, packing, quality, secrets, spelling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,13 +87,28 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = exact_dedup.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False, digests=True)
+    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text")
+    return importance.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(found.select(spelling.noisy(F.col("run"), F.col("doc_id")).alias("word")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_mixing, op2_line_dedup, op3_langid, op4_neighbours, op5_quality_rules, op6_class_lm, op7_packing, op8_near_duplicates, op9_secrets, op10_chat, pipeline)
+_ALL = (op1_mixing, op2_line_dedup, op3_langid, op4_neighbours, op5_quality_rules, op6_class_lm, op7_packing, op8_near_duplicates, op9_secrets, op10_chat, op11_exact_dedup, op12_importance, op13_spelling, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
