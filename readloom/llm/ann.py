@@ -45,7 +45,12 @@ def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+def _best(ids: np.ndarray, scores: np.ndarray, k: int, once: bool = True) -> np.ndarray:
+    """Where the k best scores are, best first, ties to smaller ids. Unless ids occur ``once``, only the best of each counts."""
+    if not once:
+        order = np.lexsort((ids, -scores))
+        first = np.unique(ids[order], return_index=True)[1]
+        return order[np.sort(first)[:k]]
     if len(ids) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         found = np.nonzero(scores >= least)[0]
@@ -59,6 +64,7 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, planes: np.ndarray) -> None:
         self.ids, self.rows = ids, rows
+        self.once = len(np.unique(ids)) == len(ids)
         strings = _strings(rows / np.sqrt((rows * rows).sum(axis=1))[:, None], planes)
         self.order = np.argsort(strings, axis=1, kind="stable")
         self.strings = np.take_along_axis(strings, self.order, axis=1)
@@ -95,7 +101,7 @@ class Forest:
                     at = at[self.ids[at] != ids[q]]
                     both = np.concatenate([held[q][0], at])
                     scores = np.concatenate([held[q][1], cosines(self.rows[at], queries[q])])
-                    top = _best(self.ids[both], scores, k)
+                    top = _best(self.ids[both], scores, k, self.once)
                     held[q] = (both[top], scores[top])
                 if level and (len(held[q][0]) < k or 1 - (1 - (1 - np.arccos(min(1.0, max(-1.0, held[q][1][-1]))) / np.pi) ** level) ** TREES < sure):
                     after.append(q)
@@ -123,7 +129,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, ident: str = "vec_id", vec
     """(query_id, rank, vec_id, score): the k nearest found for each row where ``is_query`` (a function of the id column).
 
     Nearness is the cosine in double precision, ties go to the smaller id; a query is no candidate of its own (rows of
-    the same id count as the query itself). All rows are indexed. Vectors that are null, empty, zero or hold null or
+    the same id count as the query itself). Of candidates with one id the nearest counts; of queries with one id the
+    smallest vector (the shorter, then by its first components) is searched. All rows are indexed. Vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor do vectors of another length than the query's. Finite vectors of any size do.
     An empty table gives no rows; other columns are left out.
     """
@@ -132,7 +139,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, ident: str = "vec_id", vec
     total = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     shards = max(1, -(-total // SHARD))
     table = materialize(rows.withColumn("dims", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("ident", F.lit(1)), F.lit(shards)).cast("int")).repartition(shards, "shard"))
-    queries = table.filter(is_query(F.col("ident"))).dropDuplicates(["ident"])
+    queries = table.filter(is_query(F.col("ident"))).groupBy("ident").agg(F.min(F.struct("dims", "v")).alias("q")).select("ident", "q.dims", "q.v")
     blocks = max(1, -(-(asked := queries.count()) // BLOCK))
     queries = materialize(queries.withColumn("block", F.pmod(F.xxhash64("ident", F.lit(2)), F.lit(blocks))).select("block", "ident", "dims", "v"))
     schema = "query_id long, vec_id long, score double"
@@ -170,8 +177,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, ident: str = "vec_id", vec
             for (_, d), pieces in parts.items():
                 yield from out(d, pieces)
 
-        found = found.unionByName(materialize(table.select(F.col("ident").cast("long"), "shard", "dims", "v").mapInArrow(run, schema)))
+        found = found.unionByName(materialize(table.select(F.col("ident").cast("long"), "shard", "dims", "v").repartitionByRange(shards, "shard").mapInArrow(run, schema)))
         sent.unpersist()
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    once = found.dropDuplicates(["query_id", "vec_id"])
+    # an id may have rows in several shards
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
