@@ -82,6 +82,9 @@ def _newton(hist: DataFrame, goal: DataFrame, key: str, most: float, n_sources:
         to = F.when(inside, F.when(F.col("__h") > 0, step)).otherwise((F.col("lo") + F.col("hi")) / 2)
         d = d.withColumn("open", live & ~near & (F.col("hi") - F.col("lo") > 1e-12)).withColumn("lam", F.when(F.col("open"), to).otherwise(F.col("lam")))
         state = materialize(d.drop("__f", "__h"))
+    else:
+        if not state.filter("open").isEmpty():
+            raise RuntimeError(f"the mix is not settled after {MAX_STEPS} steps")
     return state.drop("lo", "hi", "open")
 
 

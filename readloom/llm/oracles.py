@@ -83,7 +83,7 @@ with l as (
 ), t as (select *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as line from l
 ), bad as (
   select line, min(doc_id * 1000000000 + pos) as first from t where length(line) >= {line_dedup.MIN_CHARS}
-  group by line having count(distinct source) >= {line_dedup.MIN_SITES}
+  group by line having count(distinct source) + max((source is null)::int) >= {line_dedup.MIN_SITES}
 ), m as (select t.*, bad.line is not null and doc_id * 1000000000 + pos <> first as gone from t left join bad using (line))
 select d.doc_id, case when d.text is null then null else coalesce(string_agg(raw, chr(10) order by pos) filter (where not gone), '') end as text,
   count(raw)::bigint as n_lines, coalesce(sum(gone::int), 0)::bigint as n_removed
