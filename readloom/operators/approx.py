@@ -1,11 +1,16 @@
-"""Search with errors: variants are built as rows and met by equality joins."""
+"""Search with errors: variants are built as rows and met by equality joins, or grow as ranges of the index."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.operators import bins as search_bins
+from readloom.operators.index import build, prepare_reads
 from readloom.operators.search import counts_of, find_ranges
+from readloom.plans.store import stored
 
 _LETTERS = "ACGNT"
 
@@ -71,26 +76,45 @@ def ranges_with_error(queries: DataFrame, index: DataFrame, reads: DataFrame, lo
     return v.join(found.withColumnRenamed("pattern", "variant"), "variant").select("query", "variant", "l", "h")
 
 
-def kmers_within(kmers: DataFrame, reads: DataFrame, edits: int, least: int = 1) -> DataFrame:
-    """(kmer, variant, ops, cnt) with up to ``edits`` edits; ops has 0 for a match or substitution, 1 insertion, 2 deletion.
+def kmers_within(kmers: DataFrame, reads: DataFrame, edits: int, least: int = 1, bins: DataFrame | None = None) -> DataFrame:
+    """(kmer, variant, ops, l, h): the rows of variants with up to ``edits`` edits that occur at least ``least`` times.
+
+    ops has 0 for a match or substitution, 1 insertion, 2 deletion. No insertion or deletion at either end, no insertion
+    beside a deletion, and an inserted letter differs from the one it follows. Where the k-mer itself occurs, ranges within
+    its range are cut off at it, and variants that contain it or lie in it are left out. ``bins`` is the index of ``reads``,
+    which is built if it is missing.
 
-    No insertion or deletion at either end, no insertion beside a deletion, and an inserted letter differs from the one
-    it follows. Each edit is one expansion of the variant rows; equal (variant, ops) are one row.
+    A frontier of ranges goes on by one symbol a round, from the k-mers' ends: each range gets its five extensions from the
+    bins of its two ends, and those of fewer than ``least`` rows end there, so no variant is made that does not occur.
     """
-    d = kmers.select("kmer", F.col("kmer").alias("rest"), F.lit("").alias("variant"), F.lit("").alias("ops"), F.lit(0).alias("used"))
-    # rest: what is still to be read; an edit is put at every place of it, and what lies before is copied
-    done = d.select("kmer", F.concat("variant", "rest").alias("variant"), F.concat("ops", F.repeat(F.lit("0"), F.length("rest"))).alias("ops"))
-    for _ in range(edits):
-        r, n = F.col("rest"), F.length("rest")
-        place = d.filter(n > 0).withColumn("i", F.explode(F.sequence(F.lit(1), n))).withColumn("own", F.substr(r, F.col("i"), F.lit(1))).withColumn("ahead", F.substr(r, F.lit(1), F.col("i") - 1))
-        after, zeros = F.substr(r, F.col("i") + 1), F.repeat(F.lit("0"), F.col("i") - 1)
-        first = (F.length(F.regexp_replace(F.concat(F.col("ops"), zeros), "1", "")) == 0)
-        last = F.length(after) == 0
-        snp = place.withColumn("a", F.explode(_alts(F.col("own")))).select("kmer", after.alias("rest"), F.concat("variant", "ahead", "a").alias("variant"), F.concat("ops", zeros, F.lit("0")).alias("ops"))
-        ins = place.filter(~last).withColumn("a", F.explode(_alts(F.col("own")))).select("kmer", after.alias("rest"), F.concat("variant", "ahead", "own", "a").alias("variant"), F.concat("ops", zeros, F.lit("01")).alias("ops"))
-        dele = place.filter(~last & ~first).select("kmer", after.alias("rest"), F.concat("variant", "ahead").alias("variant"), F.concat("ops", zeros, F.lit("2")).alias("ops"))
-        d = snp.unionByName(ins).unionByName(dele).filter(~F.contains("ops", F.lit("12")) & ~F.contains("ops", F.lit("21"))).distinct()
-        done = done.unionByName(d.select("kmer", F.concat("variant", "rest").alias("variant"), F.concat("ops", F.repeat(F.lit("0"), F.length("rest"))).alias("ops")))
-    done = done.distinct()
-    got = counts_of(done.select(F.col("variant").alias("kmer")), reads).withColumnRenamed("kmer", "variant")
-    return done.join(got, "variant").filter(F.col("cnt") >= least).select("kmer", "variant", "ops", "cnt")
+    if bins is None:
+        bins = search_bins.text_bins(stored(build(reads if "read_rank" in reads.columns else prepare_reads(reads))))
+    k = kmers.select("kmer").filter(F.length("kmer") > 0).distinct()
+    total = search_bins.rows_of(bins)
+    d = stored(k.select("kmer", F.length("kmer").alias("left"), F.lit(0).cast("long").alias("l"), F.lit(total).cast("long").alias("h"), F.lit("").alias("variant"), F.lit("").alias("ops"), F.lit(0).alias("used")))
+    done = []
+    while not d.limit(1).isEmpty():
+        # lows and highs of A, C, G, N and T: one row a range, which many variants share
+        d = d.join(stored(search_bins.extended(bins, d.select("l", "h").distinct())), ["l", "h"])
+        own, last = F.substr("kmer", F.col("left"), F.lit(1)), F.substring("ops", 1, 1)
+        may = (F.col("used") < edits) & (F.col("ops") != "")
+        every = F.transform(F.array(*[F.lit(x) for x in _LETTERS]), lambda c, i: F.struct(c.alias("c"), F.get("lows", i).alias("l"), F.get("highs", i).alias("h")))
+        step = d.withColumn("x", F.explode(F.filter(every, lambda x: x["h"] - x["l"] >= F.greatest(F.lit(least), F.lit(1))))).withColumn("own", own).withColumn("other", (F.col("x.c") != own).cast("int"))
+        moved = lambda kind, left, used: step.select("kmer", left.cast("int").alias("left"), "x.l", "x.h", F.concat("x.c", "variant").alias("variant"), F.concat(F.lit(kind), "ops").alias("ops"), used.cast("int").alias("used"), "other", "may", "last")
+        step = step.withColumn("may", may).withColumn("last", last)
+        on = moved("0", F.col("left") - 1, F.col("used") + F.col("other")).filter(F.col("used") <= edits)
+        more = moved("1", F.col("left"), F.col("used") + 1).filter(F.col("may") & (F.col("other") == 1) & (F.col("last") != "2"))
+        less = d.filter(may & (last != "1") & (F.col("left") > 1)).select("kmer", (F.col("left") - 1).alias("left"), "l", "h", "variant", F.concat(F.lit("2"), "ops").alias("ops"), (F.col("used") + 1).alias("used"))
+        d = stored(on.unionByName(more).drop("other", "may", "last").unionByName(less))
+        done.append(d.filter("left = 0").select("kmer", "variant", "ops", "l", "h", "used"))
+        d = d.filter("left > 0")
+    if not done:
+        return k.select("kmer", F.lit("").alias("variant"), F.lit("").alias("ops"), F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("h")).limit(0)
+    found = reduce(DataFrame.unionByName, done)
+    exact = found.filter("used = 0").select("kmer", F.col("l").alias("exact_l"), F.col("h").alias("exact_h"))
+    d = found.join(exact, "kmer", "left")
+    low, high = F.col("exact_l"), F.col("exact_h")
+    d = d.withColumn("own", (F.col("used") == 0) | low.isNull())
+    d = d.withColumn("l", F.when(~F.col("own") & (F.col("l") >= low) & (F.col("l") < high), high).otherwise(F.col("l"))).withColumn("h", F.when(~F.col("own") & (F.col("h") > low) & (F.col("h") <= high), low).otherwise(F.col("h")))
+    apart = (F.col("h") - F.col("l") >= F.greatest(F.lit(least), F.lit(1))) & ~F.contains("variant", F.col("kmer")) & ~F.contains("kmer", F.col("variant"))
+    return d.filter(F.col("own") | apart).select("kmer", "variant", "ops", "l", "h")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,3 +91,16 @@ def lzw_decode(data: bytes, size: int, symbols: int = 6) -> np.ndarray:
         if len(words) >> width:
             width += 1
     return np.frombuffer(bytes(out[:size]), np.uint8)
+
+
+def lzw_rows(parts: DataFrame, bin_rows: int) -> DataFrame:
+    """(row, sym) of an LZW form: (bin_id, data, size), one stream of codes for each bin of ``bin_rows`` rows. Bins are decoded apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = np.array(list(ALPHABET))
+        for batch in batches:
+            for k, data, size in zip(*(batch.column(c).to_pylist() for c in ("bin_id", "data", "size")), strict=True):
+                codes = lzw_decode(data, size)
+                yield pa.RecordBatch.from_arrays([pa.array(k * bin_rows + np.arange(size)), pa.array(letters[codes])], ["row", "sym"])
+
+    return parts.select("bin_id", "data", "size").mapInArrow(run, "row long, sym string")

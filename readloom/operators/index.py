@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import SYMBOLS, common_prefix, is_valid
+from readloom.functions.dna import SYMBOLS, code, common_prefix, is_valid
+from readloom.plans.prefix import before
 from readloom.plans.ranking import ranked
 from readloom.plans.store import stored
 
@@ -23,9 +24,10 @@ BLOCK_BITS = 12
 def prepare_reads(df: DataFrame, uniform: bool = False) -> DataFrame:
     """(read_rank, file_id, seq_id, seq) sorted by (seq + ``$``, file_id, seq_id); rejects symbols outside ACGNT.
 
-    Null sequences are empty reads. ``uniform`` demands one common length.
+    ``part`` (long), where there is one, tells reads of one seq_id apart and is the last in the order. Null sequences are empty
+    reads. ``uniform`` demands one common length.
     """
-    keep = [c for c in ("mate_file_id", "mate_seq_id", "source_id") if c in df.columns]
+    keep = [c for c in ("part", "mate_file_id", "mate_seq_id", "source_id") if c in df.columns]
     file_id = F.col("file_id").cast("int") if "file_id" in df.columns else F.lit(0)
     d = df.select(file_id.alias("file_id"), F.col("seq_id").cast("long").alias("seq_id"), F.coalesce("seq", F.lit("")).alias("seq"), *keep)
     good = is_valid(F.col("seq")) & ~F.contains("seq", F.lit("$"))
@@ -34,7 +36,7 @@ def prepare_reads(df: DataFrame, uniform: bool = False) -> DataFrame:
         span = d.agg((F.min(F.length("seq")) == F.max(F.length("seq"))).alias("__same"))
         d = d.crossJoin(F.broadcast(span))  # one row
         d = d.withColumn("seq", F.when(F.assert_true("__same", F.lit("reads differ in length")).isNull(), F.col("seq"))).drop("__same")
-    order = [F.concat("seq", F.lit("$")).asc(), F.col("file_id").asc(), F.col("seq_id").asc()]
+    order = [F.concat("seq", F.lit("$")).asc(), *[F.col(c).asc() for c in ("file_id", "seq_id", "part") if c in d.columns]]
     return ranked(d, order, "read_rank").select("read_rank", "file_id", "seq_id", "seq", *keep)
 
 
@@ -51,6 +53,14 @@ def build(reads: DataFrame) -> DataFrame:
     return ranked(d, [F.col("suffix").asc(), F.col("read_rank").asc()], "row").select("row", "read_rank", "pos", "suffix", "sym")
 
 
+def suffixed(index: DataFrame, reads: DataFrame) -> DataFrame:
+    """``index`` with its suffixes, which rows of a merge or of long reads lack: cut from the reads where they are asked for."""
+    if "suffix" in index.columns:
+        return index
+    q = reads.select("read_rank", F.concat("seq", F.lit("$")).alias("__q"))
+    return index.join(q, "read_rank").select("row", "read_rank", "pos", F.substr("__q", F.col("pos") + 1).alias("suffix"), "sym")
+
+
 def rotation(index: DataFrame, reads: DataFrame, length: int) -> DataFrame:
     """``index`` with rot: the first ``length`` symbols of each row's cyclic rotation.
 
@@ -102,16 +112,21 @@ def fm_bins(index: DataFrame, bin_bits: int = BIN_BITS) -> DataFrame:
 
 
 def lf_mapping(index: DataFrame) -> DataFrame:
-    """(row, sym, lf): the row of the rotation that starts one symbol earlier."""
-    starts = c_array(symbol_counts(index)).select(F.col("sym").alias("s"), "start_row")
-    # rank among rows of a symbol, by blocks of rows: no window holds more than a block
+    """(row, sym, lf): the row of the rotation that starts one symbol earlier.
+
+    Rank among the rows of a symbol, by blocks of 2^16 rows: counts of all six symbols before each block are summed in two
+    levels, so no window holds more than a block, or a row for 2^13 blocks.
+    """
+    names = [f"n{i}" for i in range(len(SYMBOLS))]
     d = index.select("row", "sym", F.shiftright("row", 16).alias("block"))
-    sizes = d.groupBy("sym", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("sym").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("sym", "block", before.alias("o"))
-    inside = F.row_number().over(W.partitionBy("sym", "block").orderBy("row")) - 1
-    d = d.withColumn("i", inside).join(offsets, ["sym", "block"]).join(F.broadcast(starts), F.col("sym") == F.col("s"))
-    return d.select("row", "sym", (F.col("start_row") + F.col("o") + F.col("i")).cast("long").alias("lf"))
+    sizes = stored(d.groupBy("block").agg(*[F.count_if(F.col("sym") == s).alias(n) for s, n in zip(SYMBOLS, names, strict=True)]))
+    total = sizes.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
+    offsets = before(sizes, "block", names)
+    start = [sum(total[x] for x in names[:i]) for i in range(len(names))]
+    o = F.array(*[F.col(n) + F.lit(start[i]) for i, n in enumerate(names)])
+    inside = F.row_number().over(W.partitionBy("block", "sym").orderBy("row")) - 1
+    d = d.withColumn("i", inside).join(offsets.select("block", o.alias("o")), "block")
+    return d.select("row", "sym", (F.get("o", code(F.col("sym"))) + F.col("i")).cast("long").alias("lf"))
 
 
 def occurrences(index: DataFrame, points: DataFrame) -> DataFrame:
@@ -143,13 +158,35 @@ def fm_vectors(index: DataFrame) -> DataFrame:
 def lcp(index: DataFrame, reads: DataFrame, cap: int = 255) -> DataFrame:
     """(row, lcp): the common prefix of each row's rotation and the next, at most ``cap``; equal rotations give ``cap``, the last row 0.
 
-    Rows are dealt by blocks; the first row of each block is also handed to the block before.
+    Rows are dealt by blocks; the first row of each block is also handed to the block before. Suffixes that differ settle
+    their rows, as ``$`` ends them; only rows with the suffix of the next go on with their reads from the start.
+    """
+    d = index.select("row", "suffix", "read_rank", F.shiftright("row", 12).alias("block"), F.lit(True).alias("own"))
+    edge = d.filter(F.col("row") % (1 << 12) == 0).filter("row > 0").withColumn("block", F.col("block") - 1).withColumn("own", F.lit(False))
+    over = W.partitionBy("block").orderBy("row")
+    both = d.unionByName(edge).withColumn("after", F.lead("suffix").over(over)).withColumn("next_rank", F.lead("read_rank").over(over)).filter("own")
+    tied = (F.col("suffix") == F.col("after")) & (F.length("suffix") < cap)
+    n = F.when(F.col("after").isNull(), F.lit(0)).otherwise(common_prefix(F.col("suffix"), F.col("after"), cap))
+    both = stored(both.select("row", n.alias("n"), F.coalesce(tied, F.lit(False)).alias("tied"), "read_rank", "next_rank"))
+    q = lambda of, name: reads.select(F.col("read_rank").alias(of), F.concat("seq", F.lit("$")).alias(name))
+    more = both.filter("tied").join(q("read_rank", "a"), "read_rank").join(q("next_rank", "b"), "next_rank")
+    more = more.select("row", F.when(F.col("a") == F.col("b"), F.lit(cap)).otherwise(F.least(F.lit(cap), F.col("n") + common_prefix(F.col("a"), F.col("b"), cap))).alias("lcp"))
+    return both.filter("not tied").select("row", F.col("n").alias("lcp")).unionByName(more).select("row", F.col("lcp").cast("int").alias("lcp"))
+
+
+def lcp_without(lcps: DataFrame, gone: DataFrame) -> DataFrame:
+    """(row, lcp) after the rows ``gone`` (row) were deleted: the least value between neighbours that are left, numbered anew.
+
+    Each row counts the rows left up to it, by blocks; rows of one count lie between the same two, so their least value is one
+    aggregation. A row's value is that of its gap, whatever stood in it; the last row's is 0.
     """
-    d = rotation(index, reads, cap).select("row", "rot", F.shiftright("row", 12).alias("block"))
-    edge = d.filter(F.col("row") % (1 << 12) == 0).filter("row > 0").select("row", "rot", (F.col("block") - 1).alias("block"))
-    both = d.withColumn("own", F.lit(True)).unionByName(edge.withColumn("own", F.lit(False)))
-    both = both.withColumn("after", F.lead("rot").over(W.partitionBy("block").orderBy("row"))).filter("own")
-    return both.select("row", F.when(F.col("after").isNull(), F.lit(0)).otherwise(common_prefix(F.col("rot"), F.col("after"), cap)).cast("int").alias("lcp"))
+    marked = lcps.join(gone.select("row", F.lit(1).alias("__gone")), "row", "left").select("row", "lcp", F.col("__gone").isNull().cast("long").alias("__left"))
+    marked = stored(marked)
+    seen = before(marked.withColumn("__own", F.col("__left")), "row", ["__left"])
+    d = seen.select("lcp", (F.col("__left") + F.col("__own") - 1).alias("row")).filter("row >= 0")
+    least = d.groupBy("row").agg(F.min("lcp").alias("lcp"))
+    last = marked.agg(F.coalesce(F.sum("__left"), F.lit(0)).alias("__n"))
+    return least.crossJoin(F.broadcast(last)).select("row", F.when(F.col("row") == F.col("__n") - 1, 0).otherwise(F.col("lcp")).cast("int").alias("lcp"))  # one row
 
 
 def symbol_at(index: DataFrame, rows: DataFrame) -> DataFrame:
@@ -186,7 +223,7 @@ def remove_rows(index: DataFrame, ranks: DataFrame) -> DataFrame:
     left = ranked(left, [F.col("__old").asc()], "row")
     # the rows of whole reads, in their order, give the new numbers of reads
     reads = ranked(left.filter("pos = 0").select(F.col("read_rank").alias("__rank")), [F.col("__rank").asc()], "__new")
-    return left.join(reads, F.col("read_rank") == F.col("__rank")).withColumn("read_rank", F.col("__new")).select("row", "read_rank", "pos", "suffix", "sym")
+    return left.join(reads, F.col("read_rank") == F.col("__rank")).withColumn("read_rank", F.col("__new")).select(*[c for c in ("row", "read_rank", "pos", "suffix", "sym") if c in index.columns])
 
 
 def merge_reads(*collections: DataFrame) -> DataFrame:

@@ -9,9 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import reverse_complement, wildcard_regex, windows
+from readloom.operators import bins as search_bins
 from readloom.operators.index import rotation, starting
+from readloom.operators.matching import best_other, matching_statistics, matching_statistics_both
 from readloom.plans.ranking import ranked
 
+__all__ = ["best_other", "matching_statistics", "matching_statistics_both"]
+
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, cnt) of all letters-only substrings of length k."""
@@ -49,45 +53,12 @@ def mass_query(kmers: DataFrame, reads: DataFrame, reverse: bool = True, ks: lis
     return d
 
 
-#: Patterns that one aggregation counts; more are merged with the rows.
-FEW = 64
-
-
 def find_ranges(index: DataFrame, reads: DataFrame, patterns: DataFrame, longest: int) -> DataFrame:
-    """(pattern, l, h) for all distinct patterns, over the cyclic rotations: l rows are smaller, h - l start with it.
+    """(pattern, l, h) of all distinct patterns, over the cyclic rotations: l rows are smaller, h - l start with it.
 
-    Patterns may hold ``$``. Few patterns are counted in one pass over the suffixes; many are ranked among the rows.
+    Patterns may hold ``$``. They are searched in bins made of ``index``; with bins at hand, see ``bins.find``.
     """
-    p = patterns.select("pattern").distinct()
-    some = [r["pattern"] for r in p.limit(FEW + 1).collect()]
-    return _counted_ranges(index, reads, some, longest) if len(some) <= FEW else _merged_ranges(index, reads, p, longest)
-
-
-def _counted_ranges(index: DataFrame, reads: DataFrame, patterns: list[str], longest: int) -> DataFrame:
-    """A suffix settles its row's place among the patterns, unless a pattern goes on behind its ``$``."""
-    over = {p: [p[: i + 1] for i, c in enumerate(p[:-1]) if c == "$"] for p in patterns}
-    every = sorted({x for v in over.values() for x in v})
-
-    def counted(d: DataFrame, key: str) -> DataFrame:
-        by = [F.struct(F.lit(p).alias("pattern"), F.count_if(F.col(key) < p).alias("l"), F.count_if(F.col(key).startswith(p)).alias("n")) for p in patterns]
-        return d.agg(F.array(*by).alias("x")).select(F.explode("x").alias("x")).select("x.*")
-
-    rest = index.filter(~F.col("suffix").isin(every)) if every else index
-    both = counted(rest, "suffix")
-    if every:
-        both = both.unionByName(counted(rotation(index.filter(F.col("suffix").isin(every)), reads, longest + 1), "rot"))
-    return both.groupBy("pattern").agg(F.sum("l").alias("l"), F.sum("n").alias("n")).select("pattern", "l", (F.col("l") + F.col("n")).alias("h"))
-
-
-def _merged_ranges(index: DataFrame, reads: DataFrame, patterns: DataFrame, longest: int) -> DataFrame:
-    """The rank of a pattern's ends among rows and ends, less their rank among the ends."""
-    rot = rotation(index, reads, longest + 1).select(F.col("rot").alias("key"), F.lit(1).alias("kind"), F.col("row"), F.lit(None).cast("string").alias("pattern"))
-    ends = patterns.select(F.explode(F.array(F.struct(F.col("pattern").alias("key"), F.lit(0).alias("kind")), F.struct(F.concat("pattern", F.lit("~")).alias("key"), F.lit(2).alias("kind")))).alias("x"), F.lit(None).cast("long").alias("row"), "pattern")
-    ends = ends.select("x.key", "x.kind", "row", "pattern")
-    order = [F.col(c).asc() for c in ("key", "kind", "row", "pattern")]
-    placed = ranked(rot.unionByName(ends), order, "i").filter("kind <> 1")
-    d = ranked(placed, order, "j").select("pattern", "kind", (F.col("i") - F.col("j")).alias("at"))
-    return d.groupBy("pattern").agg(F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("l"), F.max(F.when(F.col("kind") == 2, F.col("at"))).alias("h"))
+    return search_bins.find(search_bins.text_bins(index), patterns).select("pattern", "l", "h")
 
 
 def islands(rows: DataFrame) -> DataFrame:
@@ -151,39 +122,6 @@ def other_choices(refs: DataFrame, reads: DataFrame, k: int, stranded: bool = Tr
     return fwd.select("ref_id", F.col("pos").cast("int").alias("pos"), F.col("cnt").cast("long").alias("cnt"), F.col("other").cast("long").alias("other"))
 
 
-def matching_statistics(refs: DataFrame, reads: DataFrame, threshold: int, longest: int) -> DataFrame:
-    """(ref_id, pos, len): the longest substring from each place that occurs at least ``threshold`` times.
-
-    A present single letter counts as 1 even under the threshold; ``longest`` is the longest read.
-    """
-    sub = refs.select("ref_id", F.posexplode(F.split("seq", "")).alias("pos", "c"), "seq").filter("c <> ''")
-    w = sub.select("ref_id", "pos", F.explode(F.sequence(F.lit(1), F.least(F.length("seq") - F.col("pos"), F.lit(longest)))).alias("n"), "seq").select("ref_id", "pos", "n", F.substr("seq", F.col("pos") + 1, F.col("n")).alias("kmer"))
-    wanted = w.select("kmer").distinct()
-    lengths = F.sequence(F.lit(1), F.least(F.length("seq"), F.lit(longest)))
-    every = reads.filter(F.length("seq") > 0).select("seq", F.explode(lengths).alias("k")).select(F.explode(windows(F.col("seq"), F.col("k"))).alias("kmer"))
-    counts = every.groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt")).join(wanted, "kmer", "left_semi")
-    met = w.join(counts, "kmer", "left").groupBy("ref_id", "pos").agg(F.max(F.when(F.col("cnt") >= threshold, F.col("n"))).alias("long"), F.max(F.when((F.col("n") == 1) & (F.col("cnt") > 0), F.lit(1))).alias("one"))
-    return met.select("ref_id", F.col("pos").cast("int").alias("pos"), F.coalesce("long", "one", F.lit(0)).cast("int").alias("len"))
-
-
-def matching_statistics_both(refs: DataFrame, reads: DataFrame, threshold: int, longest: int) -> DataFrame:
-    """Forward plus mirrored reverse-complement matching statistics."""
-    fwd = matching_statistics(refs, reads, threshold, longest)
-    size = refs.select("ref_id", F.length("seq").alias("size"))
-    back = matching_statistics(refs.withColumn("seq", reverse_complement(F.col("seq"))), reads, threshold, longest).join(size, "ref_id")
-    back = back.select("ref_id", (F.col("size") - 1 - F.col("pos")).alias("pos"), F.col("len").alias("back"))
-    return fwd.join(back, ["ref_id", "pos"]).select("ref_id", "pos", (F.col("len") + F.col("back")).alias("len"))
-
-
-def best_other(refs: DataFrame, reads: DataFrame, threshold: int, longest: int, least: int = 20) -> DataFrame:
-    """(ref_id, pos, other): where a match of more than ``least`` symbols goes on from pos + 1, the largest count of another first letter before it."""
-    stats = matching_statistics(refs, reads, threshold, longest).filter(F.col("len") > least)
-    d = stats.join(refs, "ref_id").filter("pos > 0").select("ref_id", (F.col("pos") - 1).alias("pos"), F.substr("seq", F.col("pos"), F.lit(1)).alias("own"), F.substr("seq", F.col("pos") + 1, F.least(F.col("len"), F.lit(longest - 1))).alias("tail"))
-    alts = F.filter(F.array(*[F.lit(x) for x in "ACGNT"]), lambda x: x != F.col("own"))
-    v = d.select("ref_id", "pos", F.explode(alts).alias("a"), "tail").select("ref_id", "pos", F.concat("a", "tail").alias("kmer"))
-    return v.join(counts_of(v, reads), "kmer", "left").groupBy("ref_id", "pos").agg(F.coalesce(F.max("cnt"), F.lit(0)).cast("long").alias("other"))
-
-
 def profile(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, cnt) of all length-k prefixes of all cyclic rotations, ``$`` included."""
     q = reads.select(F.concat("seq", F.lit("$")).alias("q"))

@@ -13,29 +13,31 @@ from pyspark.sql import functions as F
 
 from readloom.functions import align
 from readloom.functions.dna import clean, reverse_complement, windows
-from readloom.operators import approx, codecs, graph, index, search
+from readloom.operators import approx, bins, codecs, doubling, graph, index, matching, search, walk
 from readloom.plans.store import stored
 
 READ, K, SNIP = 40, 6, 12
-TILE = 1_000_000
 #: Patterns of the range query; some hold ``$`` or wrap around a read's end.
 PATTERNS = ("", "A", "CA", "ACG", "$ACG", "T$A", "TT", "CG", "N$", "GGGGGG", "ACGT$", "NANA")
 WILDCARDS = "A?C*N$"
-#: Graph k-mers; the seed is the most frequent one with all four bases. More nodes than the explored component has.
-GRAPH_K, NODES = 9, 100_000
+#: Graph k-mers; the seed is the most frequent one with all four bases.
+GRAPH_K = 9
+#: Occurrences from which on a substring counts, in searches that stop below.
+LEAST = 3
 #: Reads that hold this are deleted.
 GONE = "NANA"
 
 
-def _cut(df: DataFrame, ident, text) -> DataFrame:
-    d = df.select(ident.cast("long").alias("id"), clean(F.coalesce(text, F.lit(""))).alias("s"))
+def _cut(df: DataFrame, ident, text, file_id) -> DataFrame:
+    """(file_id, seq_id, part, seq): the parts of each text, numbered."""
+    d = df.select(file_id.cast("int").alias("file_id"), ident.cast("long").alias("seq_id"), clean(F.coalesce(text, F.lit(""))).alias("s"))
     tiles = F.greatest(F.ceil(F.length("s") / READ), F.lit(1)).cast("long")
-    d = d.select("id", "s", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("i"))
-    return d.select((F.col("id") * TILE + F.col("i")).alias("seq_id"), F.substr("s", (F.col("i") * READ + 1).cast("int"), F.lit(READ)).alias("seq"))
+    d = d.select("file_id", "seq_id", "s", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("part"))
+    return d.select("file_id", "seq_id", "part", F.substr("s", (F.col("part") * READ + 1).cast("int"), F.lit(READ)).alias("seq"))
 
 
 def raw_reads(spark: SparkSession, sf: str) -> DataFrame:
-    return _cut(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), F.col("doc_id"), F.col("text"))
+    return _cut(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), F.col("doc_id"), F.col("text"), F.lit(0))
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +46,13 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
 
 def reads_b(spark: SparkSession, sf: str) -> DataFrame:
     c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
-    return index.prepare_reads(_cut(c, F.col("conv_id") * 1_000_000 + F.col("turn"), F.col("text")))
+    return index.prepare_reads(_cut(c, F.col("conv_id"), F.col("text"), F.col("turn")))
+
+
+def long_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, one read each."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq_id"), clean(F.coalesce("text", F.lit(""))).alias("seq"))
+    return index.prepare_reads(d)
 
 
 def refs(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,22 +75,117 @@ def kmer_count(spark, sf):
     return search.kmer_counts(raw_reads(spark, sf), K)
 
 
+def _patterns(spark):
+    return spark.createDataFrame([(x,) for x in PATTERNS], "pattern string")
+
+
 def find_range(spark, sf):
-    p = spark.createDataFrame([(x,) for x in PATTERNS], "pattern string")
-    r = reads(spark, sf)
-    return search.find_ranges(index.build(r), r, p, max(map(len, PATTERNS)))
+    return bins.find(bins.text_bins(_idx(spark, sf)), _patterns(spark)).select("pattern", "l", "h")
+
+
+def run_find_range(spark, sf):
+    return bins.find(_run_bins(spark, sf), _patterns(spark)).select("pattern", "l", "h")
+
+
+def find_given_range(spark, sf):
+    """The ranges of k-mers, from those of their last letters on."""
+    held = bins.text_bins(_idx(spark, sf))
+    half = K // 2
+    k = kmers(spark, sf).select("kmer", F.substring("kmer", 1, half).alias("head"), F.substring("kmer", half + 1, K).alias("tail"))
+    tails = bins.find(held, k.select(F.col("tail").alias("pattern"))).select(F.col("pattern").alias("tail"), F.col("l").alias("given_l"), F.col("h").alias("given_h"))
+    k = stored(k.join(tails, "tail"))
+    heads = bins.find(held, k.select(F.col("head").alias("pattern"), "given_l", "given_h")).withColumnRenamed("pattern", "head")
+    return k.join(heads, ["head", "given_l", "given_h"]).select("kmer", "l", "h")
+
+
+def count_cutoff(spark, sf):
+    """Counts of long k-mers, each searched from its end until fewer than LEAST rows are left."""
+    long = refs(spark, sf).select(F.explode(windows(F.col("seq"), 2 * K)).alias("pattern"))
+    return bins.find(bins.text_bins(_idx(spark, sf)), long, LEAST).select("pattern", (F.col("h") - F.col("l")).alias("cnt"), "matched")
 
 
 def remove_strings(spark, sf):
     r = reads(spark, sf)
     gone = r.filter(F.contains("seq", F.lit(GONE)))
     left = index.remove_reads(r, gone)
-    return index.remove_rows(index.build(r), gone).join(left.select("read_rank", "seq_id"), "read_rank").select("row", "seq_id", "pos", "sym")
+    return index.remove_rows(index.build(r), gone).join(left.select("read_rank", "seq_id", "part"), "read_rank").select("row", "seq_id", "part", "pos", "sym")
+
+
+def _merged(spark, sf):
+    parts = [(r, index.build(r)) for r in (reads(spark, sf), reads_b(spark, sf))]
+    return doubling.merge_rows(*parts)[1]
 
 
 def merge_indexes(spark, sf):
-    m = index.merge_reads(reads(spark, sf), reads_b(spark, sf))
-    return index.build(m).join(m.select("read_rank", "source_id", F.col("seq_id").alias("old_rank")), "read_rank").select("row", "source_id", "old_rank", "pos", "sym")
+    return _merged(spark, sf).select("row", "source_id", "old_rank", "pos", "sym")
+
+
+def merge_interleave(spark, sf):
+    return _merged(spark, sf).select("row", "source_id", "old_row")
+
+
+def long_index(spark, sf):
+    return doubling.build_long(long_reads(spark, sf))
+
+
+def _runs(spark, sf):
+    return stored(codecs.run_lengths(_idx(spark, sf)))
+
+
+def _run_bins(spark, sf):
+    return bins.run_bins(_runs(spark, sf))
+
+
+def _ends(spark, sf):
+    """The rows of the reads' ends, one a read: the first rows of the index."""
+    return reads(spark, sf).select(F.col("read_rank").alias("row"))
+
+
+def run_remove(spark, sf):
+    r = reads(spark, sf)
+    i = stored(index.build(r))
+    gone = r.filter(F.contains("seq", F.lit(GONE))).select("read_rank")
+    return bins.without_rows(stored(codecs.run_lengths(i)), i.join(gone, "read_rank", "left_semi").select("row"))
+
+
+def run_occurrences(spark, sf):
+    """Of every symbol above each read's end."""
+    points = _ends(spark, sf).select("row", F.explode(F.array(*[F.lit(x) for x in "$ACGNT"])).alias("sym"))
+    return bins.occurrences(_run_bins(spark, sf), points).select("row", "sym", "occ")
+
+
+def run_slice(spark, sf):
+    """The symbols of the rows that start with A."""
+    held = _run_bins(spark, sf)
+    a = bins.find(held, spark.createDataFrame([("A",)], "pattern string")).first()
+    return bins.symbols_between(held, a["l"], a["h"])
+
+
+def lcp_removed(spark, sf):
+    r = reads(spark, sf)
+    i = stored(index.build(r))
+    gone = r.filter(F.contains("seq", F.lit(GONE))).select("read_rank")
+    return index.lcp_without(index.lcp(i, r), i.join(gone, "read_rank", "left_semi").select("row"))
+
+
+def recover_with_index(spark, sf):
+    """Each whole read's symbols with their rows, from the symbols of the index alone."""
+    i = stored(_idx(spark, sf).select("row", "sym"))
+    return walk.rotations(i, i.filter("sym = '$'").select("row"))
+
+
+def _matched(f, threshold=LEAST):
+    def query(spark, sf):
+        i = stored(_idx(spark, sf))
+        return f(refs(spark, sf), None, threshold, READ, rows=i)
+
+    return query
+
+
+def error_ranges(spark, sf):
+    r = reads(spark, sf)
+    q = kmers(spark, sf).select(F.col("kmer").alias("query"), F.lit("A").alias("bonus"))
+    return approx.ranges_with_error(q, index.build(r), r, K)
 
 
 def lcp_array(spark, sf):
@@ -136,13 +239,30 @@ def affine_cigar(spark, sf):
     return r.select("ref_id", align.cigar(F.col("seq"), reverse_complement(F.col("seq"))).alias("cigar"))
 
 
+def _costed(runs, cost):
+    return runs.select("ref_id", cost.alias("cost"), align.cigar_length(F.col("cigar"), "=XD").alias("n_original"), align.cigar_length(F.col("cigar"), "=XI").alias("n_modified"))
+
+
+def affine_cost(spark, sf):
+    return _costed(stored(affine_cigar(spark, sf)), align.cigar_cost(F.col("cigar")))
+
+
+def unit_cigar(spark, sf):
+    """What the unit-gap CIGARs cost, and the letters they use up."""
+    r = refs(spark, sf)
+    runs = stored(r.select("ref_id", align.unit_cigar(F.col("seq"), reverse_complement(F.col("seq"))).alias("cigar")))
+    return _costed(runs, align.cigar_cost(F.col("cigar"), 1, 0, 1))
+
+
 def _graph(spark, sf):
     r = stored(raw_reads(spark, sf))
     every = F.lit(True)
     for a in "ACGT":
         every &= F.col("kmer").contains(a)
     seed = search.kmer_counts(r, GRAPH_K).filter(every).orderBy(F.desc("cnt"), "kmer").limit(1)
-    return graph.explore(r, seed, GRAPH_K, max_nodes=NODES)
+    # no more nodes than k-mers of both strands: the search ends where the reads do
+    nodes = 2 * search.kmer_counts(r, GRAPH_K).count()
+    return graph.explore(r, seed, GRAPH_K, max_nodes=nodes)
 
 
 def assemble_graph(spark, sf):
@@ -154,8 +274,28 @@ def graph_edges(spark, sf):
     return _graph(spark, sf)[1]
 
 
+def node_reads(spark, sf):
+    """How many reads hold a k-mer of each node of the graph."""
+    nodes = stored(_graph(spark, sf)[0].select("node_id", "seq"))
+    return graph.node_reads(nodes, reads(spark, sf), GRAPH_K).select("node_id", "n_reads")
+
+
+def node_pairs(spark, sf):
+    """How many pairs of reads two nodes share; successive parts of a text are mates."""
+    nodes = stored(_graph(spark, sf)[0].select("node_id", "seq"))
+    pair, side = F.struct("seq_id", F.floor(F.col("part") / 2).alias("n")), (F.col("part") % 2).cast("int")
+    r = raw_reads(spark, sf).select(side.alias("file_id"), pair.alias("seq_id"), "seq", (1 - side).alias("mate_file_id"), pair.alias("mate_seq_id"))
+    return graph.node_pairs(nodes, r, GRAPH_K)
+
+
+def convert_text(spark, sf):
+    """Runs of the index written out as lines of text."""
+    lines = bins.text_bins(_idx(spark, sf)).select(F.col("bin_id").alias("line_no"), F.col("syms").alias("value"))
+    return codecs.run_lengths(codecs.convert_text(lines))
+
+
 def kmer_ed2(spark, sf):
-    return approx.kmers_within(kmers(spark, sf), raw_reads(spark, sf), 2, 3)
+    return approx.kmers_within(kmers(spark, sf), None, 2, LEAST, bins.text_bins(_idx(spark, sf)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -169,6 +309,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lf_mapping": lambda s, d: index.lf_mapping(_idx(s, d)),
     "fm_vectors": lambda s, d: index.fm_vectors(_idx(s, d)),
     "find_range": find_range,
+    "find_given_range": find_given_range,
+    "count_cutoff": count_cutoff,
+    "error_ranges": error_ranges,
     "query_reads": query_reads,
     "regex_islands": regex_islands,
     "recover_string": recover_string,
@@ -177,13 +320,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pileup": lambda s, d: search.pileup(refs(s, d), raw_reads(s, d), K),
     "other_choices": lambda s, d: search.other_choices(refs(s, d), raw_reads(s, d), K),
     "other_choices_both": lambda s, d: search.other_choices(refs(s, d), raw_reads(s, d), K, stranded=False),
-    "kmer_threshold": lambda s, d: search.matching_statistics(refs(s, d), raw_reads(s, d), 3, READ),
+    "kmer_threshold": _matched(matching.matching_statistics),
+    "kmer_threshold_both": _matched(matching.matching_statistics_both),
+    "best_other": _matched(matching.best_other, 1),
     "kmer_profile": lambda s, d: search.profile(reads(s, d), K),
     "profile_compare": profile_compare,
     "rle_encode": lambda s, d: codecs.run_lengths(_idx(s, d)),
     "rle_bytes": lambda s, d: codecs.encode(codecs.run_lengths(_idx(s, d))),
     "rle_decode": lambda s, d: codecs.decode(codecs.run_lengths(_idx(s, d))),
+    "run_find_range": run_find_range,
+    "run_symbols": lambda s, d: bins.symbols_at(_run_bins(s, d), _ends(s, d)),
+    "run_slice": run_slice,
+    "run_occurrences": run_occurrences,
+    "run_fm_vectors": lambda s, d: bins.fm_at(_run_bins(s, d), _ends(s, d)),
+    "run_lf": lambda s, d: bins.lf(_run_bins(s, d), _ends(s, d)),
+    "run_remove": run_remove,
+    "run_size": lambda s, d: codecs.compressed_size(_runs(s, d)),
     "merge_indexes": merge_indexes,
+    "merge_interleave": merge_interleave,
+    "long_index": long_index,
+    "rows_of_symbols": lambda s, d: walk.rows_of_symbols(stored(_idx(s, d).select("row", "sym"))),
+    "recover_with_index": recover_with_index,
+    "lcp_removed": lcp_removed,
     "remove_strings": remove_strings,
     "kmer_ed1": kmer_ed1,
     "str_ed1": str_ed1,
@@ -192,22 +350,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edit_distance": edit_distance,
     "best_prefix": best_prefix,
     "affine_cigar": affine_cigar,
+    "affine_cost": affine_cost,
+    "unit_cigar": unit_cigar,
     "assemble_graph": assemble_graph,
     "graph_edges": graph_edges,
+    "node_reads": node_reads,
+    "node_pairs": node_pairs,
+    "convert_text": convert_text,
     "kmer_ed2": kmer_ed2,
 }
 
 _CLEAN = "regexp_replace(translate(coalesce(text, ''), 'acgnt', 'ACGNT'), '[^ACGNT]', '', 'g')"
 
 
-def _reads(name: str, ident: str, table: str) -> str:
-    return f"""{name}_l as (select {ident} as id, {_CLEAN} as s from {table}),
-{name}_t as (select id * {TILE} + i as seq_id, substr(s, i * {READ} + 1, {READ}) as seq from {name}_l, lateral (select unnest(range(greatest(ceil(length(s) / {READ}.0)::bigint, 1))) as i)),
-{name} as (select row_number() over (order by seq || '$', seq_id) - 1 as read_rank, 0 as file_id, seq_id, seq from {name}_t)"""
+def _reads(name: str, ident: str, table: str, file_id: str = "0") -> str:
+    return f"""{name}_l as (select ({file_id})::int as file_id, {ident} as seq_id, {_CLEAN} as s from {table}),
+{name}_t as (select file_id, seq_id, i as part, substr(s, i * {READ} + 1, {READ}) as seq from {name}_l, lateral (select unnest(range(greatest(ceil(length(s) / {READ}.0)::bigint, 1))) as i)),
+{name} as (select row_number() over (order by seq || '$', file_id, seq_id, part) - 1 as read_rank, file_id, seq_id, part, seq from {name}_t)"""
 
 
 _R = "with " + _reads("reads", "doc_id", "documents")
-_B = _reads("reads_b", "conv_id * 1000000 + turn", "conversations")
+_B = _reads("reads_b", "conv_id", "conversations", "turn")
 
 
 def _index(src: str = "reads", name: str = "idx", m: int = READ + 2) -> str:
@@ -251,6 +414,15 @@ v as (select kmer, 'exact' as kind, kmer as variant from kmers
   union all select kmer, 'del', substr(kmer, 1, i - 1) || substr(kmer, i + 1) from pl)"""
     every = " union all ".join(f"select kmer, cnt from kc{k}" for k in (K - 1, K, K + 1))
     wild = "'^A[ACGNT]C[ACGNT]*N\\$'"
+    left = f"{_R}, lr as (select row_number() over (order by seq || '$', file_id, seq_id, part) - 1 as read_rank, seq_id, part, seq from reads where not contains(seq, '{GONE}'))"
+    merged = f"{_R}, {_B}, u as (select 0 as source_id, read_rank as old_rank, seq from reads union all select 1, read_rank, seq from reads_b), mr as (select row_number() over (order by seq || '$', source_id, old_rank) - 1 as read_rank, * from u), {_index('mr')}"
+    lcp = "nx as (select row, rot, lead(rot) over (order by row) as n from idx) select row, (case when n is null then 0 when rot = n then 255 else list_min(list_filter(range(1, 256), lambda i: substr(rot, i::int, 1) <> substr(n, i::int, 1))) - 1 end)::int as lcp from nx"
+    fm = f"{_I}, {_COUNTS}, f as (select row, {', '.join(f"((select start_row from c where sym = '{s}') + sum((sym = '{s}')::int) over w - (sym = '{s}')::int)::bigint as fm_{n}" for s, n in _NAMES.items())} from idx window w as (order by row rows between unbounded preceding and current row))"
+    find = f"{_I}, p as (select unnest([{pats}]) as pattern) select pattern, count(*) filter (where rot < pattern)::bigint as l, (count(*) filter (where rot < pattern) + count(*) filter (where starts_with(rot, pattern)))::bigint as h from p, idx group by pattern"
+    hits = lambda key: f", nk as (select distinct node_id, substr(seq, i::int, {GRAPH_K}) as kmer, 0 as direction from rows_, lateral (select unnest(range(1, length(seq) - {GRAPH_K} + 2)) as i)), nb as (select * from nk union select node_id, {_RC('kmer')}, 1 from nk), rw as (select distinct {key}, substr(seq, i::int, {GRAPH_K}) as kmer from reads_t, lateral (select unnest(range(1, length(seq) - {GRAPH_K} + 2)) as i) where length(seq) >= {GRAPH_K}), h as materialized (select distinct {key}, node_id, direction from rw join nb using (kmer))"
+    heads = f"heads as (select substr(rot, 1, {K}) as r6, count(*) as n from idx group by 1)"
+    near = f"kl as (select kmer, unnest(range(1, length(kmer) + 1))::int as i from kmers), ka as (select kl.*, a from kl, (select {_ALTS} as a)), v as (select kmer as query, kmer as variant from kmers union select kmer, substr(kmer, 1, i - 1) || a || substr(kmer, i + 1) from ka union select kmer, substr(substr(kmer, 1, i) || a || substr(kmer, i + 1), 2) from ka union select kmer, 'A' || substr(kmer, 1, i - 1) || substr(kmer, i + 1) from kl)"
+    stats = lambda src, key, least=LEAST: f"pl as (select {key}, seq, unnest(range(length(seq)))::int as pos from {src}), w as (select {key}, pos, n, substr(seq, pos + 1, n::int) as kmer from pl, lateral (select unnest(range(1, least(length(seq) - pos, {READ}) + 1)) as n)), wk as (select distinct kmer from w), sp as (select seq, unnest(range(length(seq)))::int as p from reads_t), su as (select substr(seq, p + 1, n::int) as kmer from sp, lateral (select unnest(range(1, length(seq) - p + 1)) as n)), kc as (select kmer, count(*) as cnt from su semi join wk using (kmer) group by 1), st as (select {key}, pos, coalesce(max(n) filter (where cnt >= {least}), max(1) filter (where n = 1 and cnt > 0), 0)::int as len from w left join kc using (kmer) group by {key}, pos)"
     return {
         "massquery_rc": f"{_R}, {_kc(K)}, {_KMERS} select k.kmer, coalesce(a.cnt, 0)::bigint as counts, coalesce(b.cnt, 0)::bigint as rev_comp_counts from kmers k left join kc a on a.kmer = k.kmer left join kc b on b.kmer = {_RC('k.kmer')}",
         "reads_prepare": f"{_R} select * from reads",
@@ -260,31 +432,55 @@ v as (select kmer, 'exact' as kind, kmer as variant from kmers
         "c_array": f"{_I}, {_COUNTS} select * from c",
         "fm_bins": f"{_I}, {_COUNTS} select row // 2048 as bin_id, {bins} from idx group by row // 2048",
         "lf_mapping": f"{_I}, {_COUNTS} select row, idx.sym, (start_row + row_number() over (partition by idx.sym order by row) - 1)::bigint as lf from idx join c using (sym)",
-        "fm_vectors": f"{_I}, {_COUNTS} select row, {', '.join(f"((select start_row from c where sym = '{s}') + sum((sym = '{s}')::int) over w - (sym = '{s}')::int)::bigint as fm_{n}" for s, n in _NAMES.items())} from idx window w as (order by row rows between unbounded preceding and current row)",
-        "find_range": f"{_I}, p as (select unnest([{pats}]) as pattern) select pattern, count(*) filter (where rot < pattern)::bigint as l, (count(*) filter (where rot < pattern) + count(*) filter (where starts_with(rot, pattern)))::bigint as h from p, idx group by pattern",
+        "fm_vectors": f"{fm} select * from f",
+        "find_range": find,
         "query_reads": f"{_I} select row, read_rank, q as read from idx where starts_with(rot, 'NANAT')",
         "regex_islands": f"{_I}, m as (select row, row - row_number() over (order by row) as g from idx where regexp_matches(substr(rot, 1, {READ + 1}), {wild})) select min(row) as l, max(row) + 1 as h from m group by g",
         "recover_string": f"{_I} select row, read_rank, pos, suffix || substr(q, 1, pos) as rotation from idx",
-        "dollar_id": f"{_R} select read_rank, file_id, seq_id from reads",
-        "lcp_array": f"{_index_with(255)} , nx as (select row, rot, lead(rot) over (order by row) as n from idx) select row, (case when n is null then 0 when rot = n then 255 else list_min(list_filter(range(1, 256), lambda i: substr(rot, i::int, 1) <> substr(n, i::int, 1))) - 1 end)::int as lcp from nx",
+        "dollar_id": f"{_R} select read_rank, file_id, seq_id, part from reads",
+        "lcp_array": f"{_index_with(255)}, {lcp}",
         "pileup": f"{_R}, {_kc(K)}, {_REFS}, {_wins('refs', K, 'ref_id, ')} select ref_id, pos::int as pos, (coalesce(a.cnt, 0) + coalesce(b.cnt, 0))::bigint as cnt from w left join kc a on a.kmer = w.kmer left join kc b on b.kmer = {_RC('w.kmer')}",
         "other_choices": f"{_R}, {_kc(K)}, {tails}, {_REFS}, {other('refs', 'o')} select ref_id, pos::int as pos, cnt::bigint as cnt, other::bigint as other from o",
         "other_choices_both": f"{_R}, {_kc(K)}, {tails}, {_REFS}, rrefs as (select ref_id, {_RC('seq')} as seq from refs), {other('refs', 'o')}, {other('rrefs', 'z')} select o.ref_id, o.pos::int as pos, (o.cnt + z.cnt)::bigint as cnt, (o.other + z.other)::bigint as other from o join z on z.ref_id = o.ref_id and z.pos = o.len - {K} - o.pos",
-        "kmer_threshold": f"{_R}, {_REFS}, pl as (select ref_id, seq, unnest(range(length(seq)))::int as pos from refs), w as (select ref_id, pos, n, substr(seq, pos + 1, n::int) as kmer from pl, lateral (select unnest(range(1, least(length(seq) - pos, {READ}) + 1)) as n)), wk as (select distinct kmer from w), sp as (select seq, unnest(range(length(seq)))::int as p from reads_t), su as (select substr(seq, p + 1, n::int) as kmer from sp, lateral (select unnest(range(1, length(seq) - p + 1)) as n)), kc as (select kmer, count(*) as cnt from su semi join wk using (kmer) group by 1) select ref_id, pos, coalesce(max(n) filter (where cnt >= 3), max(1) filter (where n = 1 and cnt > 0), 0)::int as len from w left join kc using (kmer) group by ref_id, pos",
+        "kmer_threshold": f"{_R}, {_REFS}, {stats('refs', 'ref_id')} select ref_id, pos, len from st",
         "kmer_profile": f"{_R}, {prof('reads', 'p')} select * from p",
         "profile_compare": f"{_R}, {_B}, {prof('reads', 'a')}, {prof('reads_b', 'b')}, n as (select (select sqrt(sum(cnt::double * cnt)) from a) as na, (select sqrt(sum(cnt::double * cnt)) from b) as nb), d as (select coalesce(a.cnt, 0) / na as x, coalesce(b.cnt, 0) / nb as y from a full join b using (kmer), n) select round(max(abs(x - y)), 9) as max_delta, round(sqrt(sum((x - y) * (x - y))), 9) as l2, round(sum(abs(x - y)), 9) as sum_delta, round(sum(x * y), 9) as cosine from d",
         "rle_encode": f"{_I}, {runs} select * from runs",
         "rle_bytes": f"{_I}, {runs}, e as (select run_id, sym, run_len, unnest(range(13))::int as part from runs) select run_id, part, (((run_len >> (5 * part)) & 31) * 8 + instr('$ACGNT', sym) - 1)::int as byte from e where part = 0 or (run_len >> (5 * part)) > 0",
         "rle_decode": f"{_I} select row, sym from idx",
-        "merge_indexes": f"{_R}, {_B}, u as (select 0 as source_id, read_rank as old_rank, seq from reads union all select 1, read_rank, seq from reads_b), mr as (select row_number() over (order by seq || '$', source_id, old_rank) - 1 as read_rank, * from u), {_index('mr')} select row, source_id, old_rank, pos, sym from idx",
-        "remove_strings": f"{_R}, lr as (select row_number() over (order by seq || '$', file_id, seq_id) - 1 as read_rank, seq_id, seq from reads where not contains(seq, '{GONE}')), {_index('lr')} select row, seq_id, pos, sym from idx",
+        "merge_indexes": f"{merged} select row, source_id, old_rank, pos, sym from idx",
+        "remove_strings": f"{left}, {_index('lr')} select row, seq_id, part, pos, sym from idx",
+        "run_remove": f"{left}, {_index('lr')}, {runs} select * from runs",
+        "lcp_removed": f"{left}, {_index('lr', m=255)}, {lcp}",
+        "merge_interleave": f"{merged} select row, source_id, (row_number() over (partition by source_id order by suffix, old_rank) - 1)::bigint as old_row from idx",
+        "long_index": f"with lg as (select row_number() over (order by seq || '$', seq_id) - 1 as read_rank, seq from (select doc_id as seq_id, {_CLEAN} as seq from documents)), sf as (select read_rank, p::int as pos, substr(q, p + 1) as suffix, case when p = 0 then '$' else substr(q, p, 1) end as sym from (select read_rank, seq || '$' as q from lg), lateral (select unnest(range(length(q))) as p)) select row_number() over (order by suffix, read_rank) - 1 as row, read_rank, pos, sym from sf",
+        "rows_of_symbols": f"{_I} select row, read_rank, pos, sym from idx",
+        "recover_with_index": f"{_I} select a.row, b.pos as i, b.row as at_row, substr(a.q, b.pos + 1, 1) as sym from idx a join idx b using (read_rank) where a.pos = 0",
+        "run_find_range": f"{find}",
+        "run_symbols": f"{_I} select row, sym from idx where suffix = '$'",
+        "run_slice": f"{_I} select row, sym from idx where starts_with(suffix, 'A')",
+        "run_size": f"{_I}, {runs} select sum(greatest(1, ceil((floor(log2(run_len)) + 1) / 5)))::bigint as bytes from runs",
+        "run_occurrences": f"{fm}, o as (unpivot f on {', '.join(f'fm_{n}' for n in _NAMES.values())} into name sym value occ) select row, case sym {' '.join(f"when 'fm_{n}' then '{s}'" for s, n in _NAMES.items())} end as sym, occ from o where row < (select count(*) from reads)",
+        "run_fm_vectors": f"{fm} select * from f where row < (select count(*) from reads)",
+        "run_lf": f"{_I}, {_COUNTS}, l as (select row, suffix, idx.sym, (start_row + row_number() over (partition by idx.sym order by row) - 1)::bigint as lf from idx join c using (sym)) select row, sym, lf from l where suffix = '$'",
+        "find_given_range": f"{_I}, {_KMERS}, {heads} select kmer, coalesce(sum(n) filter (where r6 < kmer), 0)::bigint as l, coalesce(sum(n) filter (where r6 <= kmer), 0)::bigint as h from kmers, heads group by kmer",
+        "count_cutoff": f"{_R}, {_REFS}, {_wins('refs', 2 * K, name='bw')}, p as (select distinct kmer as pattern from bw), t as (select pattern, m, right(pattern, m::int) as tail from p, (select unnest(range(1, {2 * K + 1})) as m)), tt as (select distinct tail from t), sp as (select seq, unnest(range(length(seq))) as i from reads_t), su as (select substr(seq, i::int + 1, m::int) as tail from sp, lateral (select unnest(range(1, least({2 * K}, length(seq) - i) + 1)) as m)), tc as (select tail, count(*) as cnt from su semi join tt using (tail) group by 1), x as (select pattern, m, coalesce(cnt, 0)::bigint as cnt from t left join tc using (tail)), y as (select pattern, coalesce(min(m) filter (where cnt < {LEAST}), {2 * K}) as m from x group by 1) select pattern, cnt, m::int as matched from x join y using (pattern, m)",
+        "error_ranges": f"{_I}, {_KMERS}, {heads}, {near}, u as (select distinct variant from v), w as (select variant, coalesce(sum(n) filter (where r6 < variant), 0)::bigint as l, coalesce(sum(n) filter (where r6 <= variant), 0)::bigint as h from u, heads group by 1) select query, variant, l, h from v join w using (variant) where h > l",
+        "kmer_threshold_both": f"{_R}, {_REFS}, both_ as (select ref_id, true as own, seq from refs union all select ref_id, false, {_RC('seq')} from refs), {stats('both_', 'ref_id, own')} select ref_id, (case when own then pos else length(seq) - 1 - pos end)::int as pos, sum(len)::int as len from st join both_ using (ref_id, own) group by all",
+        "best_other": f"{_R}, {_REFS}, {stats('refs', 'ref_id', 1)}, m as (select ref_id, pos - 1 as pos, substr(seq, pos, 1) as own, substr(seq, pos + 1, len) as tail from st join refs using (ref_id) where len > 20 and pos > 0), a as (select ref_id, pos, a || tail as kmer from m, (select {_ALTS} as a) where a <> own), ak as (select distinct kmer from a), sa as (select substr(seq, p + 1, n::int) as kmer from sp, lateral (select unnest(range(1, length(seq) - p + 1)) as n)), ac as (select kmer, count(*) as cnt from sa semi join ak using (kmer) group by 1) select ref_id, pos, coalesce(max(cnt), 0)::bigint as other from a left join ac using (kmer) group by 1, 2",
         "kmer_ed1": f"{_R}, {_kc(K - 1, f'kc{K - 1}')}, {_kc(K, f'kc{K}')}, {_kc(K + 1, f'kc{K + 1}')}, {_KMERS}, {var}, ac as ({every}) select v.kmer, kind, variant, ac.cnt from v join ac on ac.kmer = v.variant where (ac.cnt >= 2 or kind = 'exact') and not (kind = 'ins' and starts_with(variant, v.kmer) and v.kmer in (select kmer from kc{K}))",
         "str_ed1": f"{_R}, {_B}, kmers as (select distinct seq as kmer from reads_b where seq <> ''), pl as (select kmer, unnest(range(1, length(kmer) + 1))::int as i from kmers), al as (select pl.*, a from pl, (select {_ALTS} as a)), v as (select kmer as query, kmer as variant from kmers union select kmer, substr(kmer, 1, i - 1) || a || substr(kmer, i + 1) from al union select kmer, substr(substr(kmer, 1, i) || a || substr(kmer, i + 1), 2) from al union select kmer, 'A' || substr(kmer, 1, i - 1) || substr(kmer, i + 1) from pl) select distinct query, read_rank from v join reads on reads.seq = v.variant",
         "reads_matching_seq": f"{_R}, {_REFS}, {_wins('refs', SNIP, 'ref_id, ')} select distinct ref_id, read_rank from w join reads on length(seq) >= {SNIP} and substr(seq, 1, {SNIP}) = kmer",
         "reads_matching_1snp": f"{_R}, {_REFS}, {_wins('refs', SNIP, 'ref_id, ')}, h as (select distinct ref_id, kmer from w), r as (select read_rank, substr(seq, 1, {SNIP}) as head from reads where length(seq) >= {SNIP}) select distinct ref_id, read_rank from h join r on hamming(kmer, head) <= 1",
         "assemble_graph": _graph_sql("select s.node_id, r.seq, s.distance, s.state, array_to_string(r.pileup, ',') as pileup, coalesce(array_to_string(i.inverted, ','), '') as inverted from stated s join rows_ r using (node_id) left join inv i using (node_id)"),
         "graph_edges": _graph_sql("select source, target, cnt, style from edges"),
+        "node_reads": _graph_sql(f"{hits('seq_id, part')} select node_id, count(distinct (seq_id, part)) as n_reads from h group by 1"),
+        "node_pairs": _graph_sql(f"{hits('seq_id, part')} select h.node_id, o.node_id as other, count(*)::bigint as n_pairs from h join h o on o.seq_id = h.seq_id and o.part // 2 = h.part // 2 and o.part <> h.part and o.direction <> h.direction group by 1, 2"),
+        "convert_text": f"{_I}, {runs} select * from runs",
         "edit_distance": f"with {_REFS} select ref_id, levenshtein(seq, {_RC('seq')})::int as ed from refs",
+        "unit_cigar": f"with {_REFS} select ref_id, levenshtein(seq, {_RC('seq')})::int as cost, length(seq)::int as n_original, length(seq)::int as n_modified from refs",
+        "affine_cost": _affine_sql(),
+        "kmer_ed2": _edits_sql(),
         "best_prefix": f"with {_REFS}, e as (select ref_id, unnest(range(length(seq) + 1))::int as n, seq from refs), d as (select ref_id, n, levenshtein({_RC('seq')}, substr(seq, 1, n))::int as ed from e) select ref_id, min(ed) as ed, arg_min(n, ed * 100000 - n) as length from d group by ref_id",
     }
 
@@ -323,6 +519,44 @@ rows_ as (select node_id, arg_min(kmer, pos) || coalesce(string_agg(substr(kmer,
 {final}"""
 
 
+def _affine_sql() -> str:
+    """Three layers, a row of cells at a time: a letter of the original makes the next lists of a fold over it."""
+    far, gap, start = 1 << 30, align.GAP_EXTEND, align.GAP_OPEN + align.GAP_EXTEND
+    open_ = lambda n: f"{align.GAP_OPEN} + {gap} * ({n})"
+    low = lambda j: f"list_min([s.x[{j}], s.y[{j}], s.z[{j}]])"
+    return f"""with recursive {_REFS},
+p as (select ref_id, seq as a, {_RC('seq')} as b from refs),
+s as (
+  select ref_id, a, b, 0 as i, list_transform(range(length(b) + 1), lambda j: case when j = 0 then 0 else {far} end) as x, list_transform(range(length(b) + 1), lambda j: case when j = 0 then 0 else {far} end) as y,
+    list_transform(range(length(b) + 1), lambda j: case when j = 0 then 0 else {open_('j')} end) as z from p
+  union all
+  select ref_id, a, b, i, x, y, list_transform(range(length(b) + 1), lambda j: case when j = 0 then {far} else list_min(list_transform(range(j), lambda k: least(x[k + 1], y[k + 1]) + {start} + {gap} * (j - k - 1))) end) from (
+    select ref_id, a, b, i + 1 as i,
+      list_transform(range(length(b) + 1), lambda j: case when j = 0 then {far} else {low('j')} + case when substr(a, (s.i + 1)::int, 1) = substr(b, j::int, 1) then 0 else {align.MISMATCH} end end) as x,
+      list_transform(range(length(b) + 1), lambda j: case when j = 0 then {open_('s.i + 1')} else list_min([s.x[j + 1] + {start}, s.y[j + 1] + {gap}, s.z[j + 1] + {start}]) end) as y
+    from s where i < length(a)))
+select ref_id, list_min([x[-1], y[-1], z[-1]])::int as cost, length(a)::int as n_original, length(b)::int as n_modified from s where i = length(a)"""
+
+
+def _edits_sql() -> str:
+    """All variants of up to two edits, from the last symbol to the first; those that occur, and what is left beside the exact one."""
+    return f"""{_I.replace('with ', 'with recursive ', 1)}, {_KMERS},
+g as (
+  select kmer, length(kmer)::int as left_, '' as variant, '' as ops, 0 as used from kmers
+  union all
+  select kmer, left_ - moved, case when kind = '2' then variant else c || variant end, kind || ops, used + edit from (
+    select g.*, c, kind, case when kind = '1' then 0 else 1 end as moved, case when kind = '0' and c = substr(kmer, left_, 1) then 0 else 1 end as edit
+    from g, (select {_ALTS} as c), (select unnest(['0', '1', '2']) as kind) where left_ > 0
+      and (kind = '0' or ops <> '') and (kind <> '1' or (c <> substr(kmer, left_, 1) and not starts_with(ops, '2'))) and (kind <> '2' or (c = 'A' and left_ > 1 and not starts_with(ops, '1'))))
+  where used + edit <= 2),
+v as materialized (select kmer, variant, ops, used from g where left_ = 0),
+pre as (select substr(rot, 1, n::int) as variant, min(row) as l, count(*) as cnt from idx, (select unnest(range({K} - 2, {K} + 3)) as n) group by 1),
+f as materialized (select v.*, l, l + cnt as h from v join pre using (variant) where cnt >= {LEAST}),
+e as (select kmer, l as el, h as eh from f where used = 0),
+t as (select kmer, variant, ops, used, el, case when used > 0 and l >= el and l < eh then eh else l end as l, case when used > 0 and h > el and h <= eh then el else h end as h from f left join e using (kmer))
+select kmer, variant, ops, l, h from t where used = 0 or el is null or (h - l >= {LEAST} and not contains(variant, kmer) and not contains(kmer, variant))"""
+
+
 def _index_with(m: int) -> str:
     return f"{_R}, {_index(m=m)}"
 
