@@ -60,7 +60,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("near duplicates", near_duplicates), ("mixing", mix_sources), ("packing", pack)]
 
-#: The hashes that round the mix and lay out the packing have no SQL; tests hold the stages against brute force.
+#: The hashes that round the mix and lay out the packing have no SQL; tests hold the first three stages against brute force,
+#: and the others against what they promise.
 ORACLE_SQL = None
 
 

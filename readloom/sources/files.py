@@ -180,7 +180,7 @@ def _after_header(data: bytes) -> int:
 def _plausible(data: bytes, at: int) -> bool:
     """Whether the bytes at ``at`` can begin a record; where they are too few to tell, they can."""
     if at + 36 > len(data):
-        return True
+        return at + 4 > len(data) or struct.unpack_from("<i", data, at)[0] >= 32
     size, ref, pos, l_name, _, _, n_cigar, _, l_seq = struct.unpack_from("<iiiBBHHHi", data, at)
     if size < 32 or ref < -1 or pos < -1 or l_name < 1 or l_seq < 0 or 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq > size:
         return False
@@ -221,13 +221,14 @@ _ARROW = pa.schema([("path", pa.string()), ("qname", pa.string()), ("flag", pa.i
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The records that lie in a part, and a row for its edges: what is before its first record, and behind its last one.
 
-    In parts behind the first, the first record is at the first place from which records follow each other to the end.
+    In parts behind the first, the first record is at the first place from which records follow each other to the end; a part
+    without such a place is taken for the end of a record.
     """
     for batch in batches:
         for path, k, last, data in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "last", "data")), strict=True):
             data = gzip.decompress(data)
             begin = [_after_header(data)] if k == 0 else range(len(data))
-            start, starts, end = next(((at, *w) for at in begin if _plausible(data, at) and (w := _walk(data, at))[1] >= 0 and (k == 0 or w[0])), (0, [], -1))
+            start, starts, end = next(((at, *w) for at in begin if _plausible(data, at) and (w := _walk(data, at))[1] >= 0 and (k == 0 or w[0])), (len(data), [], len(data) if k else -1))
             for a in range(0, len(starts), 50_000):
                 rows = [dict(zip(("qname", "flag", "seq"), _bam_record(data, at), strict=True)) for at in starts[a : a + 50_000]]
                 yield pa.RecordBatch.from_pylist([{"path": path, "part": k, "last": last, **r} for r in rows], schema=_ARROW)
@@ -244,7 +245,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = len(data) >= 36 and struct.unpack_from("<i", data, 0)[0] + 4 == len(data) and _plausible(data, 0)
             q, f, s = _bam_record(data, 0) if found and one else (None, None, None)
             rows.append({"path": path, "good": found and (one or not data), "qname": q, "flag": f, "seq": s})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("good", pa.bool_()), ("qname", pa.string()), ("flag", pa.int32()), ("seq", pa.string())]))
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*list(_ARROW)[:4], ("good", pa.bool_())]))
 
 
 def _sequential(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +257,8 @@ def _sequential(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if end != len(data):
                 raise ValueError(f"{path}: a record is cut or damaged")
             for a in range(0, len(starts), 50_000):
-                rows = [(path, *_bam_record(data, at)) for at in starts[a : a + 50_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "qname", "flag", "seq"])
+                rows = [dict(zip(("path", "qname", "flag", "seq"), (path, *_bam_record(data, at)), strict=True)) for at in starts[a : a + 50_000]]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(_ARROW)[:4]))
 
 
 def read_bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:

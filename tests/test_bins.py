@@ -199,7 +199,7 @@ def test_merge_by_interleave(spark, small, monkeypatch, width):
         mine = [r for r in got if r["source_id"] == source]
         assert [r["old_row"] for r in mine] == list(range(len(syms))) and [r["sym"] for r in mine] == syms
     ties = [(r["source_id"], r["old_rank"]) for r in got if r["pos"] == 0 and want[r["row"]][0] == "ACGT$"]
-    assert ties == sorted(ties) and len({t[0] for t in ties}) == 2
+    assert ties == sorted(ties) and {t[0] for t in ties} == {0, 1, 3}
 
 
 def test_merged_index_searches(spark, tmp_path):
