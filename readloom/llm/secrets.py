@@ -33,29 +33,34 @@ FEATURES = ("length", "digits", "uppers", "transitions", "distinct", "hexadecima
 
 
 def candidates(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """(ident, kind, secret, start, n, before): each occurrence of a candidate with its place, and its count in the text."""
-    t, longs = F.coalesce(F.col(text), F.lit("")), "array<bigint>"
+    """(ident, kind, secret, start, n, before, after): each occurrence of a candidate with its place, its count in the text, and
+    the CONTEXT characters on both sides of it.
+
+    A text is cut at the ends of its matches. Each cut is a row with its length and its first and last characters, so places
+    and contexts are running values over a text's rows, and the work is linear in text and candidates.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    cut = lambda part, secret: F.struct(secret.alias("secret"), F.length(part).alias("size"), F.substring(part, 1, CONTEXT).alias("head"), F.substring(part, -CONTEXT, CONTEXT).alias("tail"), F.substring(F.substr(part, F.lit(1), F.length(part) - F.length(secret)), -CONTEXT, CONTEXT).alias("gap"))
 
     def of(kind: str, pattern: str) -> Column:
         found = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
-        # the text up to the end of each match, from the end of the match before
-        parts = F.when(F.size(found) > 0, F.regexp_extract_all(t, F.lit(rf"\G(?s:.*?)(?:{pattern})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(longs).alias("all"))
-        step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(p))).alias("all"))
-        return F.struct(F.lit(kind).alias("kind"), found.alias("all"), F.aggregate(parts, state, step, lambda a: a["all"]).alias("ends"))
-
-    d = docs.select(F.col(ident).alias("ident"), t.alias("text"), F.array(*[of(k, p) for k, p in PATTERNS.items()]).alias("found"))
-    d = d.withColumn("hit", F.explode(F.filter("found", lambda x: F.size(x["all"]) > 0))).drop("found")
-
-    # the context is taken here, beside the text, so that no text is moved
-    def place(x: Column) -> Column:
-        start = x["ends"] - F.length(x["all"])
-        before = F.substring("text", F.greatest(F.lit(1), start - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), start).cast("int"))
-        n = F.size(F.filter("hit.all", lambda y: y == x["all"])).cast("long")
-        return F.struct(x["all"].alias("secret"), start.alias("start"), n.alias("n"), before.alias("before"))
-
-    d = d.select("ident", F.col("hit.kind").alias("kind"), F.explode(F.transform(F.arrays_zip("hit.all", "hit.ends"), place)).alias("x"))
-    return d.select("ident", "kind", "x.*")
+        # the text up to the end of each match, from the end of the match before; and what is behind the last one
+        parts = F.regexp_extract_all(t, F.lit(rf"\G(?s:.*?)(?:{pattern})"), F.lit(0))
+        rest = F.substr(t, F.aggregate(parts, F.lit(1), lambda n, p: n + F.length(p)), F.lit(CONTEXT))
+        rows = F.concat(F.transform(F.arrays_zip(parts.alias("part"), found.alias("secret")), lambda x: cut(x["part"], x["secret"])), F.array(cut(rest, F.lit(None).cast("string"))))
+        return F.struct(F.lit(kind).alias("kind"), F.when(F.size(found) > 0, rows).alias("rows"))
+
+    d = docs.select(F.col(ident).alias("ident"), F.monotonically_increasing_id().alias("__row"), F.explode(F.array(*[of(k, p) for k, p in PATTERNS.items()])).alias("of"))
+    d = d.select("ident", "__row", "of.kind", F.posexplode("of.rows").alias("i", "x")).select("ident", "__row", "kind", "i", "x.*")
+    over = W.partitionBy("__row", "kind").orderBy("i")
+    # a match has 8 characters and more, so the contexts lie in so many neighbours
+    near = range(1, -(-CONTEXT // 8) + 1)
+    before = F.concat(*[F.coalesce(F.lag("tail", k).over(over), F.lit("")) for k in reversed(near)], F.coalesce("gap", F.lit("")))
+    after = F.concat(*[F.coalesce(F.lead("head", k).over(over), F.lit("")) for k in near])
+    ends = F.sum("size").over(over.rowsBetween(W.unboundedPreceding, 0))
+    d = d.withColumn("before", F.substring(before, -CONTEXT, CONTEXT)).withColumn("after", F.substring(after, 1, CONTEXT)).withColumn("start", ends - F.length("secret")).filter("secret is not null")
+    n = F.count(F.lit(1)).over(W.partitionBy("__row", "kind", "secret"))
+    return d.select("ident", "kind", "secret", F.col("start").cast("long").alias("start"), n.alias("n"), "before", "after")
 
 
 def _share(value: Column, kept: str) -> Column:
@@ -63,8 +68,8 @@ def _share(value: Column, kept: str) -> Column:
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """Adds the columns FEATURES to (kind, secret, before)."""
-    s, near = F.col("secret"), F.lower(F.concat_ws(" ", F.col("before"), F.col("secret")))
+    """Adds the columns FEATURES to (kind, secret, before, after); the words counted are on both sides of the candidate."""
+    s, near = F.col("secret"), F.lower(F.concat_ws(" ", F.col("before"), F.col("secret"), F.col("after")))
     turns = F.lit(0)
     for kind in ("a-z", "A-Z", "0-9"):
         inside, outside = f"[{kind}]", f"[^{kind}]"
@@ -87,7 +92,7 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """A labelled set made by rule: (kind, secret, before, label). Random strings in credential positions are secrets;
+    """A labelled set made by rule: (kind, secret, before, after, label). Random strings in credential positions are secrets;
     words, placeholders, repetitions, paths, checksums and identifiers are not."""
     random = lambda salt: F.sha2(F.concat_ws("-", F.lit(salt), F.col("id").cast("string")), 512)
     base64ish = F.translate(F.base64(F.unhex(random("b"))), "=", "")
@@ -113,12 +118,15 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         ("long_token", F.concat_ws("-", F.substring(random("u"), 1, 8), F.substring(random("u"), 9, 4), F.substring(random("u"), 13, 4), F.substring(random("u"), 17, 4), F.substring(random("u"), 21, 12)), said("uuid ", "id "), 0),
         ("prefixed", F.concat(F.lit("sk-"), F.repeat(F.lit("xxxx"), 6)), said("example ", "placeholder "), 0),
     ]
-    made = F.array(*[F.struct(F.lit(k).alias("kind"), s.alias("secret"), b.alias("before"), F.lit(float(y)).alias("label")) for k, s, b, y in rows])
+    # what follows: the end of the line or other words; behind false findings also words that say so
+    behind = {1: ("\n", "\" ", "; ", ", "), 0: ("\n", "\" ", " # example", " (sample value)", " placeholder")}
+    after = lambda y: F.concat(F.get(F.array(*[F.lit(x) for x in behind[y]]), F.pmod(F.xxhash64("id", F.lit("a")), F.lit(len(behind[y]))).cast("int")), F.lit(" "), word("n"), F.lit(" "), word("m"))
+    made = F.array(*[F.struct(F.lit(k).alias("kind"), s.alias("secret"), b.alias("before"), after(y).alias("after"), F.lit(float(y)).alias("label")) for k, s, b, y in rows])
     return spark.range(n // len(rows)).select(F.explode(made).alias("x")).select("x.*")
 
 
 def train(labelled: DataFrame, limit: int = MAX_LABELLED) -> RandomForestClassificationModel:
-    """A forest fitted on (kind, secret, before, label); of more than ``limit`` rows, a hash of the finding keeps about so many."""
+    """A forest fitted on (kind, secret, before, after, label); of more than ``limit`` rows, a hash of the finding keeps about so many."""
     n = labelled.count()
     if n > limit:
         labelled = labelled.filter(F.pmod(F.xxhash64("secret", "before"), F.lit(1_000_003)) < int(1_000_003 * limit / n))
