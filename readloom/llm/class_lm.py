@@ -3,8 +3,9 @@
 Word counts cover the whole training corpus. The CORE most frequent words are put into CLASSES classes by exchange
 clustering on their bigram counts. Then every other word that the training texts hold at least LEAST times is put, on
 executors, into the class that most raises the class bigram likelihood, by all its neighbours; the vocabulary with
-classes grows with the corpus. Rarer words form the rare class, with their own exact counts, where unknown words fall
-too. A token's probability is P(class | class before) * P(word | class), with transitions counted over all classes.
+classes grows with the corpus. Sweeps over all these words and the core go on with the exchange, each word against the
+class table of the sweep before, until the likelihood settles; neighbours keep the classes that the core had at first.
+Rarer words form the rare class, with their own exact counts, where unknown words fall too. A token's probability is P(class | class before) * P(word | class), with transitions counted over all classes.
 Workers know the HEAD most frequent words (a bounded table); rarer words meet their class and count in a join.
 """
 
@@ -27,6 +28,8 @@ HEAD, HEAD_BYTES = 200_000, 64
 #: Longer words are rare; should one be frequent all the same, its rows are split.
 ALPHA = 0.1
 WORDS_AT_ONCE = 500
+#: Sweeps over all words at most; they end when one raises the log likelihood by less than SETTLED for each neighbour.
+SWEEPS, SETTLED = 6, 1e-3
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -124,8 +127,55 @@ def bigrams(codes: DataFrame, core: int) -> np.ndarray:
     return out.reshape(width, width)
 
 
+NEAR = "array<struct<ctx:smallint,n:bigint>>"
+
+
+def _near(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(size, ctx, n, total): how many classes of neighbours each word has, these with their counts, and the word's count."""
+    flat = batch.column("near").flatten()
+    ctx, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("ctx", "n"))
+    return batch.column("near").value_lengths().to_numpy(), ctx.astype(np.int64), n.astype(np.float64), batch.column("n").to_numpy().astype(np.float64)
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+class Places:
+    """What words add to the likelihood in each class; ``table`` has a class's successors, then its predecessors, by class."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        k = table.shape[1] // 2
+        self.to = np.ascontiguousarray(table.T)
+        self.base = _xlogx(self.to)
+        self.rows, self.cols = table[:, :k].sum(1), table[:, k:].sum(1)
+
+    def likelihood(self) -> float:
+        """The log likelihood of all neighbours given the classes, but for a constant."""
+        return float(self.base.sum() - _xlogx(self.rows).sum() - _xlogx(self.cols).sum())
+
+    def best(self, size: np.ndarray, ctx: np.ndarray, n: np.ndarray, total: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """The class where each word adds most; words with a class of their own are taken out of it first, and stay on a tie."""
+        if not len(size):
+            return np.zeros(0, np.int32)
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        gain = np.add.reduceat(_xlogx(self.to[ctx] + n[:, None]) - self.base[ctx], begin)
+        for margin in (self.rows, self.cols):
+            gain -= _xlogx(margin + total[:, None]) - _xlogx(margin)
+        if own is None:
+            return gain.argmax(1).astype(np.int32)
+        here = self.to[ctx, np.repeat(own, size)]
+        stay = np.add.reduceat(_xlogx(here) - _xlogx(here - n), begin)
+        for margin in (self.rows, self.cols):
+            stay -= _xlogx(margin[own]) - _xlogx(margin[own] - total)
+        each = np.arange(len(own))
+        gain[each, own] = -np.inf
+        to = gain.argmax(1)
+        return np.where(gain[each, to] > stay + 1e-9, to, own).astype(np.int32)
+
+
 def assigned(codes: DataFrame, head: list[bytes], own: np.ndarray, table: np.ndarray) -> DataFrame:
-    """(word, id, n, cls) of the words outside the core that occur LEAST times; id is null outside ``head``.
+    """(word, id, n, near, cls) of the words outside the core that occur LEAST times; id is null outside ``head``.
 
     ``own`` has the classes of the core, ``table`` the class bigrams in which all other words are one class. A word's
     neighbours are counted by class, and the word goes where it adds most to the likelihood of the class bigrams.
@@ -152,25 +202,76 @@ def assigned(codes: DataFrame, head: list[bytes], own: np.ndarray, table: np.nda
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value[1]
-        f = lambda x: x * np.log(np.maximum(x, 1.0))
-        to = np.concatenate([t[:classes].T, t[:, :classes]])  # of a successor's or predecessor's class: its bigrams with each class
-        base, rows, cols = f(to), t[:classes].sum(1), t[:, :classes].sum(0)
+        places = Places(np.concatenate([t[:classes], t[:, :classes].T], axis=1))
         for whole in batches:
             for a in range(0, whole.num_rows, WORDS_AT_ONCE):
                 batch = whole.slice(a, WORDS_AT_ONCE)
-                size = batch.column("near").value_lengths().to_numpy()
-                flat = batch.column("near").flatten()
-                ctx, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("ctx", "n"))
-                total = batch.column("n").to_numpy().astype(np.float64)[:, None]
-                gain = np.add.reduceat(f(to[ctx] + n[:, None]) - base[ctx], np.concatenate([[0], np.cumsum(size)[:-1]]))
-                gain -= f(rows + total) - f(rows) + f(cols + total) - f(cols)
-                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("id"), batch.column("n"), pa.array(gain.argmax(1).astype(np.int32))], ["word", "id", "n", "cls"])
+                cls = places.best(*_near(batch))
+                yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("word", "id", "n", "near")], pa.array(cls)], ["word", "id", "n", "near", "cls"])
 
     # frequent words meet on the map side, and each of their contexts in a task of its own, before the words do
     met = codes.select("ids", "words").mapInArrow(near, "word binary, id int, ctx short, n long").groupBy("word", "id", "ctx").agg(F.sum("n").alias("n"))
     # each occurrence has one successor and one predecessor
     by = met.groupBy("word", "id").agg((F.sum("n") / 2).cast("long").alias("n"), F.collect_list(F.struct("ctx", "n")).alias("near")).filter(F.col("n") >= LEAST)
-    return by.mapInArrow(choose, "word binary, id int, n long, cls int")
+    return by.mapInArrow(choose, f"word binary, id int, n long, near {NEAR}, cls int")
+
+
+def swept(words: DataFrame, own: np.ndarray, near: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """``words`` and the classes of the core after sweeps in which every word may move.
+
+    ``words`` is what ``assigned`` gives, ``near`` has the core's neighbours by class, successors before predecessors.
+    All words of a sweep move at once, against the same table; one that would lower the likelihood is not taken.
+    """
+    spark, (core, width) = words.sparkSession, near.shape
+    classes, own = width // 2 - 2, own[:core].copy()
+    at, ctx = np.nonzero(near)
+    first = np.searchsorted(at, np.arange(core + 1))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(classes * width, np.int64)
+        for batch in batches:
+            size, ctx, n, _ = _near(batch)
+            np.add.at(held, np.repeat(batch.column("cls").to_numpy().astype(np.int64), size) * width + ctx, n.astype(np.int64))
+        at = np.nonzero(held)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["place", "n"])
+
+    def table(words: DataFrame, own: np.ndarray) -> np.ndarray:
+        out = np.zeros((classes, width))
+        np.add.at(out, own, near)
+        sums = words.select("n", "near", "cls").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # at most classes * width
+        out.ravel()[sums["place"].to_numpy(np.int64)] += sums["n"].to_numpy(np.float64)
+        return out
+
+    def moved(words: DataFrame, t: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast(t)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = Places(sent.value)
+            for whole in batches:
+                for a in range(0, whole.num_rows, WORDS_AT_ONCE):
+                    batch = whole.slice(a, WORDS_AT_ONCE)
+                    cls = places.best(*_near(batch), batch.column("cls").to_numpy())
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cls)], batch.schema.names)
+
+        return words.select("word", "id", "n", "near", "cls").mapInArrow(run, f"word binary, id int, n long, near {NEAR}, cls int")
+
+    t = table(words, own)
+    best = Places(t).likelihood()
+    for _ in range(SWEEPS):
+        places, theirs = Places(t), own.copy()
+        for a in range(0, core, WORDS_AT_ONCE):
+            b = min(core, a + WORDS_AT_ONCE)
+            some = slice(first[a], first[b])
+            theirs[a:b] = places.best(np.diff(first[a : b + 1]), ctx[some], near[at[some], ctx[some]], near[a:b].sum(1) / 2, own[a:b])
+        next_words = materialize(moved(words, t))
+        next_t = table(next_words, theirs)
+        found = Places(next_t).likelihood()
+        if found > best:
+            words, own, t = next_words, theirs, next_t
+        if found - best <= SETTLED * t.sum():
+            break
+        best = found
+    return words, own
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
@@ -244,10 +345,13 @@ class Model:
         member = np.zeros((len(pairs), k))
         member[np.arange(len(pairs)), own] = 1
         table = member.T @ pairs @ member
+        near = np.concatenate([(pairs @ member)[:core], (pairs.T @ member)[:core]], axis=1)
         del pairs, member
         self.rare, self.end = k - 2, k - 1
+        first = materialize(assigned(codes, [bytes(r["word"]) for r in head], own, table))
+        words, own = swept(first, own, near)
         #: (word, id, n, cls) of all words with a class outside the core
-        self.others = materialize(assigned(codes, [bytes(r["word"]) for r in head], own, table))
+        self.others = words.select("word", "id", "n", "cls")
         n = np.array([r["n"] for r in head], np.float64)
         cls = np.full(len(head), self.rare, np.int64)
         cls[:core] = own[:core]
@@ -304,8 +408,8 @@ class Model:
 def score(docs: DataFrame, train: Column, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(ident, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; learns where ``train``.
 
-    Null texts are empty: their only token is the end. Rows of one id are scored each by itself. Without training rows every
-    word is unknown; an empty table gives no rows. Other columns are left out, whatever their names.
+    Null texts are empty: their only token is the end. Rows of one id are scored each by itself, texts of any length whole.
+    Without training rows every word and the end are unknown; an empty table gives no rows. Other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(ident).alias("ident"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
@@ -333,7 +437,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", ident: str = "doc_
                 of = ids[ids < len(m.cls)]
                 base = m.base[of].sum() + m.end_base + (t * np.log10((n + ALPHA) / m.unit)).sum()
                 own = m.emit[of].sum() + (t * m.emission(n, cls)).sum()
-                rows.append((len(ids) + 1, len(of) + 1 + int(t[n > 0].sum()), float(base), float(own)))
+                rows.append((len(ids) + 1, len(of) + (m.n_docs > 0) + int(t[n > 0].sum()), float(base), float(own)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             columns = [pa.array(classes, pa.binary()), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]]
