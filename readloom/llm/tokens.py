@@ -3,7 +3,8 @@
 Bytes, pieces and merges are handled by numpy for a slice of texts at a time. A piece of up to 24 bytes is its own key
 (three 64-bit words, no hash stands for it) in an open-addressing table of a fixed size that lives as long as the
 worker. Words with other symbols than ASCII and the accented letters of Latin-1, with an apostrophe, a special token or
-a longer piece go to the tokenizer itself.
+a longer piece go to the tokenizer itself. Files whose normalizer, pre-tokenizer, model or added tokens are not those
+that this stands on go to the tokenizer with their whole texts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,33 @@ _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+#: The settings of a file that pieces in bytes stand on.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+UNSET = ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+
+
+def in_bytes(spec: dict) -> bool:
+    """Whether texts under this tokenizer file may be cut and merged in bytes.
+
+    Its added tokens have to be found by their "<|", in a word of their own and as they are written.
+    """
+    model = spec["model"]
+    marks = all("<|" in x["content"] and len(x["content"].split()) == 1 and not (x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"]) for x in spec.get("added_tokens") or [])
+    plain = not any(spec.get(x) for x in ("truncation", "padding", "post_processor")) and not any(model.get(x) for x in UNSET)
+    known = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER
+    if not (marks and plain and known and model.get("type") == "BPE" and model.get("end_of_word_suffix")):
+        return False
+    vocab, end = model["vocab"], model["end_of_word_suffix"]
+    return max(vocab.values()) < 1 << 20 and len(model["merges"]) < 1 << 25 and all(x in vocab and x + end in vocab for x in _byte_symbols())
+
+
 def _kinds() -> np.ndarray:
     kind = np.full(256, ODD, np.uint8)
     kind[0x21:0x7F] = OTHER
@@ -47,9 +75,7 @@ def _byte_symbols() -> list[str]:
 class Merges:
     """Byte-pair merges of a tokenizers file, for many pieces at once."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, model: dict) -> None:
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         symbols = _byte_symbols()
         self.first = np.array([vocab[x] for x in symbols], np.int32)
@@ -183,7 +209,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = Pieces(Merges(path))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.pieces = Pieces(Merges(spec["model"])) if in_bytes(spec) else None
         self.words: dict[bytes, np.ndarray] = {}
 
     def _whole(self, words: list[bytes]) -> list[np.ndarray]:
@@ -275,9 +303,20 @@ class Encoder:
             while b < len(texts) and (held < SLICE or b == a):
                 held += len(texts[b])
                 b += 1
-            yield self._slice(texts[a:b], end_id) if held < 4 * SLICE else self._parts(texts[a:b], end_id)
+            if self.pieces is None:
+                yield self._library(texts[a:b], end_id)
+            else:
+                yield self._slice(texts[a:b], end_id) if held < 4 * SLICE else self._parts(texts[a:b], end_id)
             a = b
 
+    def _library(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As _slice, by the tokenizer alone."""
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        coded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        ids = [np.array([*x.ids, end_id], np.uint32) for x in coded]
+        return np.concatenate(ids), np.array([len(x) for x in ids])
+
     def _parts(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As _slice, for texts that are too long for one: cut at blanks, which no piece reaches over."""
         ids, many = [], []
