@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.common import hot_keys, materialize, salted_join
+from readloom.plans.ranking import ranked
 
 CORE, CLASSES, PASSES = 2000, 48, 6
 #: Occurrences from which a word gets a class.
@@ -56,6 +57,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, size: int) -> pa.Table:
+    """(word, n) of the ``size`` most frequent words of at most HEAD_BYTES, ties in the order of their bytes.
+
+    The counts tell from which on words are asked for; those are numbered by a sort on executors, so that no more than
+    ``size`` words reach the driver, and those in columns.
+    """
+    short = counts.filter(F.length("word") <= HEAD_BYTES)
+    sizes = short.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow()  # a row for each number of occurrences
+    n, words = (sizes.column(x).to_numpy().astype(np.int64) for x in ("n", "words"))
+    down = np.argsort(-n)
+    held = np.cumsum(words[down])
+    least = int(n[down][min(np.searchsorted(held, size), len(held) - 1)]) if len(held) else 0
+    order = ranked(short.filter(F.col("n") >= least), [F.col("n").desc(), F.col("word").asc()], "id")
+    return order.filter(F.col("id") < size).orderBy("id").select("word", "n").toArrow()
+
+
 def _tails(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     """(i, t, n, cls) of each text's words outside the head: place, times here, count and class."""
     col = batch.column("tail")
@@ -332,7 +349,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
 class Model:
     """What scoring needs of the training corpus in every worker; its size is bounded by HEAD and CLASSES."""
 
-    def __init__(self, counts: DataFrame, head: list, codes: DataFrame) -> None:
+    def __init__(self, counts: DataFrame, head: pa.Table, codes: DataFrame) -> None:
         self.n_docs = codes.count()
         sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.total = int(sums["n"] or 0) + self.n_docs
@@ -348,15 +365,15 @@ class Model:
         near = np.concatenate([(pairs @ member)[:core], (pairs.T @ member)[:core]], axis=1)
         del pairs, member
         self.rare, self.end = k - 2, k - 1
-        first = materialize(assigned(codes, [bytes(r["word"]) for r in head], own, table))
+        first = materialize(assigned(codes, head.column("word").to_pylist(), own, table))
         words, own = swept(first, own, near)
         #: (word, id, n, cls) of all words with a class outside the core
         self.others = words.select("word", "id", "n", "cls")
-        n = np.array([r["n"] for r in head], np.float64)
+        n = head.column("n").to_numpy().astype(np.float64)
         cls = np.full(len(head), self.rare, np.int64)
         cls[:core] = own[:core]
-        for r in self.others.filter("id is not null").select("id", "cls").collect():  # at most HEAD
-            cls[r["id"]] = r["cls"]
+        of = self.others.filter("id is not null").select("id", "cls").toArrow()  # at most HEAD
+        cls[of.column("id").to_numpy()] = of.column("cls").to_numpy()
         self.in_class = np.bincount(own[:core], n[:core], k)
         in_others = 0
         for r in self.others.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
@@ -414,8 +431,8 @@ def score(docs: DataFrame, train: Column, text: str = "text", ident: str = "doc_
     spark = docs.sparkSession
     d = docs.select(F.col(ident).alias("ident"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     counts = materialize(word_counts(d.filter("train")))
-    head = counts.filter(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).collect()  # at most HEAD short words
-    codes = materialize(coded(d, {bytes(r["word"]): i for i, r in enumerate(head)}).withColumn("row", F.monotonically_increasing_id()))
+    head = most_frequent(counts, HEAD)
+    codes = materialize(coded(d, {w: i for i, w in enumerate(head.column("word").to_pylist())}).withColumn("row", F.monotonically_increasing_id()))
     model = Model(counts, head, codes.filter("train"))
     kind = d.schema["ident"].dataType.simpleString()
 
