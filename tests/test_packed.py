@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.operators import doubling, index, packed
+from readloom.operators import bins, codecs, doubling, index, packed
 
 
 @pytest.fixture
@@ -47,6 +47,14 @@ def test_rows_left(few, monkeypatch):
     assert got == index.rows_left(r, "gone", ("seq_id", "pos", "sym")).orderBy("row").collect()
 
 
+def test_runs_left(few):
+    """Runs of the rows left are those that deleting rows from all runs leaves."""
+    r = few[0].withColumn("gone", F.col("read_rank") % 3 == 0)
+    i = index.build(r, ("read_rank", "sym"))
+    want = bins.without_rows(codecs.run_lengths(i), i.filter("read_rank % 3 = 0").select("row")).orderBy("run_id").collect()
+    assert codecs.run_lengths(index.rows_left(r, "gone", ("sym",))).orderBy("run_id").collect() == want
+
+
 def test_merge(few, monkeypatch):
     got = [d.orderBy(d.columns[0]).collect() for d in doubling.merge_rows(*[(r, None) for r in few])]
     _by_strings(monkeypatch)
