@@ -59,3 +59,11 @@ def test_merge(few, monkeypatch):
     got = [d.orderBy(d.columns[0]).collect() for d in doubling.merge_rows(*[(r, None) for r in few])]
     _by_strings(monkeypatch)
     assert got == [d.orderBy(d.columns[0]).collect() for d in doubling.merge_rows(*[(r, None) for r in few])]
+
+
+def test_merge_columns(few):
+    """Columns that aren't asked for aren't stored; those that are stay the same."""
+    every = doubling.merge_rows(*[(r, None) for r in few])[1]
+    for keep in (("source_id", "old_row"), ("source_id", "old_rank", "pos", "sym")):
+        got = doubling.merge_rows(*[(r, None) for r in few], keep=keep)[1]
+        assert got.columns == ["row", *keep] and got.orderBy("row").collect() == every.select(got.columns).orderBy("row").collect()
