@@ -19,16 +19,26 @@ Nodes are numbered by distance from the seed, then by k-mer; nothing depends on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import reverse_complement, windows
+from readloom.functions.dna import ALPHABET, is_valid, reverse_complement, windows
+from readloom.operators import packed
 from readloom.operators.search import kmer_counts
 from readloom.plans.store import stored
 
 #: Doublings of a pointer: paths of up to 2^40 k-mers.
 DOUBLINGS = 40
+#: k-mers of nodes, both strands, that go to all tasks as sorted numbers; more are joined to those of the reads.
+NODE_KMERS = 1 << 22
+#: Pairs of nodes that a task counts at once, and that a bucket of counts holds by its estimate.
+PAIRS = 1 << 22
 
 
 def both_strands(counts: DataFrame) -> DataFrame:
@@ -203,10 +213,15 @@ def explore(reads: DataFrame, seed: str | DataFrame, k: int, max_nodes: int, thr
     return nodes, edges.select("source", "target", "cnt", "style")
 
 
+def _node_kmers(nodes: DataFrame, k: int) -> DataFrame:
+    """(node_id, kmer, direction): a node's k-mers as they are (0) and reverse complemented (1)."""
+    n = nodes.select("node_id", F.explode(windows(F.col("seq"), k)).alias("kmer"), F.lit(0).alias("direction")).distinct()
+    return n.unionByName(n.select("node_id", reverse_complement(F.col("kmer")).alias("kmer"), F.lit(1).alias("direction")))
+
+
 def _node_hits(nodes: DataFrame, reads: DataFrame, k: int, *columns: Column) -> DataFrame:
     """(node_id, direction, columns): reads that hold a k-mer of a node as it is (0) or reverse complemented (1)."""
-    n = nodes.select("node_id", F.explode(windows(F.col("seq"), k)).alias("kmer"), F.lit(0).alias("direction")).distinct()
-    n = n.unionByName(n.select("node_id", reverse_complement(F.col("kmer")).alias("kmer"), F.lit(1).alias("direction")))
+    n = _node_kmers(nodes, k)
     r = reads.select(*columns, F.explode(F.array_distinct(windows(F.col("seq"), k))).alias("kmer"))
     return r.join(n, "kmer").drop("kmer").distinct()
 
@@ -221,10 +236,155 @@ def node_reads(nodes: DataFrame, reads: DataFrame, k: int) -> DataFrame:
 def node_pairs(nodes: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     """(node_id, other, n_pairs) of nodes met by the two mates of a pair, on opposite strands.
 
-    ``reads`` has file_id, seq_id, mate_file_id and mate_seq_id; reads without a mate take no part.
+    ``reads`` has file_id, seq_id, mate_file_id and mate_seq_id; reads without a mate take no part. Up to NODE_KMERS k-mers of nodes are
+    looked up where mates meet, and pairs of nodes are counted there as numbers before they cross the shuffle.
     """
     paired = reads.filter("mate_file_id is not null and mate_seq_id is not null")
+    if 3 * k < 64:
+        kmers = stored(_node_kmers(nodes, k))
+        size = kmers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(is_valid(F.col("kmer"))), F.lit(True)).alias("valid"), F.coalesce(F.min("node_id"), F.lit(0)).alias("low"), F.coalesce(F.max("node_id"), F.lit(0)).alias("high")).first()
+        if size["n"] <= NODE_KMERS and size["valid"] and 0 <= size["low"] and size["high"] < 1 << 31:
+            return _counted_pairs(kmers, paired, k, size["high"] + 1, nodes.schema["node_id"].dataType)
     hits = _node_hits(nodes, paired, k, *[F.col(c) for c in ("file_id", "seq_id", "mate_file_id", "mate_seq_id")])
     mates = hits.select(F.col("node_id").alias("other"), (1 - F.col("direction")).alias("direction"), F.col("file_id").alias("mate_file_id"), F.col("seq_id").alias("mate_seq_id"))
     met = hits.join(mates, ["mate_file_id", "mate_seq_id", "direction"])
     return met.groupBy("node_id", "other").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+def _links(paired: DataFrame) -> DataFrame:
+    """(a, b, both): the sequences of a read and of its mate. ``both``: the mate's mate is the read, and this line stands for both."""
+    own, mate = F.struct("file_id", "seq_id"), F.struct(F.col("mate_file_id").alias("file_id"), F.col("mate_seq_id").alias("seq_id"))
+    # rows of one read and mate are one read, as they meet a node once
+    d = paired.select(own.alias("own"), mate.alias("mate"), F.coalesce("seq", F.lit("")).alias("seq"))
+    d = d.groupBy("own", "mate").agg(F.array_join(F.collect_list("seq"), " ").alias("a"))
+    there = d.select(F.col("own").alias("mate"), F.col("mate").alias("back"), F.col("a").alias("b"))
+    both = (F.col("back") == F.col("own")) & (F.col("own") != F.col("mate"))
+    d = d.join(there.hint("merge"), "mate").withColumn("both", both)
+    return d.filter(~F.col("both") | (F.col("own") < F.col("mate"))).select("a", "b", "both")
+
+
+def _counted_pairs(kmers: DataFrame, paired: DataFrame, k: int, room: int, kind) -> DataFrame:
+    """:func:`node_pairs` for node ids below ``room`` and (node_id, kmer, direction) of few nodes' k-mers.
+
+    An unordered pair of nodes is a number and two counts, one for each order. Tasks count them in buckets, which are summed.
+    """
+    codes = np.full(256, 7, np.int64)
+    codes[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+    t, most = packed._T, PAIRS
+
+    def numbers(text: bytes) -> np.ndarray:
+        """The k-mers at all places as numbers; -1 where there is none."""
+        d = codes[np.frombuffer(text, np.uint8)]
+        n = max(0, len(d) - k + 1)
+        x, good = np.zeros(n, np.int64), np.ones(n, bool)
+        for j in range(k):
+            x = (x << 3) | d[j : j + n]
+            good &= d[j : j + n] < 7
+        return np.where(good, x, -1)
+
+    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = numbers("".join(b.column("kmer").to_pylist()).encode())[::k] if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("node_id"), pa.array(x), b.column("direction")], ["node_id", "kmer", "direction"])
+
+    # a checked number of k-mers
+    got = kmers.select(F.col("node_id").cast("long").alias("node_id"), "kmer", "direction").mapInArrow(tabled, "node_id long, kmer long, direction int").toArrow()
+    held = []
+    for way in (0, 1):
+        own = got.filter(pa.compute.equal(got.column("direction"), way)).sort_by([("kmer", "ascending"), ("node_id", "ascending")])
+        kmer, first, count = np.unique(own.column("kmer").to_numpy(), return_index=True, return_counts=True)
+        held.append((kmer, first, count, own.column("node_id").to_numpy().astype(np.int32)))
+    known = kmers.sparkSession.sparkContext.broadcast(held)
+
+    size = paired.agg(F.coalesce(F.sum(F.length("seq").cast("double") * F.length("seq")), F.lit(0.0)).alias("n")).first()["n"]
+    buckets = int(min(60_000, max(1, min(size, float(room) * room) / 2 // most)))
+
+    def spread(count: np.ndarray) -> np.ndarray:
+        """0, 1, ... of each of the counts."""
+        return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+    def hits(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(line, node) of either direction, each once, in order."""
+        text = column.to_pylist()
+        x = numbers(" ".join(text).encode())
+        line = np.repeat(np.arange(len(text)), [len(s) + 1 for s in text])[: len(x)]
+        out = []
+        for kmer, first, count, node in known.value:
+            if not len(kmer):
+                out.append((np.zeros(0, np.int64),) * 2)
+                continue
+            i = np.minimum(np.searchsorted(kmer, x), len(kmer) - 1)
+            met = np.nonzero(kmer[i] == x)[0]
+            i = i[met]
+            both = np.unique((np.repeat(line[met], count[i]) << 32) | node[np.repeat(first[i], count[i]) + spread(count[i])])
+            out.append((both >> 32, both & 0xFFFFFFFF))
+        return out
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(number, one for the smaller node first, one for the larger first) of all pairs, in parts."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                flag = part.column("both").to_numpy(zero_copy_only=False)
+                a, b = hits(part.column("a")), hits(part.column("b"))
+                for way in (0, 1):
+                    (line, node), (mate, other) = a[way], b[1 - way]
+                    begin, end = (np.searchsorted(mate, line, s) for s in ("left", "right"))
+                    upto = np.cumsum(end - begin)
+                    low = 0
+                    while low < len(line):
+                        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + most, "right")))
+                        n = (end - begin)[low:high]
+                        u = np.repeat(node[low:high], n)
+                        v = other[np.repeat(begin[low:high], n) + spread(n)]
+                        both = np.repeat(flag[line[low:high]], n)
+                        yield np.minimum(u, v) * room + np.maximum(u, v), both | (u <= v), both | (u > v)
+                        low = high
+
+    def summed(number: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(number)
+        number = number[order]
+        first = np.nonzero(np.concatenate([[True], number[1:] != number[:-1]]))[0]
+        return (number[first], *[np.add.reduceat(c[order].astype(np.int64), first) for c in counts])
+
+    def counted(parts: list) -> Iterator[pa.RecordBatch]:
+        number, one, two = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        if one.all() and two.all():  # each pair is met in both orders
+            number, one = np.unique(number, return_counts=True)
+            two = one
+        else:
+            number, one, two = summed(number, one, two)
+        bucket = (number // room % buckets).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        number, one, two = number[order], one[order], two[order]
+        number = number // room // buckets * room + number % room
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+        lines = [(g, t["put"](np.diff(number[a:b], prepend=0)), t["put"](one[a:b]), t["put"](two[a:b] - one[a:b])) for g, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in lines], kind) for i, kind in enumerate([pa.int32(), *[pa.binary()] * 3])], ["bucket", "number", "one", "two"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for p in pairs(batches):
+            parts.append(p)
+            n += len(p[0])
+            if n >= 2 * most:
+                yield from counted(parts)
+                parts, n = [], 0
+        if n:
+            yield from counted(parts)
+
+    def total(group: pa.Table) -> pa.Table:
+        column = lambda c: [t["got"](x) for x in group.column(c).to_pylist()]
+        one, two = np.concatenate(column("one")), np.concatenate(column("two"))
+        number, one, two = summed(np.concatenate([np.cumsum(x) for x in column("number")]), one, one + two)
+        u, v = number // room * buckets + group.column("bucket")[0].as_py(), number % room
+        same = u == v
+        one[same] += two[same]
+        two[same] = 0
+        n = np.concatenate([one, two])
+        met = n > 0
+        return pa.table({"node_id": np.concatenate([u, v])[met], "other": np.concatenate([v, u])[met], "n_pairs": n[met]})
+
+    d = _links(paired).mapInArrow(count, "bucket int, number binary, one binary, two binary").repartition(min(buckets, 2048), "bucket")
+    d = d.groupBy("bucket").applyInArrow(total, "node_id long, other long, n_pairs long")
+    return d.select(F.col("node_id").cast(kind).alias("node_id"), F.col("other").cast(kind).alias("other"), "n_pairs")
