@@ -124,7 +124,7 @@ def run(a: argparse.Namespace, spark: SparkSession) -> None:
         codecs.decode(spark.read.parquet(a.input)).write.parquet(a.out)
     else:
         lines = files.read_stream(spark, sys.stdin) if a.input == "-" else files.read_raw_index(spark, a.input)
-        codecs.run_lengths(codecs.convert_text(lines)).write.parquet(a.out)
+        codecs.text_runs(lines).write.parquet(a.out)
 
 
 if __name__ == "__main__":
