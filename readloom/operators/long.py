@@ -68,21 +68,26 @@ def build(reads: DataFrame) -> DataFrame:
         size = np.diff(np.nonzero(code == 0)[0], prepend=-1)
         return table([[False, len(code), 0, None, group.column("block")[0].as_py(), t["put"](group.column("read_rank").to_numpy()), t["put"](size), t["put"](code), None, None]], schema)
 
+    def sorted_keys(size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first symbols of a block's suffixes, their order, and the letters up to the end. What is alike stays in its order, wherever this runs."""
+        left = np.repeat(np.cumsum(size), size) - 1 - np.arange(len(code))
+        tail, key = np.append(code, np.zeros(width, np.int64)), np.zeros(len(code), np.int64)
+        for j in range(width):
+            key = (key << 3) | tail[j : j + len(code)]
+        key &= masks[np.minimum(left, width)]
+        return key, np.argsort(key, kind="stable"), left
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ranks, sizes, codes in zip(*(batch.column(c).to_pylist() for c in ("block", "rank", "size", "code")), strict=True):
                 rank, size, code = map(t["got"], (ranks, sizes, codes))
-                left = np.repeat(np.cumsum(size), size) - 1 - np.arange(len(code))  # letters up to the end
-                tail, key = np.append(code, np.zeros(width, np.int64)), np.zeros(len(code), np.int64)
-                for j in range(width):
-                    key = (key << 3) | tail[j : j + len(code)]
-                key &= masks[np.minimum(left, width)]
+                key, order, left = sorted_keys(size, code)
                 # suffixes that end within their key differ by their reads
                 tie = np.where(left < width, np.repeat(rank, size), -1)
-                order = np.argsort(key)
                 key, tie = key[order], tie[order]
                 cuts = [0, *np.searchsorted(key, bounds).tolist(), len(key)]
-                lines = [(g, block, b - a, t["put"](order[a:b]), *t["put_key"]([key[a:b]]), t["put"](tie[a:b])) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                # rows are known by their order
+                lines = [(g, block, b - a, None, *t["put_key"]([key[a:b]]), t["put"](tie[a:b])) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
                 yield line_batch(lines, ["key", "tie"])
 
     def joined(group: pa.Table, *columns: str) -> list[np.ndarray]:
@@ -136,10 +141,14 @@ def build(reads: DataFrame) -> DataFrame:
         rank, size, code = (t["got"](line[c]) for c in ("rank", "size", "code"))
         begun = line["name"] is None
         name, more = (np.zeros(line["n"], np.int64), np.zeros(line["n"], np.int64)) if begun else (t["got"](line["name"]), t["got"](line["more"]))
-        for u in some.to_pylist():
-            # at first rows come in the order of their keys, then in that of their block
-            i = t["got"](u["i"]) if begun else np.cumsum(t["got"](u["i"]))
-            name[i], more[i] = t["got_key"]([u["name"]])[0] if begun else t["got"](u["name"]), t["got"](u["more"])
+        if begun:  # rows come in the order of their keys
+            got = sorted(((t["got_key"]([u["name"]])[0], t["got"](u["more"])) for u in some.to_pylist()), key=lambda x: x[0][0])
+            _, order, _ = sorted_keys(size, code)
+            name[order], more[order] = (np.concatenate(x) for x in zip(*got, strict=True))
+        else:
+            for u in some.to_pylist():
+                i = np.cumsum(t["got"](u["i"]))
+                name[i], more[i] = t["got"](u["name"]), t["got"](u["more"])
         return lines_of(line["block"], rank, size, code, name, more, np.bincount(name >> shift, minlength=parts).tolist() if begun else None)
 
     def asked(reach: int):
